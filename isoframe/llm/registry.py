@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from isoframe.llm.packing import op8_packing
 from isoframe.llm.token_store import op1_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op8_packing": op8_packing,
     }
 
 
