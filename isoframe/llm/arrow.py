@@ -117,7 +117,7 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
 
 def short_hash(words: np.ndarray) -> np.uint64:
     """Hash of a sequence of fewer than k words; its length keeps it apart from shingles."""
-    total = np.uint64(len(words))
-    for i, w in enumerate(words):
-        total = mix(np.array([total + w * _ODD[i % len(_ODD)]], np.uint64))[0]
-    return mix(np.array([total ^ np.uint64(0x5851F42D4C957F2D)], np.uint64))[0]
+    total = np.array([len(words)], np.uint64)
+    for i in range(len(words)):
+        total = mix(total + words[i : i + 1] * _ODD[i % len(_ODD) : i % len(_ODD) + 1])
+    return mix(total ^ np.uint64(0x5851F42D4C957F2D))[0]

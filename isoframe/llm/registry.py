@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from isoframe.llm.jaccard import op2_ngram_jaccard
 from isoframe.llm.packing import op8_packing
 from isoframe.llm.token_store import op1_token_store
 
@@ -13,6 +14,7 @@ from isoframe.llm.token_store import op1_token_store
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op8_packing": op8_packing,
     }
 
