@@ -164,35 +164,13 @@ def open_store(spark: SparkSession, path: str, id_bytes: int) -> TokenStore:
     )
 
 
-def _crc_matrix_times(matrix: list[int], vector: int) -> int:
-    total, i = 0, 0
-    while vector:
-        if vector & 1:
-            total ^= matrix[i]
-        vector >>= 1
-        i += 1
-    return total
-
-
 def crc32_joined(first: int, second: int, second_bytes: int) -> int:
-    """crc32 of two byte strings one after the other, from their own values (GF(2) matrix powers)."""
-    if not second_bytes:
-        return first
-    odd = [0xEDB88320] + [1 << i for i in range(31)]
-    even = [_crc_matrix_times(odd, x) for x in odd]
-    odd = [_crc_matrix_times(even, x) for x in even]
-    while second_bytes:
-        even = [_crc_matrix_times(odd, x) for x in odd]
-        if second_bytes & 1:
-            first = _crc_matrix_times(even, first)
-        second_bytes >>= 1
-        if not second_bytes:
-            break
-        odd = [_crc_matrix_times(even, x) for x in even]
-        if second_bytes & 1:
-            first = _crc_matrix_times(odd, first)
-        second_bytes >>= 1
-    return first ^ second
+    """crc32 of two byte strings one after the other, from their own values.
+
+    The crc is affine: zeros in place of the second string change both sides alike.
+    """
+    zeros = bytes(second_bytes)
+    return zlib.crc32(zeros, first) ^ zlib.crc32(zeros) ^ second
 
 
 def restore(store: TokenStore) -> DataFrame:
