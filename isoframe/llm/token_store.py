@@ -36,7 +36,9 @@ from isoframe.llm.tokenize import encoder
 
 DIGEST_BYTES = 16
 #: Ids that the rolling hash sees, and chunk sizes in ids: least, mean (a power of two) and largest.
-WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 1024
+WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 1024
+#: Hashes of the ids of small vocabularies, looked up instead of computed.
+_HASHED = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 _WEIGHTS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -45,7 +47,7 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    hashed = mix(ids.astype(np.uint64) + np.uint64(1))
+    hashed = _HASHED[ids] if ids.dtype.itemsize == 2 else mix(ids.astype(np.uint64) + np.uint64(1))
     rolling = np.zeros(n - WINDOW + 1, np.uint64)
     for k in range(WINDOW):
         rolling += hashed[k : n - WINDOW + 1 + k] * _WEIGHTS[k]

@@ -11,8 +11,6 @@ import numpy as np
 #: Units kept per worker; once full, further units are encoded each time they occur.
 MEMO_UNITS = 500_000
 
-#: A space whose next unit starts with white space (or nothing): such texts are encoded whole.
-_UNSAFE = re.compile(r" (?=[^\S\n]|\n|$)|^[^\S\n]| $")
 #: Units on whose letters, digits and marks all regular-expression engines agree.
 _SIMPLE = re.compile("[ \n!-~À-ÖØ-öø-ÿ]+")
 #: The pre-token patterns of the two public vocabularies, for such units.
@@ -32,6 +30,26 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
+class _UnsafeCut(Exception):
+    """A space is followed by white space or the end: the text must be encoded whole."""
+
+
+class _Memo(dict):
+    """Ids of units; computes what is missing and keeps it while there is room."""
+
+    def __init__(self, compute, room: int):
+        super().__init__()
+        self.compute, self.room = compute, room
+
+    def __missing__(self, unit: str) -> bytes:
+        if not unit or unit[0].isspace():
+            raise _UnsafeCut
+        ids = self.compute(unit)
+        if len(self) < self.room:
+            self[unit] = ids
+        return ids
+
+
 class UnitEncoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` on ordinary text.
 
@@ -54,13 +72,13 @@ class UnitEncoder:
         # the vocabulary with word ends lower-cases and drops white space; the other one keeps both
         self.lower = self.model.end_of_word_suffix is not None
         self.split = re.compile(_WORD_END_SPLIT if self.lower else _BYTE_LEVEL_SPLIT).findall
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(lambda unit: self._encode_unit(" " + unit), memo_units)
         self.words: dict[str, bytes] = {}
         self.memo_units = memo_units
 
     def _encode_unit(self, unit: str) -> bytes:
         """One unit; plain Latin ones go to the BPE model by pre-token, all others through the whole tokenizer."""
-        if not _SIMPLE.fullmatch(unit):
+        if not (unit.isascii() and unit.isprintable() or _SIMPLE.fullmatch(unit)):
             return self.whole(unit)
         words = self.words
         out = []
@@ -79,27 +97,16 @@ class UnitEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian id bytes (``self.dtype``) of each text; null gives none."""
         out: list[bytes] = []
-        memo = self.memo
-        get = memo.get
+        ids_of = self.memo.__getitem__
         for text in texts:
             if not text:
                 out.append(b"")
                 continue
-            if _UNSAFE.search(text):
+            first, *units = text.split(" ")
+            try:
+                out.append(self._encode_unit(first) + b"".join(map(ids_of, units)))
+            except _UnsafeCut:
                 out.append(self.whole(text))
-                continue
-            units = text.split(" ")
-            first = self._encode_unit(units[0])
-            units[0] = ""
-            parts = list(map(get, units))
-            parts[0] = first
-            if None in parts:
-                for i, part in enumerate(parts):
-                    if part is None:
-                        parts[i] = ids = self._encode_unit(" " + units[i])
-                        if len(memo) < self.memo_units:
-                            memo[units[i]] = ids
-            out.append(b"".join(parts))
         return out
 
 
