@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from isoframe.llm.jaccard import op2_ngram_jaccard
 from isoframe.llm.packing import op8_packing
 from isoframe.llm.token_store import op1_token_store
+from isoframe.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op5_toxicity": op5_toxicity,
         "op8_packing": op8_packing,
     }
 
