@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from isoframe.llm.jaccard import op2_ngram_jaccard
+from isoframe.llm.language import op10_language
 from isoframe.llm.packing import op8_packing
 from isoframe.llm.token_store import op1_token_store
 from isoframe.llm.toxicity import op5_toxicity
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op5_toxicity": op5_toxicity,
         "op8_packing": op8_packing,
+        "op10_language": op10_language,
     }
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.llm.arrow import flat, slices, span_hashes
+from isoframe.llm.folds import is_held_out, labelled_sample
 
 #: Labelled rows of each class, at most, that the dictionaries and the calibration learn from.
 SAMPLE = {1: 2500, 0: 5000}
@@ -196,16 +197,6 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([toxic]), pa.array([ordinary]), pa.array([weights.tolist()], pa.list_(pa.float64()))], ["toxic", "ordinary", "weights"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sizes: dict[int, int]) -> DataFrame:
-    """text, label of at most ``sizes`` rows of each class, those with the smallest hashes of their ids."""
-    ids = None
-    for value, n in sizes.items():
-        part = labels.where(F.col(column) == value).select("doc_id", F.lit(value).alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        ids = part if ids is None else ids.unionByName(part)
-    # at most the sum of ``sizes`` rows
-    return docs.join(F.broadcast(ids), "doc_id").select("text", "label", F.xxhash64("doc_id").alias("h"))
-
-
 def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]:
     sample = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), "toxic", SAMPLE)
     model = sample.repartition(1).sortWithinPartitions("h").select("text", "label").mapInArrow(_train, "toxic binary, ordinary binary, weights array<double>").collect()
@@ -233,11 +224,6 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def is_held_out(doc_id: str = "doc_id"):
-    """Rows that no model learns from: crc32 of the id as text is 2 modulo 4."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~is_held_out())
