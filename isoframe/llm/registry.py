@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from isoframe.llm.jaccard import op2_ngram_jaccard
 from isoframe.llm.language import op10_language
 from isoframe.llm.packing import op8_packing
+from isoframe.llm.quality import op3_quality
 from isoframe.llm.token_store import op1_token_store
 from isoframe.llm.toxicity import op5_toxicity
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op3_quality": op3_quality,
         "op5_toxicity": op5_toxicity,
         "op8_packing": op8_packing,
         "op10_language": op10_language,
