@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from isoframe.llm.ann import op7_nearest
 from isoframe.llm.jaccard import op2_ngram_jaccard
 from isoframe.llm.language import op10_language
 from isoframe.llm.packing import op8_packing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_quality": op3_quality,
         "op5_toxicity": op5_toxicity,
+        "op7_nearest": op7_nearest,
         "op8_packing": op8_packing,
         "op10_language": op10_language,
     }
