@@ -11,9 +11,9 @@ For vectors that are not of equal length the inner product isn't the same order
 distance; halves are then taken of the vector extended by sqrt(M^2 - |x|^2) for candidates
 and 0 for queries (M: the largest length), which makes it so.
 
-Cells are stored in blocks of bounded size, dealt by a hash of the id, and a query meets
-each block of its cells separately, so a vector that a third of all rows repeat spreads
-over many tasks.  Nulls, zero vectors and vectors with null or non-finite components take
+Cells are stored by their first centroid in blocks of bounded size, dealt by a hash of the
+id; a query meets each block of its cells separately, so a vector that a third of all rows
+repeat spreads over many tasks.  Nulls, zero vectors and vectors with null or non-finite components take
 no part; vectors of another length than the most frequent one don't either; repeated ids
 are candidates each; an empty table gives no rows; other columns are ignored.
 """
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from isoframe.llm import scratch
 
 #: Vectors that centroids are fitted on, centroids of each half, and rows a block.
-SAMPLE, CENTROIDS, BLOCK = 20_000, 32, 2048
-#: Candidates that a query's cells must hold, at least: so many a wanted neighbour.
-CANDIDATES_EACH = 300
+SAMPLE, CENTROIDS, BLOCK = 20_000, 64, 4096
+#: What a query's cells must hold, at least: so many candidates a wanted neighbour, and this share of all vectors.
+#: The share is for vectors without any structure (equal variance in all directions), where smaller ones lose
+#: neighbours: measured recall at 20 is 0.78 for a share of 0.2, 0.93 for 0.4. Clustered vectors need far less.
+CANDIDATES_EACH, SHARE = 100, 0.45
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return x.where(fine).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).where("norm > 0")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int = CENTROIDS, candidates: int | None = None, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int = CENTROIDS, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found of ``vectors`` for each row of ``queries``, itself left out."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -132,53 +134,53 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     sizes = np.zeros(len(first) * len(second), np.int64)
     for r in indexed.groupBy("cell").count().collect():  # at most centroids squared
         sizes[r["cell"]] = r["count"]
-    blocks = np.maximum(1, -(-sizes // block))
-    wanted = candidates or CANDIDATES_EACH * k
+    blocks = np.maximum(1, -(-sizes.reshape(len(first), len(second)).sum(1) // block))  # of each first centroid
+    wanted = max(CANDIDATES_EACH * k, int(share * sizes.sum())) + 1
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1), dim)
-            a, b = _halves(x, np.zeros((len(x), 0 if level else 1)))
-            da, db = _distances(a, first), _distances(b, second)
-            rows, cells = [], []
-            for i in range(len(x)):
-                met = walk_cells(da[i], db[i], sizes, wanted + 1)
-                rows += [i] * len(met)
-                cells += met
-            rows, cells = np.array(rows, np.int64), np.array(cells, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(cells.astype(np.int32)), pa.array(blocks[cells].astype(np.int32))], ["query_id", "q", "cell", "blocks"])
-
-    met = asked.select("vec_id", "v").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(walk, "query_id long, q array<double>, cell int, blocks int")
+        for whole in batches:
+            for batch in (whole.slice(at, 64) for at in range(0, whole.num_rows, 64)):
+                x = _matrix(batch.column(1), dim)
+                a, b = _halves(x, np.zeros((len(x), 0 if level else 1)))
+                da, db = _distances(a, first), _distances(b, second)
+                rows, heads, tails = [], [], []
+                for i in range(len(x)):
+                    met = np.array(walk_cells(da[i], db[i], sizes, wanted), np.int64)
+                    head, tail = met // len(second), met % len(second)
+                    for h in np.unique(head).tolist():
+                        rows.append(i)
+                        heads.append(h)
+                        tails.append(tail[head == h].astype(np.int32))
+                rows = pa.array(np.array(rows, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(heads, pa.int32()), pa.array(tails, pa.list_(pa.int32())), pa.array(blocks[heads].astype(np.int32))], ["query_id", "q", "head", "tails", "blocks"])
+
+    met = asked.select("vec_id", "v").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(walk, "query_id long, q array<double>, head int, tails array<int>, blocks int")
     met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    by_cell = F.create_map(*[F.lit(int(x)) for c in np.flatnonzero(blocks > 1) for x in (c, blocks[c])]) if (blocks > 1).any() else None
-    n_blocks = F.coalesce(by_cell[F.col("cell")], F.lit(1)) if by_cell is not None else F.lit(1)
-    stored = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
+    by_head = F.create_map(*[F.lit(int(x)) for h, n in enumerate(blocks) for x in (h, n)])
+    head = F.floor(F.col("cell") / len(second)).cast("int")
+    stored = indexed.select("vec_id", "v", head.alias("head"), (F.col("cell") % len(second)).alias("tail")).withColumn("block", F.pmod(F.xxhash64("vec_id"), by_head[F.col("head")]).cast("int"))
 
     def rerank(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return kinds.empty_table()
-        q, x = (_matrix(t.column(c).combine_chunks(), dim) for t, c in ((left, "q"), (right, "v")))
-        qid, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
-        out = []
-        for at in range(0, len(q), 256):
-            scores = q[at : at + 256] @ x.T
-            scores[qid[at : at + 256, None] == ids] = -np.inf
-            for i, row in enumerate(scores):
-                if len(row) > k:
-                    edge = np.partition(row, len(row) - k)[len(row) - k]
-                    near = np.flatnonzero(row >= edge - 1e-12 * abs(edge))  # products summed in another order may differ in the last bits
-                    near = near[np.lexsort((ids[near], -row[near]))][: k + 8] if len(near) > k + 8 else near
-                else:
-                    near = np.arange(len(row))
-                near = near[row[near] > -np.inf]
-                exact = (x[near] * q[at + i]).sum(1)
-                out.append((np.full(len(near), qid[at + i]), ids[near], exact))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            q, x = (_matrix(t.column(c).combine_chunks(), dim) for t, c in ((left, "q"), (right, "v")))
+            qid, ids, tail = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy(), right.column("tail").to_numpy()
+            for i, tails in enumerate(left.column("tails").to_pylist()):
+                open_ = np.zeros(len(second), bool)
+                open_[tails] = True
+                near = np.flatnonzero(open_[tail] & (ids != qid[i]))
+                scores = x[near] @ q[i]
+                if len(near) > k:
+                    edge = np.partition(scores, len(near) - k)[len(near) - k]
+                    tied = scores >= edge - 1e-12 * abs(edge)  # sums in another order may differ in the last bits
+                    near = near[tied]
+                    if len(near) > 2 * k:  # many equal vectors: the smallest ids of them
+                        near = near[np.lexsort((ids[near], -np.round(scores[tied], 12)))][: 2 * k]
+                out.append((np.full(len(near), qid[i]), ids[near], (x[near] * q[i]).sum(1)))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=kinds)
 
-    found = met.groupBy("cell", "block").cogroup(stored.groupBy("cell", "block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    found = met.groupBy("head", "block").cogroup(stored.groupBy("head", "block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("near"))
     return best.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
