@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from isoframe.llm import license_scan, url_filter
 from isoframe.llm.ann import op7_nearest
 from isoframe.llm.jaccard import op2_ngram_jaccard
 from isoframe.llm.language import op10_language
+from isoframe.llm.mixing import op9_mixing
 from isoframe.llm.packing import op8_packing
 from isoframe.llm.quality import op3_quality
 from isoframe.llm.token_store import op1_token_store
@@ -20,12 +22,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_store": op1_token_store,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_quality": op3_quality,
+        "op4_url_filter": url_filter.op4_url_filter,
         "op5_toxicity": op5_toxicity,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_nearest": op7_nearest,
         "op8_packing": op8_packing,
+        "op9_mixing": op9_mixing,
         "op10_language": op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_filter": url_filter.ORACLE_SQL,
+        "op6_license_scan": license_scan.ORACLE_SQL,
+    }
