@@ -1,13 +1,69 @@
-"""Corpus pipeline: quality rules, toxicity, near-duplicate join, source mixing, packing."""
+"""Corpus pipeline: quality rules, toxicity, near-duplicate join, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isoframe.llm import jaccard, mixing, packing, quality, scratch, toxicity
+
+#: Ids up to which the list of kept documents is broadcast (8 bytes each); beyond it the documents are shuffled.
+BROADCAST_IDS = 1_000_000
+#: Probability of good quality from which on a document stays: only clear rejects go.
+KEEP_AT = 0.2
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the quality model."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), KEEP_AT)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression distance doesn't call toxic."""
+    return toxicity.keep_civil(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.TOXIC_AT)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id; rows without an id are left out."""
+    linked = jaccard.jaccard_join(docs)
+    kept = scratch.stage(linked.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")), "kept")
+    facts = kept.agg(F.count("*").alias("n"), F.count_distinct("_kept").alias("ids")).first()
+    ids = kept.distinct()
+    out = docs.join(F.broadcast(ids) if facts["ids"] <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return out if facts["n"] == facts["ids"] else out.dropDuplicates(["doc_id"])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the Pfair mix: the written files hold it one after the other."""
+    return mixing.mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, packed into sequences of 1024 tokens within windows of the mix."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("source mixing", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Trained models, a genetic algorithm and tokenizers have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over what its predecessor kept, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.stage(docs, name.replace(" ", "-"))
     return docs

@@ -2,9 +2,9 @@
 
 Documents become token streams (ids and an end id).  Streams longer than a sequence are
 cut into pieces of exactly one sequence, the first piece taking the rest; whole-sequence
-pieces stand alone.  All other pieces are dealt by a hash of their row number into
-blocks of bounded size, and each block is a bin-packing problem of its own that several
-islands solve: a solution is a list of bins, crossover injects well-filled bins of one
+pieces stand alone.  All other pieces form blocks of bounded size, in the order in which
+they are read (so a mix that the input's order holds stays a mix), and each block is a
+bin-packing problem of its own that several islands solve: a solution is a list of bins, crossover injects well-filled bins of one
 parent into the other, removes the bins that hold an injected piece already, and puts
 the displaced pieces back best-fit, longest first.  After every round each island
 receives its neighbour's elite.  A block that has reached the lower bound of its
@@ -258,21 +258,23 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
     pieces = scratch.stage(texts.mapInArrow(_pieces(tokenizer_path, end_id, capacity), _PIECES), "pieces")
     out = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", F.col("length").cast("long"), F.col("crc").alias("ids_crc32"), F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     level = pieces.where(F.col("length") < capacity)
-    n = level.count()
+    n, read_order = level.count(), True
     while n:
+        # a piece's number within its task makes the first blocks; what they leave is dealt by hash
         n_blocks = -(-n // block)
+        number = F.floor(F.col("uid") / block) if read_order else F.pmod(F.xxhash64("uid"), F.lit(n_blocks))
         blocks = scratch.stage(
-            level.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(n_blocks)))
+            level.withColumn("block", number)
             .groupBy("block")
             .agg(F.sort_array(F.collect_list(F.struct("length", "uid", "doc_id", "piece", "start", "crc")), asc=False).cast(_ITEM).alias("items")),
             "blocks",
         )
         best = _solve_level(blocks, capacity, islands, rounds)
-        placed = scratch.stage(blocks.join(best, "block").select("items", "elite").mapInArrow(_place(n_blocks > 1, capacity), _PLACED), "placed")
+        placed = scratch.stage(blocks.join(best, "block").select("items", "elite").mapInArrow(_place(read_order or n_blocks > 1, capacity), _PLACED), "placed")
         scratch.drop(blocks)
         out = out.unionByName(placed.where(~F.col("leave")).select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", F.col("offset").cast("long")))
         level = placed.where("leave").select("uid", "doc_id", "piece", "start", "length", F.col("ids_crc32").alias("crc"))
-        n = level.count()
+        n, read_order = level.count(), False
     return out
 
 
