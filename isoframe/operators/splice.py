@@ -123,7 +123,8 @@ def merged_variants(events: DataFrame, key: Sequence[str], coords: Sequence[str]
 
 def islands(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """Spans with island: the number, from 1, of their run of overlapping spans within ``keys``."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
+    rest = [c for c in spans.columns if c not in {*keys, start, end}]  # equal spans keep one order in both windows
+    w = Window.partitionBy(*keys).orderBy(start, end, *rest)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
     return spans.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

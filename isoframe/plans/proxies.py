@@ -91,7 +91,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 def posterior(spark: SparkSession, d: str) -> DataFrame:
     """event, psi1, psi2: posterior samples in two conditions."""
     e = F.transform("embedding", lambda x: F.round((x.cast("double") + 1) / 2, 4))
-    return table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("event"), e.alias("psi1"), F.transform(e, lambda x: F.round(x * 0.9, 4)).alias("psi2"))
+    return table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("event"), e.alias("psi1"), F.transform(e, lambda x: x * 0.9).alias("psi2"))
 
 
 _G = "'ENSG' || lpad(CAST({} AS VARCHAR), 11, '0')"
@@ -107,7 +107,7 @@ SQL = {
     "exons": "SELECT DISTINCT 'g' || (l_orderkey % 200) AS gene, 'chr1' AS chr, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 't' || l_orderkey AS tx, l_linenumber * 1000 + (l_partkey % 2) * 50 AS s, l_linenumber * 1000 + (l_partkey % 2) * 50 + 200 + (l_suppkey % 2) * 50 AS e FROM lineitem",
     "tpm": "SELECT 'g' || (o_orderkey % 200) AS gene, 't' || o_orderkey AS tx, 's' || i AS sample, CASE WHEN i < 2 THEN 'c1' ELSE 'c2' END AS cond, CAST((o_orderkey * (i + 3)) % 101 AS DOUBLE) AS tpm FROM orders CROSS JOIN (VALUES (0), (1), (2), (3)) v(i) WHERE o_orderkey % 50 <> 0",
     "reads": "SELECT event_type AS sample, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, 1000 + event_id * 37 % 5000 AS pos, CASE event_id % 4 WHEN 0 THEN '30M' || (100 + event_id % 5 * 50) || 'N20M' WHEN 1 THEN '10M5I35M' WHEN 2 THEN '20M3D30M' ELSE '50M' END AS cigar FROM events",
-    "posterior": "SELECT vec_id AS event, list_transform(embedding, lambda x: round((x::DOUBLE + 1) / 2, 4)) AS psi1, list_transform(embedding, lambda x: round(round((x::DOUBLE + 1) / 2, 4) * 0.9, 4)) AS psi2 FROM embeddings WHERE embedding IS NOT NULL",
+    "posterior": "SELECT vec_id AS event, list_transform(embedding, lambda x: round((x::DOUBLE + 1) / 2, 4)) AS psi1, list_transform(embedding, lambda x: round((x::DOUBLE + 1) / 2, 4) * 0.9::DOUBLE) AS psi2 FROM embeddings WHERE embedding IS NOT NULL",
 }
 
 

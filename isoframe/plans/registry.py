@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoframe.plans import core
+from isoframe.plans import core, splicing
 
-MODULES = [core]
+MODULES = [core, splicing]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
