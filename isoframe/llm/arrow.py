@@ -72,7 +72,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INV, np.uint64)
     up[0] = down[0] = 1
@@ -80,10 +80,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 21
-    while size < n + 1:
-        size *= 2
-    return _powers(size)
+    """Powers of the base and its inverse, at least n; those of ordinary slices are kept, those of a longer text aren't."""
+    return _powers(1 << 21) if n < 1 << 21 else _powers.__wrapped__(n + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from isoframe.llm.arrow import flat, mix, shingle_hashes, slices, span_hashes, w
 from isoframe.llm.folds import labelled_sample
 
 #: Labelled rows of each class, at most, that the model learns from.
-SAMPLE = {0: 1500, 1: 3000}
+SAMPLE = {0: 1200, 1: 2400}
 #: Hash buckets of each of the three feature groups.
 BUCKETS_LOG2 = 15
 #: Fixed values of the base rules, and the threshold on the calibrated probability of good quality.
@@ -125,16 +125,24 @@ def _scores(counted: Counted, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(texts: list[str | None]) -> Iterator[pa.Array]:
+    """The texts in slices of bounded size."""
+    for batch in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), "text"):
+        yield batch.column(0)
+
+
 def _sparse(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, share) triples of a sample."""
-    counted = Counted(pa.array(texts, pa.string()))
-    rows, cols, values = [], [], []
-    for g, (bucket, (a, b)) in enumerate(counted.features()):
-        for r in range(counted.rows):
-            f, n = np.unique(bucket[a[r] : b[r]], return_counts=True)
-            rows.append(np.full(len(f), r))
-            cols.append(f.astype(np.int64) + (g << BUCKETS_LOG2))
-            values.append(n / max(1, b[r] - a[r]))
+    rows, cols, values, base = [], [], [], 0
+    for part in _parts(texts):
+        counted = Counted(part)
+        for g, (bucket, (a, b)) in enumerate(counted.features()):
+            for r in range(counted.rows):
+                f, n = np.unique(bucket[a[r] : b[r]], return_counts=True)
+                rows.append(np.full(len(f), base + r, np.int32))
+                cols.append(f.astype(np.int32) + np.int32(g << BUCKETS_LOG2))
+                values.append((n / max(1, b[r] - a[r])).astype(np.float32))
+        base += counted.rows
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
@@ -176,7 +184,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels += batch.column(1).to_pylist()
     weights = np.zeros(0, np.float32)
     if texts:
-        passed = ~base_failed(Counted(pa.array(texts, pa.string())).statistics())
+        passed = ~np.concatenate([base_failed(Counted(part).statistics()) for part in _parts(texts)])
         texts, good = [t for t, p in zip(texts, passed, strict=True) if p], np.array(labels, float)[passed]
         if 0 < good.sum() < len(good):
             rest = np.arange(len(good)) % 4 == 3
@@ -184,7 +192,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [t for t, r in zip(texts, rest, strict=True) if r]
             a, b = (1.0, 0.0)
             if held and 0 < good[rest].sum() < rest.sum():
-                a, b = _calibrate(_scores(Counted(pa.array(held, pa.string())), w), good[rest])
+                a, b = _calibrate(np.concatenate([_scores(Counted(part), w) for part in _parts(held)]), good[rest])
             w = w * a
             w[-1] += b
             weights = w.astype(np.float32)

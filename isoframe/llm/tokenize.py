@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: Units kept per worker; once full, further units are encoded each time they occur.
-MEMO_UNITS = 500_000
+MEMO_UNITS = 400_000
 
 #: Units on whose letters, digits and marks all regular-expression engines agree.
 _SIMPLE = re.compile("[ \n!-~À-ÖØ-öø-ÿ]+")

@@ -22,8 +22,6 @@ score is 0; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm.arrow import flat, slices, span_hashes
+from isoframe.llm.arrow import flat, mix, slices, span_hashes
 from isoframe.llm.folds import is_held_out, labelled_sample
 
 #: Labelled rows of each class, at most, that the dictionaries and the calibration learn from.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 2000, 0: 4000}
 #: Words a window; bytes of ordinary text in a dictionary.
 WINDOW, ORDINARY_BYTES = 64, 100_000
 #: A head is toxic if toxic text has it this many times as often, in this share of the toxic rows' number of contexts.
@@ -70,60 +68,55 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.stack(codes, 1).astype("<u4"), np.searchsorted(starts, offsets)
 
 
-def _codes_of(text: str) -> np.ndarray:
-    return word_codes(*flat(pa.array([text])))[0]
+def _slices_of(texts: list[str]) -> Iterator[pa.Array]:
+    for batch in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), "text"):
+        yield batch.column(0)
 
 
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
+def _distinct_contexts(texts: list[str]) -> np.ndarray:
+    """Codes of all words, one row for each different (word before, word, word after)."""
+    rows, keys = [np.zeros((0, 4), np.uint32)], [np.zeros(0, np.uint64)]
+    for part in _slices_of(texts):
+        codes, first = word_codes(*flat(part))
+        whole = codes[:, 3].astype(np.uint64)
+        before, after = np.roll(whole, 1), np.roll(whole, -1)
+        before[first[:-1][first[:-1] < len(whole)]] = 0
+        after[first[1:][first[1:] > 0] - 1] = 0
+        rows.append(codes)
+        keys.append(mix(whole + mix(before + np.uint64(1)) * np.uint64(3) + mix(after + np.uint64(2)) * np.uint64(5)))
+    _, at = np.unique(np.concatenate(keys), return_index=True)
+    return np.concatenate(rows)[at]
 
 
-def _contexts(texts: list[bytes]) -> Counter:
-    """How many distinct contexts each word has."""
-    seen = set()
-    for t in texts:
-        words = [b"", *_WORD.findall(t), b""]
-        seen.update(zip(words, words[1:], words[2:]))
-    return Counter(w for _, w, _ in seen)
-
-
-def toxic_heads(toxic: list[bytes], ordinary: list[bytes]) -> list[tuple[bytes, int]]:
-    """(word head, number of code parts) of what marks toxic text, most frequent last."""
-
-    def heads(texts: list[bytes]) -> tuple[Counter, int]:
-        words = _contexts(texts)
-        out: Counter = Counter()
-        for w, n in words.items():
-            for i, k in enumerate(_HEADS):
-                out[w[:k] + (b"$" if len(w) < k else b""), i] += n
-            out[w, 3] += n
-        return out, sum(words.values())
-
-    (t, nt), (o, no) = heads(toxic), heads(ordinary)
+def toxic_heads(toxic: list[str], ordinary: list[str]) -> list[np.ndarray]:
+    """Codes of what marks toxic text, head by head from 3 bytes to the whole word, most frequent last."""
+    t, o = _distinct_contexts(toxic), _distinct_contexts(ordinary)
     least = max(4, SHARE * len(toxic))
-    strong = {h for h, n in t.items() if n >= least and (n + 0.5) / (nt + 1) >= ODDS * (o[h] + 0.5) / (no + 1)}
-    # the longest head of those that nest, while it keeps most of the contexts
-    out: dict[bytes, tuple[int, int]] = {}
-    for w, i in sorted(strong, key=lambda h: h[1]):
-        for k in range(i):
-            shorter = w[: _HEADS[k]]
-            if shorter in out and out[shorter][0] == k and t[w, i] >= 0.5 * out[shorter][1]:
-                del out[shorter]
-        if not any(w[: _HEADS[k]] in out for k in range(i)):
-            out[w] = (i, t[w, i])
-    return [(w, i + 1) for w, (i, n) in sorted(out.items(), key=lambda x: x[1][1])]
-
-
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    out: dict[bytes, tuple[np.ndarray, int]] = {}
+    for level in range(4):
+        code, at, n = np.unique(t[:, level], return_index=True, return_counts=True)
+        known, m = np.unique(o[:, level], return_counts=True)
+        place = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+        usual = np.where(known[place] == code, m[place], 0) if len(known) else np.zeros(len(code))
+        strong = (n >= least) & ((n + 0.5) / (len(t) + 1) >= ODDS * (usual + 0.5) / (len(o) + 1))
+        for i in np.flatnonzero(strong):
+            head = t[at[i], : level + 1]
+            # the longest of heads that nest, while it keeps most of the contexts of the shorter one
+            for k in range(1, level + 1):
+                shorter = out.get(head[:k].tobytes())
+                if shorter and n[i] >= 0.5 * shorter[1]:
+                    del out[head[:k].tobytes()]
+            if not any(head[:k].tobytes() in out for k in range(1, level + 1)):
+                out[head.tobytes()] = (head, int(n[i]))
+    return [h for h, _ in sorted(out.values(), key=lambda x: x[1])]
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     rng = np.random.default_rng(7)
-    marks = []
-    for head, parts in toxic_heads(toxic, ordinary):
-        text = head.rstrip(b"$").decode("utf-8", "ignore")
-        codes = _codes_of(text)
-        if len(codes):
-            marks.append(codes[0][:parts])
+    marks = toxic_heads(toxic, ordinary)
     base, size = [], 0
     for i in rng.permutation(len(ordinary)):
-        codes = _codes_of(ordinary[i][:600].decode("utf-8", "ignore"))
+        codes, _ = word_codes(*flat(pa.array([ordinary[i][:600]], pa.string())))
         marked = np.zeros(len(codes), bool)
         for m in marks:
             marked |= codes[:, len(m) - 1] == m[-1]
@@ -132,7 +125,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
         if size > ORDINARY_BYTES:
             break
     common = b"".join(base) + rng.bytes(64)
-    special = b"".join(m.tobytes() for m in marks)
+    special = b"".join(m.astype("<u4").tobytes() for m in marks)
     tail = rng.bytes(32)  # the last bytes of a dictionary are not indexed
     return common + special + tail, common + rng.bytes(len(special)) + tail
 
@@ -186,14 +179,14 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole bounded sample, in one task: dictionaries from three quarters, calibration on the rest."""
     rows = [(t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
     parts = {(y, rest): [t for i, (t, l) in enumerate(rows) if l == y and (i % 4 == 3) == rest] for y in (0, 1) for rest in (False, True)}
-    lower = {k: [t.encode().lower() for t in v] for k, v in parts.items()}
-    if not lower[1, False] or not lower[0, False]:
+    if not parts[1, False] or not parts[0, False]:
         yield pa.RecordBatch.from_arrays([pa.array([b""]), pa.array([b""]), pa.array([[]], pa.list_(pa.float64()))], ["toxic", "ordinary", "weights"])
         return
-    toxic, ordinary = train_dictionaries(lower[1, False], lower[0, False])
+    toxic, ordinary = train_dictionaries(parts[1, False], parts[0, False])
     distance = Distance(toxic, ordinary)
     texts = parts[1, True] + parts[0, True]
-    weights = logistic(distance.features(pa.array(texts, pa.string())), np.array([1.0] * len(parts[1, True]) + [0.0] * len(parts[0, True]))) if texts else np.zeros(4)
+    found = np.concatenate([distance.features(part) for part in _slices_of(texts)]) if texts else np.zeros((0, 3))
+    weights = logistic(found, np.array([1.0] * len(parts[1, True]) + [0.0] * len(parts[0, True])))
     yield pa.RecordBatch.from_arrays([pa.array([toxic]), pa.array([ordinary]), pa.array([weights.tolist()], pa.list_(pa.float64()))], ["toxic", "ordinary", "weights"])
 
 
