@@ -1,0 +1,179 @@
+"""Project catalog on the driver: comparisons, pairs, groups and samples, and their discovery.
+
+Only names and settings live here; tables stay lazy DataFrames.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import re
+from collections.abc import Iterable, Sequence
+from dataclasses import asdict, dataclass, field, replace
+
+from pyspark.sql import DataFrame, SparkSession
+
+from isoframe.functions.columns import DELIMITERS
+
+#: Folders that a scan doesn't enter.
+SKIPPED = {".git", ".snakemake", "__pycache__", "node_modules", "work", "tmp", "logs", ".cache"}
+
+
+@dataclass(frozen=True)
+class Comparison:
+    comparison_id: str
+    display_name: str | None = None
+    experiment: str | None = None
+    control: str | None = None
+    event_folder: str | None = None
+    deg_path: str | None = None
+    source_names: dict[str, str] = field(default_factory=dict)
+    reverse_splicing: bool = False
+    reverse_deg: bool = False
+    enabled: bool = True
+
+    @property
+    def resolved_name(self) -> str:
+        return self.display_name or self.comparison_id
+
+    def source_name(self, tool: str) -> str:
+        return self.source_names.get(tool, self.comparison_id)
+
+    def groups(self) -> tuple[str | None, str | None]:
+        """Own groups, else those that the name tells."""
+        if self.experiment or self.control:
+            return self.experiment, self.control
+        return split_name(self.comparison_id)
+
+    def final_groups(self, layer: str = "splicing") -> tuple[str | None, str | None]:
+        """Groups in the wanted direction of a layer."""
+        a, b = self.groups()
+        return (b, a) if (self.reverse_splicing if layer == "splicing" else self.reverse_deg) else (a, b)
+
+    def direction_consistent(self) -> bool:
+        return self.final_groups("splicing") == self.final_groups("deg")
+
+    def direction_label(self) -> str:
+        a, b = self.final_groups("splicing")
+        return f"{a} vs {b}" if self.direction_consistent() else f"mismatch: splicing {a} vs {b}, expression {' vs '.join(map(str, self.final_groups('deg')))}"
+
+
+def split_name(name: str) -> tuple[str | None, str | None]:
+    for d in DELIMITERS:
+        a, found, b = name.partition(d)
+        if found and a and b:
+            return a, b
+    return None, None
+
+
+def reverse_state(comparison: Comparison, chosen: tuple[str, str], source: tuple[str, str]) -> bool:
+    """Whether the chosen direction is the source's turned around."""
+    return chosen == source[::-1] and chosen != source
+
+
+@dataclass(frozen=True)
+class Project:
+    comparisons: tuple[Comparison, ...] = ()
+    pairs: tuple[tuple[str, str], ...] = ()
+    groups: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    order: tuple[str, ...] = ()
+    shortlist: tuple[str, ...] = ()
+    blacklist: tuple[str, ...] = ()
+    confirmed: tuple[str, ...] = ()
+
+    #: Steps that must be confirmed one after the other before an analysis runs.
+    STEPS = ("project", "pairing", "sets", "groups")
+
+    def get(self, comparison_id: str) -> Comparison:
+        return next(c for c in self.comparisons if c.comparison_id == comparison_id)
+
+    def selected(self) -> list[Comparison]:
+        on = {c.comparison_id: c for c in self.comparisons if c.enabled}
+        first = [on[c] for c in self.order if c in on]
+        return first + [c for i, c in on.items() if i not in self.order]
+
+    def confirm(self, step: str) -> Project:
+        at = self.STEPS.index(step)
+        gone = [s for s in self.STEPS[:at] if s not in self.confirmed]
+        if gone:
+            raise ValueError(f"{gone[0]} is not confirmed")
+        return replace(self, confirmed=tuple(dict.fromkeys([*self.confirmed, step])))
+
+    def ready(self) -> bool:
+        return all(s in self.confirmed for s in self.STEPS)
+
+    def remove(self, comparison_id: str) -> Project:
+        """Without a comparison, and without the pairs and group entries that named it."""
+        return replace(
+            self, comparisons=tuple(c for c in self.comparisons if c.comparison_id != comparison_id), pairs=tuple(p for p in self.pairs if comparison_id not in p),
+            groups={k: kept for k, v in self.groups.items() if (kept := tuple(c for c in v if c != comparison_id))}, order=tuple(c for c in self.order if c != comparison_id),
+        )
+
+    def move(self, comparison_id: str, by: int) -> Project:
+        order = [c.comparison_id for c in self.selected()]
+        at = order.index(comparison_id)
+        to = min(max(at + by, 0), len(order) - 1)
+        order.insert(to, order.pop(at))
+        return replace(self, order=tuple(order))
+
+    def update(self, comparison: Comparison) -> Project:
+        return replace(self, comparisons=tuple(comparison if c.comparison_id == comparison.comparison_id else c for c in self.comparisons))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """comparison, name, experiment, control, reverse_splicing, reverse_deg, rank of the selected comparisons."""
+        rows = [(c.comparison_id, c.resolved_name, *c.final_groups(), c.reverse_splicing, c.reverse_deg, i) for i, c in enumerate(self.selected())]
+        return spark.createDataFrame(rows, "comparison string, name string, experiment string, control string, reverse_splicing boolean, reverse_deg boolean, rank int")
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), indent=1, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> Project:
+        x = json.loads(text)
+        tuples = {k: tuple(map(tuple, v)) if k == "pairs" else tuple(v) for k, v in x.items() if k not in ("comparisons", "groups")}
+        return cls(comparisons=tuple(Comparison(**c) for c in x["comparisons"]), groups={k: tuple(v) for k, v in x["groups"].items()}, **tuples)
+
+
+def merge_aliases(found: Iterable[Comparison]) -> list[Comparison]:
+    """Comparisons that share any name become one: the best described is kept and takes what it lacks from the others."""
+    merged: list[tuple[set[str], Comparison]] = []
+    for c in found:
+        names = {_key(n) for n in (c.comparison_id, c.display_name, *c.source_names.values()) if n}
+        same = [m for m in merged if m[0] & names]
+        merged = [m for m in merged if m not in same]
+        pool = [m[1] for m in same] + [c]
+        best = max(pool, key=lambda x: (x.event_folder is not None, x.deg_path is not None, bool(x.experiment), -len(x.comparison_id)))
+        for other in pool:
+            best = replace(best, **{f: getattr(best, f) or getattr(other, f) for f in ("display_name", "experiment", "control", "event_folder", "deg_path")}, source_names=other.source_names | best.source_names)
+        merged.append((names.union(*(m[0] for m in same)), best))
+    return [c for _, c in merged]
+
+
+def _key(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+
+
+def scan(root: str) -> list[Comparison]:
+    """Comparisons below a local folder: those with an event folder or an expression table, aliases merged."""
+    found = []
+    for folder, dirs, files in os.walk(root):
+        dirs[:] = sorted(d for d in dirs if d not in SKIPPED)
+        if any(re.fullmatch(r"(SE|RI|A3SS|A5SS|MXE)\.MATS\.(JC|JCEC)\.txt", f) for f in files):
+            name = os.path.basename(os.path.dirname(folder) if os.path.basename(folder) == "rmats_post" else folder)
+            found.append(_described(name, event_folder=folder))
+        for f in sorted(files):
+            if f.endswith(".deseq2.results.tsv"):
+                found.append(_described(f.removesuffix(".deseq2.results.tsv"), deg_path=os.path.join(folder, f)))
+    return merge_aliases(found)
+
+
+def _described(name: str, **paths: str) -> Comparison:
+    a, b = split_name(name)
+    return Comparison(name, experiment=a, control=b, **paths)
+
+
+def consecutive_pairs(ids: Sequence[str], all_pairs: bool = False) -> list[tuple[str, str]]:
+    """Contrasts of an ordered list of conditions: neighbours, or all combinations."""
+    if all_pairs:
+        return [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+    return list(zip(ids, ids[1:]))

@@ -54,8 +54,8 @@ def rpkm(counts: DataFrame, total: int) -> DataFrame:
 
 def insert_lengths(pairs: DataFrame, k: float = 2.0) -> DataFrame:
     """One row: mean, sd, dispersion, n of insert lengths within k standard deviations of the first mean."""
-    first = pairs.agg(F.avg("length").alias("m"), F.stddev_pop("length").alias("s"))
-    kept = pairs.join(F.broadcast(first), F.abs(F.col("length") - F.col("m")) <= k * F.col("s"))  # one row
+    mean, sd = pairs.agg(F.avg("length")).scalar(), pairs.agg(F.stddev_pop("length")).scalar()
+    kept = pairs.where(F.abs(F.col("length") - mean) <= k * sd)
     return kept.agg(F.avg("length").alias("mean"), F.stddev_pop("length").alias("sd"), F.count("*").alias("n")).withColumn("dispersion", F.col("sd") / F.sqrt("mean"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoframe.plans import core, splicing
+from isoframe.plans import convert, core, splicing
 
-MODULES = [core, splicing]
+MODULES = [core, splicing, convert]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

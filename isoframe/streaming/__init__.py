@@ -1 +1 @@
-
+"""Incremental work over newly arriving tables."""
