@@ -209,7 +209,7 @@ def plot_class(deg: Column, splicing: Column, log2fc: Column, dpsi: Column) -> C
 
 def log_score(q: Column | str) -> Column:
     """-log10 of a corrected p-value, at most 300; null: 0."""
-    return F.coalesce(-F.log10(F.greatest(col(q), F.lit(1e-300))), F.lit(0.0))
+    return F.when(col(q).isNotNull(), -F.log10(F.greatest(col(q), F.lit(1e-300)))).otherwise(0.0)
 
 
 def gene_tokens(text: Column | str) -> Column:
@@ -256,7 +256,8 @@ def read_counts(text: Column | str) -> Column:
 
 
 def capped_bayes_factor(text: Column | str) -> Column:
-    return F.least(F.get(F.split(col(text), ","), F.lit(0)).try_cast("double"), F.lit(1e12))
+    first = F.get(F.split(col(text), ","), F.lit(0)).try_cast("double")
+    return F.when(first.isNotNull(), F.least(first, F.lit(1e12)))
 
 
 def preview_kind(name: Column | str) -> Column:

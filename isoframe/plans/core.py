@@ -385,7 +385,7 @@ def evidence_top20(spark, d):
 @query("evidence_heatmap", _CW + ", m AS (SELECT gene_id, evidence_count, n_sig_events_all AS n, coalesce(abs_log2fc, 0) AS fc FROM cand WHERE comparison = 'A') SELECT gene_id, round(evidence_count / max(evidence_count) OVER (), 6) AS evidence, round(n / max(n) OVER (), 6) AS events, round(fc / max(fc) OVER (), 6) AS fc FROM m ORDER BY evidence_count DESC, n DESC, fc DESC, gene_id LIMIT 40")
 def evidence_heatmap(spark, d):
     x = _cand(spark, d).where("comparison = 'A'").select("gene_id", "evidence_count", F.col("n_sig_events_all").alias("n"), F.coalesce("abs_log2fc", F.lit(0.0)).alias("f"))
-    most = {c: x.agg(F.max(c)).scalar() for c in ("evidence_count", "n", "f")}
+    most = x.agg(F.struct(*[F.max(c).alias(c) for c in ("evidence_count", "n", "f")])).scalar()
     y = x.orderBy(F.desc("evidence_count"), F.desc("n"), F.desc("f"), "gene_id").limit(40)
     part = lambda c: F.round(F.when(most[c] > 0, F.col(c) / most[c]).otherwise(F.col(c)), 6)
     return y.select("gene_id", part("evidence_count").alias("evidence"), part("n").alias("events"), part("f").alias("fc"))

@@ -72,6 +72,8 @@ def union_tables(frames: Sequence[DataFrame | None]) -> DataFrame | None:
 
 #: Columns that an event table must have.
 EVENT_COLUMNS = ["GeneID", "geneSymbol", "FDR", "IncLevelDifference"]
+#: Columns that the event reader adds.
+DERIVED = {"comparison", "event_type", "gene_id", "gene_symbol", "fdr", "dpsi", "abs_dpsi", "event_uid", "coordinates", "psi1", "psi2"}
 
 
 def read_events(spark: SparkSession, folder: str, comparison: str, mode: str = "JC", flip: bool = False) -> DataFrame | None:
@@ -90,9 +92,10 @@ def read_events(spark: SparkSession, folder: str, comparison: str, mode: str = "
         dpsi = C.flipped(C.number("IncLevelDifference"), F.lit(flip))
         levels = [C.inc_level_mean(f"IncLevel{i}") if f"IncLevel{i}" in present else F.lit(None).cast("double") for i in (1, 2)]
         one, two = levels[::-1] if flip else levels
+        own = [f"`{c}`" for c in present if c.lower() not in DERIVED]  # names differ by more than case
         frames.append(
             df.select(
-                "*", F.lit(comparison).alias("comparison"), F.lit(kind).alias("event_type"), C.normalize_gene_id("GeneID").alias("gene_id"), C.clean_text("geneSymbol").alias("gene_symbol"),
+                *own, F.lit(comparison).alias("comparison"), F.lit(kind).alias("event_type"), C.normalize_gene_id("GeneID").alias("gene_id"), C.clean_text("geneSymbol").alias("gene_symbol"),
                 C.number("FDR").alias("fdr"), dpsi.alias("dpsi"), F.abs(dpsi).alias("abs_dpsi"), C.event_uid(kind, present).alias("event_uid"),
                 C.coordinates_text(F.lit(kind), [c for c in C.UID_COLUMNS[kind] if c in present]).alias("coordinates"), one.alias("psi1"), two.alias("psi2"),
             )
