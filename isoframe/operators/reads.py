@@ -126,3 +126,55 @@ def threshold_counts(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """threshold, n of rows with at least that Bayes factor."""
     sums = rows.agg(*[F.count_if(F.col("bf") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("n")) for i, t in enumerate(thresholds)])).alias("x")).select("x.*")
+
+
+def overlay(depths: DataFrame, samples: DataFrame, use_median: bool = False) -> DataFrame:
+    """group, pos, depth: mean or median over the samples of a group of depths (sample, pos, depth)."""
+    f = F.median if use_median else F.avg
+    return depths.join(samples, "sample").groupBy("group", "pos").agg(f("depth").alias("depth"))
+
+
+def compressed(depths: DataFrame, keys: Sequence[str], resolution: float) -> DataFrame:
+    """keys, bin, depth: mean depth of plotted positions (x, depth) within each bin of ``resolution``."""
+    return depths.groupBy(*keys, F.floor(F.col("x") / resolution).alias("bin")).agg(F.avg("depth").alias("depth"))
+
+
+def plot_scale(segments: DataFrame, keys: Sequence[str], exon_scale: float, intron_scale: float) -> DataFrame:
+    """``segments`` (start, end, exonic) with x, their plotted start: a base takes 1 / scale, summed from the first segment on."""
+    width = (F.col("end") - F.col("start")) / F.when(F.col("exonic"), exon_scale).otherwise(intron_scale)
+    before = F.sum(width).over(Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    return segments.withColumn("x", F.coalesce(before, F.lit(0.0)))
+
+
+def read_classes(assigned: DataFrame) -> DataFrame:
+    """gene, fits (0/1 for each isoform), n of reads (gene, read, isoform, ok)."""
+    vectors = assigned.groupBy("gene", "read").agg(F.transform(F.array_sort(F.collect_list(F.struct("isoform", F.col("ok").cast("int").alias("ok")))), lambda x: x["ok"]).alias("fits"))
+    return vectors.groupBy("gene", "fits").agg(F.count("*").alias("n"))
+
+
+def isoform_fits(reads: DataFrame, exons: DataFrame, overhang: int = 1) -> DataFrame:
+    """gene, read, isoform, ok: the read's blocks are the isoform's exons cut by the read, with enough overhang.
+
+    reads: gene, read, pos, cigar.  exons: gene, isoform, start, end.  A block fits an exon that
+    holds it; inner edges must be the exon's own, and blocks must meet exons without a gap.
+    """
+    blocks = aligned_blocks(reads).where("kind <> 'N'").select("gene", "read", "start", "end")
+    w = Window.partitionBy("gene", "read").orderBy("start")
+    n = F.count("*").over(Window.partitionBy("gene", "read"))
+    blocks = blocks.withColumn("k", F.row_number().over(w)).withColumn("m", n)
+    order = F.row_number().over(Window.partitionBy("gene", "isoform").orderBy("es"))
+    iso = exons.select("gene", "isoform", F.col("start").alias("es"), F.col("end").alias("ee")).withColumn("i", order)
+    met = blocks.join(iso, "gene").where((F.col("start") >= F.col("es")) & (F.col("end") <= F.col("ee")))
+    left = (F.col("k") == 1) | (F.col("start") == F.col("es"))
+    right = (F.col("k") == F.col("m")) | (F.col("end") == F.col("ee"))
+    long = (F.col("m") == 1) | (F.col("end") - F.col("start") + 1 >= overhang)
+    good = met.where(left & right & long).groupBy("gene", "read", "isoform", "m").agg(F.count("*").alias("found"), (F.max("i") - F.min("i") + 1).alias("span"))
+    every = blocks.select("gene", "read").distinct().join(exons.select("gene", "isoform").distinct(), "gene")
+    ok = F.coalesce((F.col("found") == F.col("m")) & (F.col("span") == F.col("m")), F.lit(False))
+    return every.join(good, ["gene", "read", "isoform"], "left").select("gene", "read", "isoform", ok.alias("ok"))
+
+
+def expected_counts(isoforms: DataFrame, read_length: int, total: int) -> DataFrame:
+    """``isoforms`` (gene, isoform, length, psi) with expected reads: shares of psi times the positions that a read fits."""
+    weight = F.col("psi") * F.greatest(F.col("length") - read_length + 1, F.lit(0))
+    return isoforms.withColumn("expected", total * weight / F.sum(weight).over(Window.partitionBy("gene")))

@@ -65,13 +65,30 @@ def event_label(kind: str) -> Column:
         return t("upstreamES", "-", "upstreamEE", ":", "downstreamES", "-", "downstreamEE")
     if kind == "MXE":
         return t("upstreamEE", ",", "1stExonStart_0base", "-", "1stExonEnd", ":", "2ndExonStart_0base", "-", "2ndExonEnd", ",", "downstreamES")
-    return t("longExonStart_0base", "-", "longExonEnd", ":", "shortES", "-", "shortEE", ",", "flankingES", "-", "flankingEE")
+    if kind == "A5SS":
+        return t("longExonStart_0base", "-", "longExonEnd", ":", "shortES", "-", "shortEE", ",", "flankingES")
+    return t("flankingEE", ",", "longExonStart_0base", "-", "longExonEnd", ":", "shortES", "-", "shortEE")
 
 
-def from_events(events: DataFrame, kind: str, order: str = "ID") -> DataFrame:
-    """An event table (file columns as text) of one type; group ids count its rows in the order of ``order``."""
+#: The order of types in which a converted file numbers its events.
+FILE_ORDER = ["SE", "RI", "MXE", "A5SS", "A3SS"]
+
+
+def from_all_events(tables: dict[str, DataFrame]) -> DataFrame:
+    """Event tables of one comparison by type, numbered through in file order."""
+    out, before = None, 0
+    for kind in FILE_ORDER:
+        if kind in tables:
+            part = from_events(tables[kind], kind, before=before)
+            out = part if out is None else out.unionByName(part)
+            before += tables[kind].count()
+    return out
+
+
+def from_events(events: DataFrame, kind: str, order: str = "ID", before: int = 0) -> DataFrame:
+    """An event table (file columns as text) of one type; group ids count its rows in the order of ``order``, after ``before`` others."""
     symbol = F.regexp_replace("geneSymbol", '^"|"$', "")
-    n = F.row_number().over(Window.orderBy(F.col(order).try_cast("long")))
+    n = F.row_number().over(Window.orderBy(F.col(order).try_cast("long"))) + before  # one comparison's events of one type
     list_of = lambda a, b: C.numbers(F.concat_ws(",", a, b))
     return events.select(
         F.when(F.col("geneSymbol").isNull() | (symbol == "NA"), F.regexp_replace("GeneID", '^"|"$', "")).otherwise(symbol).alias("GeneName"),

@@ -110,3 +110,31 @@ def test_principal_components(spark):
     out = M.principal_components(spark.createDataFrame(rows, "feature string, sample string, value double"), 2).collect()
     share = {r.pc: r.explained for r in out}
     assert share[1] > 0.95 and abs(sum(r.score for r in out if r.pc == 1)) < 1e-9
+
+
+def test_event_ids(spark):
+    from isoframe.functions import event_ids as E
+
+    row = dict(chr="chr16", strand="-", exonStart_0base=4851267, exonEnd=4851322, upstreamES=4850498, upstreamEE=4850579, downstreamES=4851503, downstreamEE=4851586, longExonStart_0base=10, longExonEnd=30, shortES=10, shortEE=20, flankingES=40, flankingEE=50)
+    df = spark.createDataFrame([row])
+    got = df.select(E.local_event_id("SE", F.lit("g")).alias("se"), E.local_event_id("A5SS", F.lit("g")).alias("a5"), E.local_event_id("A3SS", F.lit("g")).alias("a3"), E.joined_exons_id("SE").alias("at")).first()
+    assert got.se == "g;SE:chr16:4850579-4851268:4851322-4851504:-"
+    assert got.a5 == "g;A5:chr16:50-11:50-11:-" and got.a3 == "g;A3:chr16:30-41:20-41:-"
+    assert got["at"] == "chr16_4851504_4851586_-@chr16_4851268_4851322_-@chr16_4850499_4850579_-"
+    assert [(r.isoform, r.start, r.end) for r in E.isoform_rows(df, "SE").collect()] == [("A", 4850499, 4850579), ("A", 4851268, 4851322), ("A", 4851504, 4851586), ("B", 4850499, 4850579), ("B", 4851504, 4851586)]
+    labels = ["chr1:5,10-20,30", "chr1:1-5:30-40", "chr1:5,10-20:22-28,30", "chr1:1-9:1-5,20", "chr1:5,10-20:12-20", "x"]
+    found = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, l string").orderBy("i").select(E.junctions_of_label(F.col("l"))).collect()]
+    flat = [f and ([tuple(x) for x in f.inclusion], [tuple(x) for x in f.exclusion]) for f in found]
+    assert flat == [([(5, 10), (20, 30)], [(5, 30)]), ([(5, 30)], []), ([(5, 10), (20, 30)], [(5, 22), (28, 30)]), ([(9, 20)], [(5, 20)]), ([(5, 10)], [(5, 12)]), None]
+    with pytest.raises(ValueError):
+        E.two_isoform_model("ALE", F.array(F.lit(1)))
+
+
+def test_isoform_fits(spark):
+    exons = spark.createDataFrame([("g", "i1", 1, 10), ("g", "i1", 21, 30), ("g", "i1", 41, 50), ("g", "i2", 1, 10), ("g", "i2", 41, 50)], "gene string, isoform string, start long, end long")
+    reads = spark.createDataFrame([("g", "a", 6, "5M10N5M"), ("g", "b", 6, "5M30N5M"), ("g", "c", 2, "5M"), ("g", "d", 8, "5M")], "gene string, read string, pos long, cigar string")
+    out = R.isoform_fits(reads, exons)
+    assert {(r.read, r.isoform): r.ok for r in out.collect()} == {("a", "i1"): True, ("a", "i2"): False, ("b", "i1"): False, ("b", "i2"): True, ("c", "i1"): True, ("c", "i2"): True, ("d", "i1"): False, ("d", "i2"): False}
+    assert {tuple(r.fits): r.n for r in R.read_classes(out).collect()} == {(1, 0): 1, (0, 1): 1, (1, 1): 1, (0, 0): 1}
+    seg = spark.createDataFrame([("g", 0, 10, True), ("g", 10, 110, False), ("g", 110, 120, True)], "gene string, start long, end long, exonic boolean")
+    assert [r.x for r in R.plot_scale(seg, ["gene"], 1.0, 10.0).orderBy("start").collect()] == [0.0, 10.0, 20.0]
