@@ -24,6 +24,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,23 +88,30 @@ def _encode_and_cut(path: str, end_id: int):
         width = enc.dtype.itemsize
         seen: set[bytes] = set()  # of this task: a digest of each chunk of its own input
         for batch in slices(batches, "text"):
-            rows = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            sizes, roots, digests, cuts = [], [], [], [0]
+            fresh, fresh_sizes, fresh_ids, fresh_cuts = [], [], [], [0]
+            for raw in enc.encode(batch.column(1).to_pylist()):
                 raw += tail
                 ids = np.frombuffer(raw, enc.dtype)
-                at, digests, fresh = 0, [], []
+                at, mine = 0, []
                 for end in chunk_ends(ids):
                     chunk = raw[at * width : end * width]
                     d = digest(chunk)
-                    digests.append(d)
+                    mine.append(d)
                     if d not in seen:
                         seen.add(d)
-                        fresh.append({"digest": d, "n_ids": end - at, "ids": chunk})
+                        fresh.append(d)
+                        fresh_sizes.append(end - at)
+                        fresh_ids.append(chunk)
                     at = end
-                rows.append((doc_id, len(ids), merkle_root(digests), digests, fresh))
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.struct([("digest", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_tokens", "root", "digests", "fresh"])
+                sizes.append(len(ids))
+                roots.append(merkle_root(mine))
+                digests += mine
+                cuts.append(len(digests))
+                fresh_cuts.append(len(fresh))
+            chunks = pa.StructArray.from_arrays([pa.array(fresh, pa.binary()), pa.array(fresh_sizes, pa.int32()), pa.array(fresh_ids, pa.binary())], ["digest", "n_ids", "ids"])
+            lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), v) for c, v in ((cuts, pa.array(digests, pa.binary())), (fresh_cuts, chunks))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), *lists], ["doc_id", "n_tokens", "root", "digests", "fresh"])
 
     return run
 
@@ -171,8 +179,13 @@ def crc32_joined(first: int, second: int, second_bytes: int) -> int:
 
     The crc is affine: zeros in place of the second string change both sides alike.
     """
-    zeros = bytes(second_bytes)
-    return zlib.crc32(zeros, first) ^ zlib.crc32(zeros) ^ second
+    zeros, own = _zeros(second_bytes)
+    return zlib.crc32(zeros, first) ^ own ^ second
+
+
+@lru_cache(maxsize=2 * MOST)
+def _zeros(n: int) -> tuple[bytes, int]:
+    return bytes(n), zlib.crc32(bytes(n))
 
 
 def restore(store: TokenStore) -> DataFrame:
@@ -208,18 +221,24 @@ def read_back(store: TokenStore) -> DataFrame:
 
     def join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                crc, n, leaves = 0, 0, []
-                for p in r["parts"]:
-                    crc = crc32_joined(crc, p["crc"], 4 * p["n"]) if n else p["crc"]
-                    n += p["n"]
-                    leaves.append(p["digest"])
-                ok = n == r["n_tokens"] and merkle_root(leaves) == r["root"]
-                rows.append((r["doc_id"], r["start"], n, crc, len(leaves), ok))
-            if rows:
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.int32(), pa.bool_()], strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
+            if not batch.num_rows:
+                continue
+            parts = batch.column(4)
+            cuts, flat = parts.offsets.to_pylist(), parts.values
+            digests, sizes, crcs = (flat.field(i).to_pylist() for i in (1, 2, 3))
+            counts, joined, fine = [], [], []
+            for a, b, wanted, root in zip(cuts, cuts[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False):
+                crc, n = 0, 0
+                for k in range(a, b):
+                    crc = crc32_joined(crc, crcs[k], 4 * sizes[k]) if n else crcs[k]
+                    n += sizes[k]
+                counts.append(n)
+                joined.append(crc)
+                fine.append(n == wanted and merkle_root(digests[a:b]) == root)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(0), pa.array(counts, pa.int64()), pa.array(joined, pa.int64()), pa.array(np.diff(cuts), pa.int32()), pa.array(fine)],
+                ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"],
+            )
 
     facts = store.chunks.mapInArrow(read_chunks, "found binary, n long, crc long, digest binary").where("found = digest").drop("found")
     pieces = store.recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("seq", "digest"))
