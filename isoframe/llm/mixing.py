@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from isoframe.llm import scratch
 
 #: Documents a block, blocks a cycle (about, for all weights together), and hash buckets that a source's ranks are counted in.
-BLOCK_DOCS, CYCLE, BUCKET_ROWS = 4, 100, 50_000
+BLOCK_DOCS, CYCLE, BUCKET_ROWS = 4, 100, 2_000
 #: Rows of the cycle table, at most, that are broadcast.
 BROADCAST_ROWS = 500_000
 
