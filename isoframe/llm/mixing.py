@@ -54,45 +54,48 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, source_co
 
     ``weights`` by source name; without them a source's weight is the square root of its
     number of documents.  Sources that ``weights`` leaves out get the smallest one.
+    Columns of ``docs`` named block, slot or place are replaced.
     """
-    counts = docs.groupBy(F.col(source_col).alias("_source")).agg(F.count("*").alias("docs"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"))  # the caller's columns can't clash
+    counts = rows.groupBy("source").agg(F.count("*").alias("docs"))
     if weights:
         known = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
-        wanted = F.coalesce(known[F.coalesce("_source", F.lit(""))], F.lit(float(min(weights.values()))))
+        wanted = F.coalesce(known[F.coalesce("source", F.lit(""))], F.lit(float(min(weights.values()))))
     else:
         wanted = F.sqrt("docs")
     every = Window.partitionBy()  # over one row a source
     sources = (
         counts.withColumn("wanted", wanted)
         .withColumn("w", F.greatest(F.lit(1).cast("long"), F.round(F.col("wanted") / F.sum("wanted").over(every) * cycle).cast("long")))
-        .withColumn("i", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_first())) - 1)
+        .withColumn("i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_first())) - 1)
         .withColumn("n", F.ceil(F.col("docs") / block_docs))
         .withColumn("buckets", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("docs") / bucket_rows)))
     )
-    sources = scratch.stage(sources.select("_source", "i", "n", "w", "buckets"), "sources")
+    sources = scratch.stage(sources.select(F.col("source").alias("name"), "i", "n", "w", "buckets"), "sources")
     table = scratch.stage(_cycles(sources), "cycles")
     small = table.count() <= BROADCAST_ROWS
     # ranks within a source: within hash buckets of bounded size, after the sizes of the buckets before
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    hashed = docs.join(F.broadcast(sources) if small else sources, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_h", h).withColumn("_bucket", F.floor(F.col("_h") * F.col("buckets") / F.lit(1 << 32)))
-    sizes = hashed.groupBy("i", "_bucket").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy("i").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("i", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("i", "_bucket").orderBy("_h", id_col)) - 1
-    ranked = hashed.withColumn("_rank", rank).join(sizes, ["i", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block_docs)).withColumn("place", (F.col("_rank") % block_docs).cast("int"))
-    ranked = ranked.withColumn("_cycle", F.floor(F.col("block") / F.col("w"))).withColumn("o", F.col("block") % F.col("w"))
-    table = table.withColumnRenamed("i", "_i").withColumnRenamed("o", "_o").withColumnRenamed("d", "_d")
-    found = ranked.join(F.broadcast(table) if small else table, (F.col("i") == F.col("_i")) & (F.col("o") == F.col("_o")) & (F.col("_cycle") >= F.col("first")) & (F.col("_cycle") < F.col("next")))
-    slot = F.col("base") + (F.col("_cycle") - F.col("first")) * F.col("_d") + F.col("pos")
-    return found.select(*[docs[c] for c in docs.columns], "block", slot.alias("slot"), "place")
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    hashed = rows.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("name"))).withColumn("h", h).withColumn("bucket", F.floor(F.col("h") * F.col("buckets") / F.lit(1 << 32)))
+    sizes = hashed.groupBy("i", "bucket").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("i", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("i", "bucket").orderBy("h", "id")) - 1
+    ranked = hashed.withColumn("rank", rank).join(sizes, ["i", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("place", (F.col("rank") % block_docs).cast("int"))
+    ranked = ranked.withColumn("cycle", F.floor(F.col("block") / F.col("w"))).withColumn("o", F.col("block") % F.col("w"))
+    table = table.withColumnsRenamed({"i": "ti", "o": "to", "d": "td"})
+    found = ranked.join(F.broadcast(table) if small else table, (F.col("i") == F.col("ti")) & (F.col("o") == F.col("to")) & (F.col("cycle") >= F.col("first")) & (F.col("cycle") < F.col("next")))
+    slot = F.col("base") + (F.col("cycle") - F.col("first")) * F.col("td") + F.col("pos")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("block", "slot", "place")]
+    return found.select(*own, "block", slot.alias("slot"), "place")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, **named) -> DataFrame:
     """``docs`` in the order of the mix: files of the written result hold it one after the other."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mixed = schedule(docs, weights, **named)
-    return mixed.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    mixed = schedule(docs.select(F.struct("*").alias("_row"), F.col(named.get("source_col", "source")).alias("source"), F.col(named.get("id_col", "doc_id")).alias("doc_id")), weights, **{k: v for k, v in named.items() if k not in ("source_col", "id_col")})
+    return mixed.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
