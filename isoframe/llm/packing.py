@@ -8,7 +8,7 @@ bin-packing problem of its own that several islands solve: a solution is a list
 parent into the other, removes the bins that hold an injected piece already, and puts
 the displaced pieces back best-fit, longest first.  After every round each island
 receives its neighbour's elite.  A block that has reached the lower bound of its
-problem rests.  The emptiest bin of every block then goes to a next, far smaller level
+problem rests.  The emptiest bins of every block then go to a next, far smaller level
 of blocks, until one block is left, so that the space that blocks waste is at most
 about one sequence in all where small pieces fill the gaps.
 
@@ -34,6 +34,8 @@ from isoframe.llm.tokenize import encoder
 CAPACITY = 1024
 #: Pieces a block, islands a block, rounds between migrations, generations a round, solutions an island.
 BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 3, 3, 12, 6
+#: Bins filled less than this go to the next level: a quarter of a block's bins at most, and its emptiest in any case.
+LOOSE = 0.98
 
 _PIECES = "uid long, doc_id long, piece int, start long, length int, crc long"
 
@@ -238,13 +240,14 @@ def _place(spread: bool, capacity: int):
                 bins: dict[int, list] = {}
                 for item, b in zip(r["items"], r["elite"], strict=True):
                     bins.setdefault(b, []).append(item)
-                emptiest = min(bins, key=lambda b: (sum(x["length"] for x in bins[b]), b)) if spread else None
+                fill = sorted((sum(x["length"] for x in items), b) for b, items in bins.items())
+                loose = {b for n, b in fill[: max(1, len(fill) // 4)] if n < LOOSE * capacity} | {fill[0][1]} if spread else set()
                 rows = []
                 for b, items in bins.items():
                     items.sort(key=lambda x: x["uid"])
                     at = 0
                     for x in items:
-                        rows.append((x["doc_id"], x["piece"], x["start"], x["length"], x["crc"], items[0]["uid"], at, x["uid"], b == emptiest))
+                        rows.append((x["doc_id"], x["piece"], x["start"], x["length"], x["crc"], items[0]["uid"], at, x["uid"], b in loose))
                         at += x["length"]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "uid", "leave"])
@@ -258,7 +261,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
     pieces = scratch.stage(texts.mapInArrow(_pieces(tokenizer_path, end_id, capacity), _PIECES), "pieces")
     out = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", F.col("length").cast("long"), F.col("crc").alias("ids_crc32"), F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     level = pieces.where(F.col("length") < capacity)
-    n, read_order = level.count(), True
+    n = level.count()
+    read_order = n > block
     while n:
         # a piece's number within its task makes the first blocks; what they leave is dealt by hash
         n_blocks = -(-n // block)

@@ -230,7 +230,6 @@ def test_packing_places_every_piece(spark):
     rng = random.Random(8)
     texts = ODD + [prose(rng, rng.randrange(1, 900)) for _ in range(150)]
     docs = documents(spark, texts).unionByName(documents(spark, texts).where("doc_id = 20"))
-    rows = packing.pack(docs, BYTE_BPE, 2, block=64).collect()
     tok = Tokenizer.from_file(BYTE_BPE)
     tok.encode_special_tokens = True
     want = collections.Counter()
@@ -238,17 +237,20 @@ def test_packing_places_every_piece(spark):
         ids = np.array([*(tok.encode(texts[i], add_special_tokens=False).ids if texts[i] else []), 2], "<u4")
         for p, (a, n) in enumerate(packing.piece_bounds(len(ids))):
             want[i, p, a, n, zlib.crc32(ids[a : a + n].tobytes())] += 1
-    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
-    bins = collections.defaultdict(list)
-    for r in rows:
-        bins[r.sequence_id].append((r.offset, r.length))
-    for b in bins.values():
-        at = 0
-        for offset, n in sorted(b):
-            assert offset == at
-            at += n
-        assert at <= 1024
-    assert len(bins) <= -(-sum(r.length for r in rows) // 1024) + 2
+    for block, spare in ((64, 0.03), (packing.BLOCK, 0.005)):
+        rows = packing.pack(docs, BYTE_BPE, 2, block=block).collect()
+        assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+        bins = collections.defaultdict(list)
+        for r in rows:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for b in bins.values():
+            at = 0
+            for offset, n in sorted(b):
+                assert offset == at
+                at += n
+            assert at <= 1024
+        short = np.array([r.length for r in rows if r.length < 1024])
+        assert len(bins) <= (1 + spare) * (len(rows) - len(short) + packing.lower_bound(short)) + 1
     assert packing.pack(documents(spark, []), BYTE_BPE, 2).count() == 0
 
 
