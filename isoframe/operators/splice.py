@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoframe.operators.ordering import fixed, indexed, least_after, neighbours, parted
+
 _GENE = ["gene", "chr", "strand"]
 
 
@@ -203,18 +205,15 @@ def empirical_p(events: DataFrame, deltas: DataFrame, area: int = 1000, lower: f
     below ``lower`` have p 1.  Sorted differences are dealt to blocks of ``area`` rows, so
     an event meets the two or three blocks around its place, not all pairs.
     """
-    w = Window.orderBy("abundance", "delta", "event_id", "cond", "s1", "s2")
-    placed = deltas.withColumn("i", F.row_number().over(w) - 1)
-    n = deltas.count()
+    placed = indexed(deltas, ["abundance", "delta", "event_id", "cond", "s1", "s2"]).withColumnRenamed("_i", "i")
+    n = placed.count()
     if not n:
         return events.select("event_id", F.lit(None).cast("double").alias("p"))
     values = placed.groupBy("abundance").agg(F.min("i").alias("i"))
     both = events.where("abundance is not null").select("event_id", "dpsi", "abundance", F.lit(None).cast("long").alias("i")).unionByName(values.select(F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("double").alias("dpsi"), "abundance", "i"))
-    # nearest value on both sides, by running windows over abundance blocks
-    before = Window.orderBy("abundance", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.orderBy(F.desc("abundance"), F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    pair = F.when(F.col("i").isNotNull(), F.struct("abundance", "i"))
-    near = both.withColumn("lo", F.last(pair, ignorenulls=True).over(before)).withColumn("hi", F.last(pair, ignorenulls=True).over(after)).where("event_id is not null")
+    # the nearest value on both sides; values sort before events of the same abundance
+    marked = F.when(F.col("i").isNotNull(), F.struct("abundance", "i"))
+    near = neighbours(parted(both, ["abundance"]), ["abundance", F.col("event_id").isNotNull()], marked).where("event_id is not null").select("event_id", "dpsi", "abundance", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
     up = F.col("lo").isNull() | (F.col("hi.abundance") - F.col("abundance") < F.col("abundance") - F.col("lo.abundance"))
     at = F.when(up, F.col("hi.i")).otherwise(F.col("lo.i"))
     half = area // 2
@@ -229,16 +228,21 @@ def empirical_p(events: DataFrame, deltas: DataFrame, area: int = 1000, lower: f
 def bh(rows: DataFrame, p: str = "p", by: Sequence[str] = (), key: Sequence[str] = ("event_id",)) -> DataFrame:
     """``rows`` with fdr, Benjamini and Hochberg's step-up over all rows or within ``by``; null p stay null."""
     fine = rows.where(F.col(p).isNotNull())
-    order = Window.partitionBy(*by).orderBy(p, *key)
-    ranked = fine.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy(*by)))
-    step = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(Window.partitionBy(*by).orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
-    done = ranked.withColumn("fdr", F.least(step, F.lit(1.0))).drop("_r", "_m")
+    if by:
+        order = Window.partitionBy(*by).orderBy(p, *key)
+        ranked = fine.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy(*by)))
+        step = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(Window.partitionBy(*by).orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
+        done = ranked.withColumn("fdr", F.least(step, F.lit(1.0))).drop("_r", "_m")
+    else:  # one order over all rows, by range partitions
+        ranked = indexed(fine, [p, *key])
+        m = ranked.count()
+        done = least_after(ranked, F.col(p) * m / (F.col("_i") + 1), "_i").withColumn("fdr", F.least("_least", F.lit(1.0))).drop("_p", "_i", "_least")
     return done.unionByName(rows.where(F.col(p).isNull()).withColumn("fdr", F.lit(None).cast("double")))
 
 
 def log10_p(rows: DataFrame, p: str = "p", limit: float = 0.05) -> DataFrame:
     """``rows`` with log10p and significant; a p of 0 counts as half the smallest other p."""
-    least = F.min(F.when(F.col(p) != 0, F.col(p))).over(Window.partitionBy())
+    least = rows.where(F.col(p) != 0).agg(F.min(p)).scalar()
     value = F.when(F.col(p) == 0, least / 2).otherwise(F.col(p))
     return rows.withColumn("log10p", -F.log10(value)).withColumn("significant", F.col(p) < limit)
 
@@ -307,7 +311,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int, dims: Sequence[str])
     links = near.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
     labels = core.withColumn("cluster", F.col("id"))
     while True:
-        fresh = links.join(labels.withColumnRenamed("id", "other").withColumnRenamed("cluster", "c"), "other").groupBy("id").agg(F.min("c").alias("cluster")).checkpoint()
+        fresh = fixed(links.join(labels.withColumnRenamed("id", "other").withColumnRenamed("cluster", "c"), "other").groupBy("id").agg(F.min("c").alias("cluster")))
         changed = fresh.join(labels.withColumnRenamed("cluster", "was"), "id").where("cluster <> was").isEmpty()
         labels = fresh
         if changed:

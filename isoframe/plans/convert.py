@@ -163,12 +163,6 @@ def landscape_by_pair(spark, d):
 
 @query("psi_cluster_labels")
 def psi_cluster_labels(spark, d):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local())
     x = X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).cast("double").alias("x"), ((F.col("p_partkey") * 7 % 100) / 100.0).cast("double").alias("y"))
     return S.dbscan(x, 0.02, 3, ["x", "y"])
 
-
-def _local() -> str:
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="isoframe-")

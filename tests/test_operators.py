@@ -91,7 +91,6 @@ def test_empirical_p_equals_brute_force(spark):
 
 def test_clusters(spark):
     pts = [(i, 0.01 * i, 0.0) for i in range(5)] + [(10 + i, 1 + 0.01 * i, 1.0) for i in range(4)] + [(99, 5.0, 5.0)]
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     got = {r.id: r.cluster for r in S.dbscan(spark.createDataFrame(pts, "id long, x double, y double"), 0.021, 3, ["x", "y"]).collect()}
     assert {got[i] for i in range(5)} == {0} and {got[i] for i in range(10, 14)} == {10} and got[99] is None
 
