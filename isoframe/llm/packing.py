@@ -185,11 +185,11 @@ def _islands(capacity: int, round_no: int):
     return run
 
 
-def _bounds(capacity: int):
+def _bounds(capacity: int, spare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["lengths"]], pa.list_(pa.int32())), pa.array([lower_bound(np.array(r["lengths"], np.int64), capacity)], pa.int32())], ["block", "lengths", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["lengths"]], pa.list_(pa.int32())), pa.array([lower_bound(np.array(r["lengths"], np.int64), capacity) + spare], pa.int32())], ["block", "lengths", "bound"])
 
     return run
 
@@ -197,9 +197,12 @@ def _bounds(capacity: int):
 _STATE = "block long, island int, bound int, bins int, score double, elite array<int>"
 
 
-def _solve_level(blocks: DataFrame, capacity: int, islands: int, rounds: int) -> DataFrame:
-    """block, elite (bin of each piece): the best solution that the islands of each block found."""
-    todo = scratch.stage(blocks.select("block", F.transform("items", lambda x: x["length"]).alias("lengths")).mapInArrow(_bounds(capacity), "block long, lengths array<int>, bound int"), "problems")
+def _solve_level(blocks: DataFrame, capacity: int, islands: int, rounds: int, spare: int) -> DataFrame:
+    """block, elite (bin of each piece): the best solution that the islands of each block found.
+
+    Blocks within ``spare`` bins of the lower bound rest.
+    """
+    todo = scratch.stage(blocks.select("block", F.transform("items", lambda x: x["length"]).alias("lengths")).mapInArrow(_bounds(capacity, spare), "block long, lengths array<int>, bound int"), "problems")
     # every island's first solution is plain best-fit decreasing, so one island finds the blocks that need no evolution
     first = todo.select("block", F.lit(0).alias("island"), "bound", "lengths", F.lit(None).cast("array<int>").alias("elite"))
     state = scratch.stage(first.mapInArrow(_islands(capacity, 0), _STATE), "island")
@@ -273,8 +276,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
             .agg(F.sort_array(F.collect_list(F.struct("length", "uid", "doc_id", "piece", "start", "crc")), asc=False).cast(_ITEM).alias("items")),
             "blocks",
         )
-        best = _solve_level(blocks, capacity, islands, rounds)
-        placed = scratch.stage(blocks.join(best, "block").select("items", "elite").mapInArrow(_place(read_order or n_blocks > 1, capacity), _PLACED), "placed")
+        more = read_order or n_blocks > 1
+        # what a block has over its bound goes on with its loose bins, so only the last level evolves for the last bin
+        best = _solve_level(blocks, capacity, islands, rounds, spare=int(more))
+        placed = scratch.stage(blocks.join(best, "block").select("items", "elite").mapInArrow(_place(more, capacity), _PLACED), "placed")
         scratch.drop(blocks)
         out = out.unionByName(placed.where(~F.col("leave")).select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", F.col("offset").cast("long")))
         level = placed.where("leave").select("uid", "doc_id", "piece", "start", "length", F.col("ids_crc32").alias("crc"))
