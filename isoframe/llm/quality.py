@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from isoframe.llm.arrow import flat, mix, shingle_hashes, slices, span_hashes, word_bounds
 from isoframe.llm.folds import labelled_sample
+from isoframe.llm.tokenize import forget
 
 #: Labelled rows of each class, at most, that the model learns from.
 SAMPLE = {0: 1200, 1: 2400}
@@ -211,6 +212,7 @@ def judge(docs: DataFrame, weights: np.ndarray, keep_at: float = KEEP_AT) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # fixed size: 3 * 2**BUCKETS_LOG2 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         w = shared.value
         for batch in slices(batches, "text"):
             counted = Counted(batch.column(batch.schema.get_field_index("text")))

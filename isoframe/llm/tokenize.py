@@ -118,3 +118,8 @@ def encoder(path: str) -> UnitEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Let go of encoders that an earlier stage left in this worker."""
+    _ENCODERS.clear()
