@@ -308,6 +308,51 @@ def test_mixing_follows_deadlines(spark):
     assert mixing.schedule(docs.limit(0)).count() == 0
 
 
+def fluid_by_force(n, w, slots):
+    """What has flowed of every source after each slot, where a source that has run out leaves its share to the others."""
+    out, flowed = [], [0.0] * len(n)
+    for _ in range(slots):
+        need = 1.0
+        while need > 1e-12:
+            live = [i for i in range(len(n)) if n[i] - flowed[i] > 1e-9]
+            if not live:
+                break
+            rate = sum(w[i] for i in live)
+            step = min([need / rate] + [(n[i] - flowed[i]) / w[i] for i in live])
+            for i in live:
+                flowed[i] += w[i] * step
+            need -= step * rate
+        out.append(list(flowed))
+    return out
+
+
+def test_mixing_is_within_a_block_of_exact_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "JOB_SLOTS", 300)
+    monkeypatch.setattr(mixing, "FOLD_SLOTS", 64)
+    monkeypatch.setattr(mixing, "GROUP", 50)
+    roots = {f"s{k:03}": 130 if k else 1300 for k in range(21)}  # square roots: no whole hundredths
+    many = {f"s{k:03}": 700 if not k else 3 + k % 7 for k in range(160)}
+    heavy = {name: 1 / 3 if name == "s000" else 2 / 3 / 159 for name in many}
+    spent = {"a": 40, "b": 700, "c": 9, "d": 30}
+    for counts, weights in ((roots, None), (many, heavy), (spent, {"a": 2**0.5, "b": 1.0, "c": 0.0, "d": 3.0})):
+        docs = spark.createDataFrame([(i, s) for i, s in enumerate([s for s, k in counts.items() for _ in range(k)])], "doc_id long, source string")
+        slots, seen = {}, set()
+        for r in mixing.schedule(docs, weights, block_docs=2).collect():
+            assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+            seen.add(r.doc_id)
+        names = sorted(counts)
+        n = [-(-counts[s] // 2) for s in names]
+        wanted = [weights[s] if weights else counts[s] ** 0.5 for s in names]
+        assert len(seen) == sum(counts.values()) and sorted(slots) == list(range(sum(n)))
+        taken, first_end = collections.Counter(), min(k / x * sum(wanted) for k, x in zip(n, wanted, strict=True) if x)
+        for t, flowed in enumerate(fluid_by_force(n, [x or 1e-15 for x in wanted], sum(n))):
+            assert slots[t][1] == taken[slots[t][0]]
+            taken[slots[t][0]] += 1
+            assert all(abs(taken[s] - f) < 1 + 1e-6 for s, f in zip(names, flowed, strict=True))
+            if t + 1 <= first_end:
+                assert all(abs(taken[s] - (t + 1) * x / sum(wanted)) < 1 + 1e-6 for s, x in zip(names, wanted, strict=True))
+
+
 def test_url_filter_rules(spark):
     urls = ["http://a.example.net/en/1", "https://EXAMPLE.com/de/x?y", "http://x.org/fr/", "http://x.org/fr", "http://sub.free-bets.example.com/fr/a", "http://net/", "http://net", None, "nothing", "http://h.net#a", "ftp://a.b.c.example.com/de/1/2#z", "http://evilexample.com/de/", "://", "http://q.example.net/en/1://x"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + urls[:1])], "page_id long, url string, key string")
