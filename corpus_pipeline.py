@@ -44,7 +44,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences of 1024 tokens within windows of the mix."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, keep_order=True)
 
 
 STAGES = [

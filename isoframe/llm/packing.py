@@ -2,15 +2,18 @@
 
 Documents become token streams (ids and an end id).  Streams longer than a sequence are
 cut into pieces of exactly one sequence, the first piece taking the rest; whole-sequence
-pieces stand alone.  All other pieces form blocks of bounded size, in the order in which
-they are read (so a mix that the input's order holds stays a mix), and each block is a
+pieces stand alone.  All other pieces form blocks of bounded size, dealt by hash or (with
+``keep_order``, so that a mix that the input's order holds stays a mix) in the order in
+which they are read, and each block is a
 bin-packing problem of its own that several islands solve: a solution is a list of bins, crossover injects well-filled bins of one
 parent into the other, removes the bins that hold an injected piece already, and puts
 the displaced pieces back best-fit, longest first.  After every round each island
 receives its neighbour's elite.  A block that has reached the lower bound of its
-problem rests.  The emptiest bins of every block then go to a next, far smaller level
-of blocks, until one block is left, so that the space that blocks waste is at most
-about one sequence in all where small pieces fill the gaps.
+problem (one bin above it, where the excess can go on) rests.  All bins of a block that
+are filled less than LOOSE, and its emptiest until the space of what it has over its bound
+goes along, then go to a next level, dealt by hash as whole bins: a block that finds
+nothing better keeps them.  A level that saves less than one bin a block sends on only the
+emptiest quarter of each block, so that levels shrink until one block is left.
 
 Null and empty texts hold the end id alone; repeated rows are packed as often as they
 occur; an empty table gives no rows; other columns are ignored.
@@ -34,7 +37,7 @@ from isoframe.llm.tokenize import encoder
 CAPACITY = 1024
 #: Pieces a block, islands a block, rounds between migrations, generations a round, solutions an island.
 BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 3, 3, 12, 6
-#: Bins filled less than this go to the next level: a quarter of a block's bins at most, and its emptiest in any case.
+#: Bins filled less than this go to the next level, and a block's emptiest in any case.
 LOOSE = 0.98
 
 _PIECES = "uid long, doc_id long, piece int, start long, length int, crc long"
@@ -232,8 +235,18 @@ def _solve_level(blocks: DataFrame, capacity: int, islands: int, rounds: int, sp
     return out.groupBy("block").agg(F.min_by("elite", F.struct("bins", "score", "island")).alias("elite"))
 
 
-_ITEM = "array<struct<length: int, uid: long, doc_id: long, piece: int, start: long, crc: long>>"
-_PLACED = "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset int, uid long, leave boolean"
+_ITEM = "array<struct<length: int, uid: long, doc_id: long, piece: int, start: long, crc: long, bin: long>>"
+_PLACED = "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset int, uid long, leave int"
+
+
+def leaving(fill: list[tuple[int, int]], bound: int, capacity: int) -> tuple[set[int], set[int]]:
+    """Bins of a block that go on, and those that do so even from a level that saves nothing; ``fill``: (ids, bin), sorted."""
+    space, n = (len(fill) - bound) * capacity, 0
+    while n < len(fill) and (n == 0 or fill[n][0] < LOOSE * capacity or space > 0):
+        space -= capacity - fill[n][0]
+        n += 1
+    go = [b for _, b in fill[:n]]
+    return set(go), set(go[: max(1, len(fill) // 4)])
 
 
 def _place(spread: bool, capacity: int):
@@ -243,47 +256,56 @@ def _place(spread: bool, capacity: int):
                 bins: dict[int, list] = {}
                 for item, b in zip(r["items"], r["elite"], strict=True):
                     bins.setdefault(b, []).append(item)
+                if r["items"][0]["bin"] is not None and len({x["bin"] for x in r["items"]}) <= len(bins):
+                    bins = {}
+                    for item in r["items"]:
+                        bins.setdefault(item["bin"], []).append(item)
                 fill = sorted((sum(x["length"] for x in items), b) for b, items in bins.items())
-                loose = {b for n, b in fill[: max(1, len(fill) // 4)] if n < LOOSE * capacity} | {fill[0][1]} if spread else set()
+                bound = lower_bound(np.array([x["length"] for x in r["items"]], np.int64), capacity)
+                loose, anyway = leaving(fill, bound, capacity) if spread else (set(), set())
                 rows = []
                 for b, items in bins.items():
                     items.sort(key=lambda x: x["uid"])
                     at = 0
                     for x in items:
-                        rows.append((x["doc_id"], x["piece"], x["start"], x["length"], x["crc"], items[0]["uid"], at, x["uid"], b in loose))
+                        rows.append((x["doc_id"], x["piece"], x["start"], x["length"], x["crc"], items[0]["uid"], at, x["uid"], (b in loose) + (b in anyway)))
                         at += x["length"]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "uid", "leave"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", keep_order: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = scratch.stage(texts.mapInArrow(_pieces(tokenizer_path, end_id, capacity), _PIECES), "pieces")
     out = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", F.col("length").cast("long"), F.col("crc").alias("ids_crc32"), F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    level = pieces.where(F.col("length") < capacity)
+    level = pieces.where(F.col("length") < capacity).withColumn("bin", F.lit(None).cast("long"))
     n = level.count()
-    read_order = n > block
+    read_order = keep_order and n > block
+    depth, came = 0, None
     while n:
-        # a piece's number within its task makes the first blocks; what they leave is dealt by hash
+        # in reading order a piece's number within its task makes the first blocks; what blocks leave is dealt by hash, as whole bins
         n_blocks = -(-n // block)
-        number = F.floor(F.col("uid") / block) if read_order else F.pmod(F.xxhash64("uid"), F.lit(n_blocks))
+        number = F.floor(F.col("uid") / block) if read_order else F.pmod(F.xxhash64(F.coalesce("bin", "uid"), F.lit(depth)), F.lit(n_blocks))
         blocks = scratch.stage(
             level.withColumn("block", number)
             .groupBy("block")
-            .agg(F.sort_array(F.collect_list(F.struct("length", "uid", "doc_id", "piece", "start", "crc")), asc=False).cast(_ITEM).alias("items")),
+            .agg(F.sort_array(F.collect_list(F.struct("length", "uid", "doc_id", "piece", "start", "crc", "bin")), asc=False).cast(_ITEM).alias("items")),
             "blocks",
         )
         more = read_order or n_blocks > 1
-        # what a block has over its bound goes on with its loose bins, so only the last level evolves for the last bin
+        # what a block has over its bound goes on with its emptiest bins, so only the last level evolves for the last bin
         best = _solve_level(blocks, capacity, islands, rounds, spare=int(more))
         placed = scratch.stage(blocks.join(best, "block").select("items", "elite").mapInArrow(_place(more, capacity), _PLACED), "placed")
         scratch.drop(blocks)
-        out = out.unionByName(placed.where(~F.col("leave")).select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", F.col("offset").cast("long")))
-        level = placed.where("leave").select("uid", "doc_id", "piece", "start", "length", F.col("ids_crc32").alias("crc"))
-        n, read_order = level.count(), False
+        bins = placed.where("offset = 0").count()
+        goes = F.col("leave") >= (1 if came is None or came - bins >= n_blocks else 2)
+        out = out.unionByName(placed.where(~goes).select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", F.col("offset").cast("long")))
+        level = placed.where(goes).select("uid", "doc_id", "piece", "start", "length", F.col("ids_crc32").alias("crc"), F.col("sequence_id").alias("bin"))
+        n, came = level.count(), level.select("bin").distinct().count()
+        depth, read_order = depth + 1, False
     return out
 
 

@@ -254,6 +254,22 @@ def test_packing_places_every_piece(spark):
     assert packing.pack(documents(spark, []), BYTE_BPE, 2).count() == 0
 
 
+@pytest.mark.parametrize("named", [{}, {"keep_order": True}])
+def test_packing_joins_pieces_of_homogeneous_blocks(spark, named):
+    # the input is grouped by length: pieces of 58 only pair with pieces of 39, which come last; pairs stay below LOOSE
+    rows = [(i, " a" * (57 if i < 320 else 38), "en", "s", 0) for i in range(640)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS).coalesce(1), BYTE_BPE, 2, capacity=100, block=64, **named).collect()
+    assert collections.Counter(r.length for r in got) == {58: 320, 39: 320}
+    assert len({r.sequence_id for r in got}) == 320
+
+
+def test_what_a_block_has_over_its_bound_goes_on():
+    fill = [(99, b) for b in range(150)]
+    assert packing.leaving(fill, 150, 100)[0] == {0}
+    assert packing.leaving(fill, 149, 100) == (set(range(100)), set(range(37)))
+    assert packing.leaving([(10, 0), (20, 1), (50, 2), (60, 3)], 4, 100)[0] == {0, 1, 2, 3}
+
+
 def test_evolution_beats_or_equals_best_fit_decreasing():
     rng = np.random.default_rng(9)
     lengths = sorted(rng.integers(250, 480, 200).tolist(), reverse=True)
