@@ -1,7 +1,9 @@
 """Licence scan by sentence rules (operator 6), in DataFrame operations only.
 
 A text is cut into sentences at line ends and after full stops, question and exclamation
-marks that white space follows.  Sentences are normalised (lower case, runs of anything
+marks that white space follows; a known sentence is also found where it is wrapped over
+lines (with comment marks or indents before them, not over a blank line) and where a
+semicolon or colon ends it, and stands as one sentence then.  Sentences are normalised (lower case, runs of anything
 but letters and digits become one space) and mapped to the identifiers of known licence
 sentences; all others are gaps.  The sequence of identifiers is matched against ordered
 rules, each a sequence of identifiers that must follow each other without a gap; a rule
@@ -52,13 +54,29 @@ RULES = [
     ("CC-BY-4.0", [6]),
     ("proprietary", [15]),
 ]
+#: Further wordings, normalised, and the sentence that each stands for.
+VARIANTS = {"licensed under the apache license version 2 0 the license": 3}
+#: Sentences that notices print with a blank line inside.
+PARTED = {11}
 #: Every known sentence has one of these; texts without any are not cut up.
 ANCHOR = "licen|copyright|permission|redistribut|rights reserved"
 
 
+def unwrapped(text: Column) -> Column:
+    """``text`` with every known sentence that begins and ends like a sentence on a line of its own, normalised."""
+    wordings = [*VARIANTS.items(), *((s, i) for i, s in SENTENCES.items())]
+    for words, i in wordings:
+        blank = "" if i in PARTED else r"\n[^a-zA-Z0-9]*?\n|"
+        # bounded, as the regex engine recurses for each repeat of a group; longer gaps on one line are found line by line
+        gap = rf"(?:(?!{blank}[.!?]\s)[^a-zA-Z0-9]){{1,200}}"
+        pattern = rf"(?i)(\A|\n|[.!?]\s+)[^a-zA-Z0-9\n]*{gap.join(words.split())}(?=[^a-zA-Z0-9\n]*(?:\n|\z)|[^a-zA-Z0-9\s]*[.!?;:]\s)"
+        text = F.regexp_replace(text, pattern, f"$1{SENTENCES[i]}\n")
+    return text
+
+
 def identifiers(text: Column) -> Column:
     """Array with the identifier of each sentence (0: not known), in order; empty without an anchor."""
-    cut = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\f\n]+", "$1\n"), "\n")
+    cut = F.split(F.regexp_replace(unwrapped(text), r"([.!?])[ \t\r\f\n]+", "$1\n"), "\n")
     plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
     ids = F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(known[s], F.lit(0)))

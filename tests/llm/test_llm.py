@@ -400,6 +400,47 @@ def test_license_scan(spark):
     assert got[3] == got[4] == got[5] == got[7] == ("", 0, None) and got[6] == ("CC-BY-NC-4.0", 3, 0)
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law"""
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+    apart = "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met:"
+    flat = apache[2:].replace("\n# ", " ")
+    texts = [mit, bsd, apache, gpl, apart, "x not released under the MIT\nLicense.", "Released under the MIT\r\nLicense. More", flat, "All" + " -" * 5000 + " rights reserved"]
+    got = {r.doc_id: (r.licences, r.n_sentences) for r in license_scan.scan(documents(spark, texts)).collect()}
+    assert got == {0: ("MIT", 2), 1: ("BSD", 2), 2: ("Apache-2.0", 3), 3: ("GPL-3.0", 1), 4: ("", 0), 5: ("", 0), 6: ("MIT", 1), 7: ("Apache-2.0", 3), 8: ("proprietary", 1)}
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as P
 
