@@ -7,12 +7,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from isoframe.llm import jaccard, mixing, packing, quality, scratch, toxicity
 
-#: Ids up to which the list of kept documents is broadcast (8 bytes each); beyond it the documents are shuffled.
-BROADCAST_IDS = 1_000_000
 #: Probability of good quality from which on a document stays: only clear rejects go.
 KEEP_AT = 0.2
 
@@ -28,13 +25,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows without an id are left out."""
-    linked = jaccard.jaccard_join(docs)
-    kept = scratch.stage(linked.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")), "kept")
-    facts = kept.agg(F.count("*").alias("n"), F.count_distinct("_kept").alias("ids")).first()
-    ids = kept.distinct()
-    out = docs.join(F.broadcast(ids) if facts["ids"] <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return out if facts["n"] == facts["ids"] else out.dropDuplicates(["doc_id"])
+    """One document of each group of near copies, the one with the smallest id.
+
+    Null ids come last in a group; rows that repeat an id with another text are texts of
+    their own; of rows that repeat id and text one stays; texts without a word all stay.
+    """
+    return jaccard.without_copies(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
