@@ -51,12 +51,13 @@ class _Memo(dict):
 
 
 class UnitEncoder:
-    """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` on ordinary text.
+    """Encodes texts exactly as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
     Both public vocabularies split a text before every single space that is followed by
     a non-space, so a text is the concatenation of its units; units repeat a lot and are
-    remembered.  Texts where that cut isn't safe (a space before other white space) are
-    encoded whole.  Strings of special tokens are ordinary text.
+    remembered.  Texts where that cut isn't safe (a space before other white space, or the
+    string of an added token, which the library takes as that token) are encoded whole, and
+    so is a very long text without spaces.
     """
 
     def __init__(self, path: str, memo_units: int = MEMO_UNITS):
@@ -64,7 +65,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.vocab_size = self.plain.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -102,6 +103,9 @@ class UnitEncoder:
             if not text:
                 out.append(b"")
                 continue
+            if any(t in text for t in self.added):
+                out.append(self.whole(text))
+                continue
             first, *units = text.split(" ")
             try:
                 out.append(self._encode_unit(first) + b"".join(map(ids_of, units)))
