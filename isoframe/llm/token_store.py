@@ -3,18 +3,22 @@
 Documents are encoded once, where they lie.  A rolling hash over the ids cuts each
 stream into chunks at places that depend on content alone, so copies and shared passages
 give the same chunks; every chunk is stored once under its BLAKE2 digest.  A document is
-a recipe, the digests of its chunks in order, and its Merkle root is the digest over
-them; manifests hold a root for each recipe block and one root over all blocks.
+a recipe, the digests of its chunks in order, under a Merkle root; the manifest holds a
+Merkle root over the documents of each recipe block, and the seal one over all blocks.
+Reading back checks the whole chain: chunk bytes against digests, digests against the
+root of their document, documents against their block, blocks against the seal.
 
-Format (three Parquet tables under one folder):
+Format (four Parquet tables under one folder):
 
 * ``chunks``: digest, n_ids, ids (little-endian, 2 or 4 bytes an id as the vocabulary needs)
 * ``recipes``: ascending doc_id within and across ``part``: part, doc_id, start, n_tokens,
   root, digests
 * ``manifest``: part, n_docs, n_tokens, first_doc, root
+* ``seal``: n_parts, root
 
 Null and empty texts hold the end id alone.  Repeated rows stay apart (one recipe each);
-among equal doc_ids the order is that of their roots.  Empty tables give empty stores.
+among equal doc_ids the order is that of their roots.  Empty tables give empty stores
+without a seal.  A very long text is encoded by itself, in about 30 bytes of memory a byte.
 Columns other than the id and the text are ignored.
 """
 
@@ -38,6 +42,8 @@ from isoframe.llm.tokenize import encoder
 DIGEST_BYTES = 16
 #: Ids that the rolling hash sees, and chunk sizes in ids: least, mean (a power of two) and largest.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 1024
+#: Rows of a small table that a join may broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Hashes of the ids of small vocabularies, looked up instead of computed.
 _HASHED = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 _WEIGHTS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
@@ -118,11 +124,12 @@ def _encode_and_cut(path: str, end_id: int):
 
 @dataclass
 class TokenStore:
-    """The three tables of a written store."""
+    """The tables of a written store."""
 
     chunks: DataFrame
     recipes: DataFrame
     manifest: DataFrame
+    seal: DataFrame
     id_bytes: int
 
 
@@ -157,23 +164,63 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id
     placed.write.option("compression", "zstd").parquet(recipes_path)
     scratch.drop(staged)
     written = spark.read.schema("part int, doc_id long, start long, n_tokens long, root binary, digests array<binary>").parquet(recipes_path)
-    manifest = written.groupBy("part").agg(
-        F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "doc_id", F.hex("root").alias("r")))), lambda x: x["r"]), "").cast("binary"), 256).alias("root"),
-    )
-    manifest.coalesce(1).write.parquet(manifest_path)
+    blocks = _rooted(written.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"), _in_order("start", "doc_id", "root")), "part int, n_docs long, n_tokens long, first_doc long")
+    blocks.coalesce(1).write.parquet(manifest_path)
+    _seal(spark.read.schema(_MANIFEST).parquet(manifest_path)).write.parquet(f"{path}/seal")
     return open_store(spark, path, encoder(tokenizer_path).dtype.itemsize)
 
 
+_MANIFEST = "part int, n_docs long, n_tokens long, first_doc long, root binary"
+#: Roots that one task joins at a time (a power of two, so that the tree is that of all leaves).
+FAN_IN = 1024
+
+
+def _in_order(*columns: str):
+    """The roots (last column) of a group of bounded size, in the order of the columns."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(*columns))), lambda x: x[columns[-1]]).alias("leaves")
+
+
+def _rooted(groups: DataFrame, columns: str) -> DataFrame:
+    """``groups`` with the Merkle root of their leaves in place of them."""
+    names = [c for c in groups.columns if c != "leaves"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = pa.array([merkle_root(x) for x in batch.column(len(names)).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], roots], [*names, "root"])
+
+    return groups.select(*names, "leaves").mapInArrow(run, columns + ", root binary")
+
+
+def _seal(manifest: DataFrame) -> DataFrame:
+    """n_parts, root: one row over all blocks of a manifest, joined FAN_IN at a time; none for an empty one."""
+    n = blocks = manifest.count()
+    level = manifest.select(F.col("part").cast("long").alias("k"), "root")
+    while True:
+        level = _rooted(level.groupBy(F.floor(F.col("k") / FAN_IN).alias("g")).agg(_in_order("k", "root")), "g long").withColumnRenamed("g", "k")
+        if n <= FAN_IN:
+            return level.select(F.lit(blocks).cast("long").alias("n_parts"), "root")
+        n = -(-n // FAN_IN)
+
+
 def open_store(spark: SparkSession, path: str, id_bytes: int) -> TokenStore:
     return TokenStore(
         spark.read.schema("digest binary, n_ids int, ids binary").parquet(f"{path}/chunks"),
         spark.read.schema("part int, doc_id long, start long, n_tokens long, root binary, digests array<binary>").parquet(f"{path}/recipes"),
-        spark.read.schema("part int, n_docs long, n_tokens long, first_doc long, root string").parquet(f"{path}/manifest"),
+        spark.read.schema(_MANIFEST).parquet(f"{path}/manifest"),
+        spark.read.schema("n_parts long, root binary").parquet(f"{path}/seal"),
         id_bytes,
     )
 
 
+def checked_blocks(store: TokenStore) -> DataFrame:
+    """part, sound: do the recipes of each block give the root of the manifest, and all blocks that of the seal?"""
+    seen = _rooted(store.recipes.groupBy("part").agg(_in_order("start", "doc_id", "root")), "part int").withColumnRenamed("root", "seen")
+    sealed = store.seal.join(_seal(store.manifest).withColumnsRenamed({"n_parts": "n", "root": "r"}), F.col("root") == F.col("r")).where("n = n_parts")
+    whole = not sealed.isEmpty()
+    return seen.join(store.manifest, "part", "left").select("part", (F.coalesce(F.col("seen") == F.col("root"), F.lit(False)) & F.lit(whole)).alias("sound"))
+
+
 def crc32_joined(first: int, second: int, second_bytes: int) -> int:
     """crc32 of two byte strings one after the other, from their own values.
 
@@ -204,8 +251,10 @@ def read_back(store: TokenStore) -> DataFrame:
     Every chunk is read, its digest and its crc32 over 32-bit ids are taken from the stored
     bytes, and a document's crc32 is joined from those of its chunks in recipe order, which
     equals that of the whole stream and moves a few bytes a chunk in place of all ids.
-    ``verified`` says that every chunk was found with its digest and that the counts and
-    the Merkle root of the recipe agree.
+    ``verified`` says that every chunk was found with its digest, that the counts and the
+    Merkle root of the recipe agree, and that its block agrees with manifest and seal.
+    Where a chunk is missing or damaged, ids_crc32 is null and ``verified`` is false;
+    n_tokens is what the recipe says.
     """
     width = store.id_bytes
     kind = "<u2" if width == 2 else "<u4"
@@ -223,26 +272,31 @@ def read_back(store: TokenStore) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = batch.column(4)
+            parts = batch.column(5)
             cuts, flat = parts.offsets.to_pylist(), parts.values
             digests, sizes, crcs = (flat.field(i).to_pylist() for i in (1, 2, 3))
-            counts, joined, fine = [], [], []
-            for a, b, wanted, root in zip(cuts, cuts[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False):
+            joined, fine = [], []
+            for a, b, wanted, root, sound in zip(cuts, cuts[1:], *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=False):
                 crc, n = 0, 0
+                if None in sizes[a:b]:
+                    joined.append(None)
+                    fine.append(False)
+                    continue
                 for k in range(a, b):
                     crc = crc32_joined(crc, crcs[k], 4 * sizes[k]) if n else crcs[k]
                     n += sizes[k]
-                counts.append(n)
                 joined.append(crc)
-                fine.append(n == wanted and merkle_root(digests[a:b]) == root)
+                fine.append(bool(sound) and n == wanted and merkle_root(digests[a:b]) == root)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(0), pa.array(counts, pa.int64()), pa.array(joined, pa.int64()), pa.array(np.diff(cuts), pa.int32()), pa.array(fine)],
+                [batch.column(1), batch.column(0), batch.column(2), pa.array(joined, pa.int64()), pa.array(np.diff(cuts), pa.int32()), pa.array(fine)],
                 ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"],
             )
 
     facts = store.chunks.mapInArrow(read_chunks, "found binary, n long, crc long, digest binary").where("found = digest").drop("found")
-    pieces = store.recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("seq", "digest"))
-    parts = pieces.join(facts, "digest").groupBy("start", "doc_id", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "n", "crc"))).alias("parts"))
+    sound = scratch.stage(checked_blocks(store), "sound")  # a row a block
+    recipes = store.recipes.join(F.broadcast(sound) if sound.count() <= BROADCAST_ROWS else sound, "part", "left")
+    pieces = recipes.select("doc_id", "start", "n_tokens", "root", "sound", F.posexplode("digests").alias("seq", "digest"))
+    parts = pieces.join(facts, "digest", "left").groupBy("start", "doc_id", "n_tokens", "root", "sound").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "n", "crc"))).alias("parts"))
     return parts.mapInArrow(join_crcs, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean")
 
 

@@ -31,10 +31,9 @@ def test_unit_encoder_equals_the_tokenizer(path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(1)
-    marks = [" ", "  ", "\n", " \n", "\t", ".", ",", "'s", "é", "Ü", "ß", "1", "42", "#", "—", "word", "Word", " ", "\x1c", "ﬁ", "İ", "ǅ"]
-    texts = ODD + ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\n", " \n", "\t", ".", ",", "'s", "é", "Ü", "ß", "1", "42", "#", "—", "word", "Word", " ", "\x1c", "ﬁ", "İ", "ǅ"]
+    texts = ODD + ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 40))) for _ in range(5000)]
     enc = tokenize.UnitEncoder(path, memo_units=50)
     for text, ids in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(ids, enc.dtype).tolist() == (plain.encode(text, add_special_tokens=False).ids if text else []), repr(text)
@@ -49,7 +48,6 @@ def test_token_store_round_trip(spark):
     docs = documents(spark, texts).unionByName(documents(spark, texts).where("doc_id = 3"))
     store = token_store.write_store(docs, WORD_BPE, 2, scratch.new_path(spark, "t"))
     tok = Tokenizer.from_file(WORD_BPE)
-    tok.encode_special_tokens = True
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.verified) for r in token_store.read_back(store).collect())
     at, want = 0, []
     for i in sorted([*range(len(texts)), 3]):
@@ -67,6 +65,31 @@ def test_token_store_round_trip(spark):
     assert store.manifest.agg({"n_tokens": "sum"}).first()[0] == at
 
 
+def test_token_store_shows_lost_and_changed_chunks(spark):
+    rng = random.Random(20)
+    shared = prose(rng, 700)
+    texts = [shared, shared, prose(rng, 500), prose(rng, 500), None]
+    store = token_store.write_store(documents(spark, texts), WORD_BPE, 2, scratch.new_path(spark, "t"), docs_per_part=2)
+    fine = {r.doc_id: r for r in token_store.read_back(store).collect()}
+    assert len(fine) == 5 and all(r.verified for r in fine.values()) and store.manifest.count() > 1
+    by_doc = {r.doc_id: [bytes(d) for d in r.digests] for r in store.recipes.collect()}
+    lost, changed = by_doc[2][0], by_doc[3][-1]
+    assert lost not in by_doc[3]
+    chunks = [(bytes(r.digest), r.n_ids, bytes(r.ids)) for r in store.chunks.collect()]
+    chunks = [(d, n, b"\x01\x00" * n if d == changed else ids) for d, n, ids in chunks if d != lost]
+    damaged = token_store.TokenStore(spark.createDataFrame(chunks, store.chunks.schema), store.recipes, store.manifest, store.seal, 2)
+    got = {r.doc_id: r for r in token_store.read_back(damaged).collect()}
+    assert {i: r.verified for i, r in got.items()} == {0: True, 1: True, 2: False, 3: False, 4: True}
+    assert got[2].ids_crc32 is None and got[3].ids_crc32 is None and got[2].n_tokens == fine[2].n_tokens
+    # a recipe under another root of its own is against its block; a manifest without a block is against the seal
+    first = store.recipes.orderBy("start").first().part
+    forged = spark.createDataFrame([(r.part, r.doc_id, r.start, r.n_tokens, b"x" if r.doc_id == 0 else bytes(r.root), list(r.digests)) for r in store.recipes.collect()], store.recipes.schema)
+    got = {r.doc_id: r.verified for r in token_store.read_back(token_store.TokenStore(store.chunks, forged, store.manifest, store.seal, 2)).collect()}
+    assert not got[0] and got[4]
+    short = token_store.TokenStore(store.chunks, store.recipes, store.manifest.where(f"part <> {first}"), store.seal, 2)
+    assert not any(r.verified for r in token_store.read_back(short).collect())
+
+
 def test_token_store_of_nothing(spark):
     assert token_store.read_back(token_store.write_store(documents(spark, []), WORD_BPE, 2, scratch.new_path(spark, "t"))).count() == 0
 
@@ -231,7 +254,6 @@ def test_packing_places_every_piece(spark):
     texts = ODD + [prose(rng, rng.randrange(1, 900)) for _ in range(150)]
     docs = documents(spark, texts).unionByName(documents(spark, texts).where("doc_id = 20"))
     tok = Tokenizer.from_file(BYTE_BPE)
-    tok.encode_special_tokens = True
     want = collections.Counter()
     for i in [*range(len(texts)), 20]:
         ids = np.array([*(tok.encode(texts[i], add_special_tokens=False).ids if texts[i] else []), 2], "<u4")
