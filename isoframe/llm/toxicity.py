@@ -2,22 +2,24 @@
 
 Text is written as a stream of word codes: each run of letters gives 4-byte hashes of its
 first 3, 4 and 5 bytes and of the whole, so inflected forms share their head and literals
-carry no letter statistics.  Two zstandard dictionaries are trained on labelled rows:
+carry no letter statistics.  Two zstandard raw-content dictionaries are trained, one on
+toxic and one on ordinary labelled rows, by one rule:
 
-* both hold ordinary running text;
-* the toxic one also holds the word heads that toxic text has far more often than ordinary
-  text, counted by distinct contexts (the words before and after), so that a text copied
-  many times counts once;
-* the ordinary one holds as many random bytes there, which keeps both of one size.
+* each begins with windows of its own class's text, three words each: those around the word
+  heads that this class has often and the other one hardly ever, counted by distinct
+  contexts (the words before and after), so that a text copied many times counts once;
+* both end with the same ordinary running text, since toxic documents consist mostly of
+  ordinary words; being nearest, it costs the same in both and cancels out.
 
 A document is compressed window by window with both; a window's distance is the bytes that
 the toxic dictionary saves.  Largest and summed distance give a score, calibrated by
 logistic regression on other training rows; fixed thresholds judge the score.
 
 Labels come from a bounded sample (``SAMPLE`` rows of each class with the smallest hashes);
-every document is scored whole.  Null and empty texts have no window and get the score of
-no evidence; repeated rows get equal scores; without labelled rows of both classes the
-score is 0; an empty table gives no rows; other columns are ignored.
+every document is scored whole, a very long one in a slice of its own (about 60 bytes of
+memory a byte).  Null and empty texts have no window and get the score of no evidence;
+repeated rows get equal scores; without labelled rows of both classes the score is 0; an
+empty table gives no rows; other columns are kept by ``keep_civil`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from isoframe.llm.arrow import flat, mix, slices, span_hashes
 from isoframe.llm.folds import is_held_out, labelled_sample
 
 #: Labelled rows of each class, at most, that the dictionaries and the calibration learn from.
 SAMPLE = {1: 2000, 0: 4000}
-#: Words a window; bytes of ordinary text in a dictionary.
-WINDOW, ORDINARY_BYTES = 64, 100_000
-#: A head is toxic if toxic text has it this many times as often, in this share of the toxic rows' number of contexts.
+#: Words a scored window; bytes of ordinary running text in both dictionaries; windows of each head in its class's dictionary.
+WINDOW, ORDINARY_BYTES, WINDOWS_EACH = 64, 100_000, 2
+#: A head is a class's own if its text has it this many times as often as the other's, in so many contexts for each row of the class.
 ODDS, SHARE = 25, 0.01
 #: Fixed thresholds on the calibrated score.
 TOXIC_AT, REJECT_AT = 0.3, 0.5
@@ -73,26 +76,27 @@ def _slices_of(texts: list[str]) -> Iterator[pa.Array]:
         yield batch.column(0)
 
 
-def _distinct_contexts(texts: list[str]) -> np.ndarray:
-    """Codes of all words, one row for each different (word before, word, word after)."""
-    rows, keys = [np.zeros((0, 4), np.uint32)], [np.zeros(0, np.uint64)]
+def _contexts(texts: list[str]) -> np.ndarray:
+    """Codes (word before, word, word after) of all words, one row for each different triple."""
+    rows, keys = [np.zeros((0, 3, 4), np.uint32)], [np.zeros(0, np.uint64)]
     for part in _slices_of(texts):
         codes, first = word_codes(*flat(part))
-        whole = codes[:, 3].astype(np.uint64)
-        before, after = np.roll(whole, 1), np.roll(whole, -1)
-        before[first[:-1][first[:-1] < len(whole)]] = 0
+        before, after = np.roll(codes, 1, 0), np.roll(codes, -1, 0)
+        before[first[:-1][first[:-1] < len(codes)]] = 0
         after[first[1:][first[1:] > 0] - 1] = 0
-        rows.append(codes)
-        keys.append(mix(whole + mix(before + np.uint64(1)) * np.uint64(3) + mix(after + np.uint64(2)) * np.uint64(5)))
+        words = np.stack([before, codes, after], 1)
+        whole = words[:, :, 3].astype(np.uint64)
+        rows.append(words)
+        keys.append(mix(whole[:, 1] + mix(whole[:, 0] + np.uint64(1)) * np.uint64(3) + mix(whole[:, 2] + np.uint64(2)) * np.uint64(5)))
     _, at = np.unique(np.concatenate(keys), return_index=True)
     return np.concatenate(rows)[at]
 
 
-def toxic_heads(toxic: list[str], ordinary: list[str]) -> list[np.ndarray]:
-    """Codes of what marks toxic text, head by head from 3 bytes to the whole word, most frequent last."""
-    t, o = _distinct_contexts(toxic), _distinct_contexts(ordinary)
-    least = max(4, SHARE * len(toxic))
-    out: dict[bytes, tuple[np.ndarray, int]] = {}
+def own_heads(own: np.ndarray, other: np.ndarray, n_rows: int) -> list[tuple[int, np.ndarray]]:
+    """Contexts and codes of the heads, from 3 bytes to the whole word, that one class's text has and the other's hardly ever, rarest first."""
+    t, o = own[:, 1], other[:, 1]
+    least = max(4, SHARE * n_rows)
+    out: dict[bytes, tuple[int, np.ndarray]] = {}
     for level in range(4):
         code, at, n = np.unique(t[:, level], return_index=True, return_counts=True)
         known, m = np.unique(o[:, level], return_counts=True)
@@ -104,30 +108,38 @@ def toxic_heads(toxic: list[str], ordinary: list[str]) -> list[np.ndarray]:
             # the longest of heads that nest, while it keeps most of the contexts of the shorter one
             for k in range(1, level + 1):
                 shorter = out.get(head[:k].tobytes())
-                if shorter and n[i] >= 0.5 * shorter[1]:
+                if shorter and n[i] >= 0.5 * shorter[0]:
                     del out[head[:k].tobytes()]
             if not any(head[:k].tobytes() in out for k in range(1, level + 1)):
-                out[head.tobytes()] = (head, int(n[i]))
-    return [h for h, _ in sorted(out.values(), key=lambda x: x[1])]
+                out[head.tobytes()] = (int(n[i]), head)
+    return sorted(out.values(), key=lambda x: x[0])
+
+
+def _windows(own: np.ndarray, heads: list[tuple[int, np.ndarray]], stop: set[int]) -> bytes:
+    """Windows of a class's text around its own heads; neighbours that running text doesn't hold are left out, as chance brings them."""
+    out = []
+    for _, head in heads:
+        found = np.flatnonzero(own[:, 1, len(head) - 1] == head[-1])[:WINDOWS_EACH]
+        for before, word, after in own[found]:
+            out += [w.tobytes() for w in (before, word, after) if w is word or int(w[3]) in stop]
+    return b"".join(out)
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    rng = np.random.default_rng(7)
-    marks = toxic_heads(toxic, ordinary)
-    base, size = [], 0
-    for i in rng.permutation(len(ordinary)):
-        codes, _ = word_codes(*flat(pa.array([ordinary[i][:600]], pa.string())))
-        marked = np.zeros(len(codes), bool)
-        for m in marks:
-            marked |= codes[:, len(m) - 1] == m[-1]
-        base.append(codes[~marked].tobytes())
-        size += len(base[-1])
+    t, o = _contexts(toxic), _contexts(ordinary)
+    marks, usual = own_heads(t, o, len(toxic)), own_heads(o, t, len(ordinary))
+    running, size = [], 0
+    for i in np.random.default_rng(7).permutation(len(ordinary)):
+        codes = np.concatenate([word_codes(*flat(part))[0] for part in _slices_of([ordinary[i]])])
+        for _, m in marks:
+            codes = codes[codes[:, len(m) - 1] != m[-1]]
+        running.append(codes)
+        size += codes.nbytes
         if size > ORDINARY_BYTES:
             break
-    common = b"".join(base) + rng.bytes(64)
-    special = b"".join(m.astype("<u4").tobytes() for m in marks)
-    tail = rng.bytes(32)  # the last bytes of a dictionary are not indexed
-    return common + special + tail, common + rng.bytes(len(special)) + tail
+    running = np.concatenate(running)
+    stop = set(running[:, 3].tolist())
+    return tuple(_windows(c, heads, stop) + running.tobytes() for c, heads in ((t, marks), (o, usual)))
 
 
 class Distance:
@@ -136,7 +148,7 @@ class Distance:
     def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard as z
 
-        params = z.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=6, target_length=16, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        params = z.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=17, search_log=3, min_match=6, target_length=16, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def compressor(data: bytes):
             d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -199,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]
 
 
 def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray]) -> DataFrame:
-    """``docs`` (text first) with a column score: the calibrated probability that a document is toxic."""
+    """``docs`` (text among its columns, none called score) with a column score: the calibrated probability that a document is toxic."""
     toxic, ordinary, weights = model
     shared = docs.sparkSession.sparkContext.broadcast((toxic, ordinary))  # two dictionaries of bounded size
 
@@ -213,8 +225,7 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray]) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("score", DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,4 +238,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_civil(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
     """Rows of ``docs`` that aren't toxic, all columns as they are."""
     model = train(docs, labels.where(~is_held_out()))
-    return score(docs, model).where(F.col("score") < reject_at).drop("score")
+    rows = docs.select(F.struct("*").alias("row"), "text")  # the caller's columns can't clash
+    return score(rows, model).where(F.col("score") < reject_at).select("row.*")
