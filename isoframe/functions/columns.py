@@ -35,11 +35,14 @@ def number(c: Column | str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+#: White space of text, as a class of a regular expression.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def clean_text(c: Column | str) -> Column:
-    """Trimmed, without quotes around it; empty and ``nan`` are null."""
-    x = F.trim(col(c).cast("string"))
-    x = F.regexp_replace(F.regexp_replace(x, '^"+|"+$', ""), "^'+|'+$", "")
-    x = F.trim(x)
+    """Without white space and then quotes around it, double ones first; empty and ``nan`` are null."""
+    x = F.regexp_replace(col(c).cast("string"), rf"^{_WHITE}+|{_WHITE}+\z", "")
+    x = F.regexp_replace(F.regexp_replace(x, r'^"+|"+\z', ""), r"^'+|'+\z", "")
     return F.when((x != "") & (F.lower(x) != "nan"), x)
 
 

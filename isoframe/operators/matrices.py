@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +59,32 @@ def row_zscores(rows: DataFrame) -> DataFrame:
 
 
 def principal_components(rows: DataFrame, k: int = 5) -> DataFrame:
-    """sample, pc (from 1), score, explained over rows (feature, sample, value) without gaps.
+    """sample, pc (from 1), score, explained over rows (feature, sample, value).
 
-    The samples' Gram matrix is summed in Spark, feature by feature; only that matrix, samples
-    squared, reaches the driver.  A component's largest score is positive.
+    A sample that a feature lacks counts as the feature's mean.  The samples' Gram matrix is
+    summed in each task and over tasks; only that matrix, samples squared, reaches the
+    driver.  A component's largest score is positive.
     """
-    centred = rows.withColumn("v", F.col("value") - F.avg("value").over(Window.partitionBy("feature")))
     names = [r[0] for r in rows.select("sample").distinct().orderBy("sample").collect()]
-    wide = centred.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("sample", "v"))).alias("vs"))
-    pairs = wide.select(F.posexplode(F.transform("vs", lambda a: F.transform("vs", lambda b: a["v"] * b["v"]))).alias("i", "row")).select("i", F.posexplode("row").alias("j", "v"))
+    at = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.lit(None)
+    wide = rows.groupBy("feature").agg(F.collect_list(F.struct(at[F.col("sample")].alias("i"), "value")).alias("vs"))
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(names)))
+        for batch in batches:
+            lists = batch.column(0)
+            x = np.full((len(lists), len(names)), np.nan)
+            x[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().field(0).to_numpy(zero_copy_only=False)] = lists.flatten().field(1).to_numpy(zero_copy_only=False)
+            x -= np.nanmean(x, 1, keepdims=True)
+            x = np.nan_to_num(x)  # what a feature lacks is its mean
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["k", "v"])
+
     gram = np.zeros((len(names), len(names)))
-    for r in pairs.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        gram[r["i"], r["j"]] = r["v"]
+    if names:
+        sums = wide.select("vs").mapInArrow(outer, "k long, v double")
+        for r in sums.groupBy("k").agg(F.sum("v").alias("v")).collect():
+            gram[r["k"] // len(names), r["k"] % len(names)] = r["v"]
     values, vectors = np.linalg.eigh(gram)
     order = np.argsort(-values)[:k]
     total = max(values.sum(), 1e-300)

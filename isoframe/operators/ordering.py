@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows up to which a small table (of partitions or groups) is broadcast; beyond it the join is a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def with_groups(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` joined to one row for each of their groups; null keys are a group too."""
+    named = small.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    side = F.broadcast(named) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else named
+    return rows.join(side, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
 
 def fixed(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder, so that sampled range bounds stay the same for every use."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="isoframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -31,13 +44,25 @@ def indexed(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.withColumn("_k", inside).join(F.broadcast(before), "_p").withColumn("_i", F.col("_before") + F.col("_k")).drop("_k", "_before")
 
 
-def least_after(rows: DataFrame, value: Column, order: str) -> DataFrame:
-    """``rows`` (with _p) with _least: the smallest value from the row on to the end of the whole order."""
+def least_after(rows: DataFrame, value: Column, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` (with _p) with _least: the smallest value from the row on to the end of the whole order, or of its group in it.
+
+    Frames run from the end backwards, so that each row adds to the one before.
+    """
     x = rows.withColumn("_v", value)
-    ends = x.groupBy("_p").agg(F.min("_v").alias("_m"))
-    later = ends.select("_p", F.min("_m").over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
-    own = F.min("_v").over(Window.partitionBy("_p").orderBy(order).rowsBetween(0, Window.unboundedFollowing))
-    return x.withColumn("_own", own).join(F.broadcast(later), "_p").withColumn("_least", F.least("_own", "_later")).drop("_v", "_own", "_later")
+    ends = x.groupBy("_p", *by).agg(F.min("_v").alias("_m"))
+    later = ends.select("_p", *by, F.min("_m").over(Window.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    own = F.min("_v").over(Window.partitionBy("_p", *by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
+    return with_groups(x.withColumn("_own", own), later, ["_p", *by]).withColumn("_least", F.least("_own", "_later")).drop("_v", "_own", "_later")
+
+
+def summed_before(rows: DataFrame, value: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``rows`` with _sum: the running sum of a column within ``by`` in an order, up to and with each row; a group of any size is many tasks."""
+    x = parted(rows, [*by, *order])
+    sums = x.groupBy("_p", *by).agg(F.sum(value).alias("_s"))
+    before = sums.select("_p", *by, F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return with_groups(x.withColumn("_own", own), before, ["_p", *by]).withColumn("_sum", F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")
 
 
 def neighbours(rows: DataFrame, order: Sequence[Column | str], marked: Column) -> DataFrame:
@@ -48,7 +73,8 @@ def neighbours(rows: DataFrame, order: Sequence[Column | str], marked: Column) -
     up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
     around = parts.select("_p", F.max("_last").over(up).alias("_before"), F.min("_first").over(down).alias("_after"))
-    w = Window.partitionBy("_p").orderBy(*order)
-    lo = F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("_m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # both frames grow row by row, one from each end
+    rising = [F.col(c) if isinstance(c, str) else c for c in order]
+    lo = F.last("_m", ignorenulls=True).over(Window.partitionBy("_p").orderBy(*rising).rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.last("_m", ignorenulls=True).over(Window.partitionBy("_p").orderBy(*[c.desc() for c in rising]).rowsBetween(Window.unboundedPreceding, 0))
     return x.withColumn("_a", lo).withColumn("_b", hi).join(F.broadcast(around), "_p").withColumn("_lo", F.coalesce("_a", "_before")).withColumn("_hi", F.coalesce("_b", "_after")).drop("_m", "_a", "_b", "_before", "_after")

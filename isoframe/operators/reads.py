@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoframe.functions import columns as C
+from isoframe.operators.ordering import summed_before
 
 
 def aligned_blocks(reads: DataFrame) -> DataFrame:
@@ -29,8 +30,7 @@ def coverage(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, pos, depth where depth changes: block starts and ends summed before a running sum, so no position is written for each read."""
     blocks = aligned_blocks(reads).where("kind <> 'N'")
     steps = blocks.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("s")).groupBy(*keys, F.col("s.pos").alias("pos")).agg(F.sum("s.d").alias("d"))
-    depth = F.sum("d").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("depth", depth).drop("d")
+    return summed_before(steps, "d", ["pos"], keys).withColumnRenamed("_sum", "depth").drop("d")
 
 
 def junction_counts(reads: DataFrame, keys: Sequence[str], least: int = 1) -> DataFrame:

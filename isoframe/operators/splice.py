@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoframe.operators.ordering import fixed, indexed, least_after, neighbours, parted
+from isoframe.operators.ordering import fixed, indexed, least_after, neighbours, parted, with_groups
 
 _GENE = ["gene", "chr", "strand"]
 
@@ -155,12 +155,13 @@ def constitutive_exons(exons: DataFrame) -> DataFrame:
 def event_psi(events: DataFrame, expression: DataFrame, min_total: float = 0.0) -> DataFrame:
     """event_id, sample, psi: sum over alternative by sum over total transcripts; null if a transcript isn't expressed anywhere, or the total is 0 or below ``min_total``."""
     parts = events.select("event_id", "alternative", F.explode("total").alias("tx")).withColumn("alt", F.array_contains("alternative", F.col("tx"))).drop("alternative")
-    known = expression.select("tx").distinct().withColumn("known", F.lit(True))
-    marked = parts.join(known, "tx", "left")
-    whole = marked.groupBy("event_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("whole"))
-    sums = marked.join(expression, "tx").groupBy("event_id", "sample").agg(F.sum(F.when(F.col("alt"), F.col("tpm"))).alias("a"), F.sum("tpm").alias("t"))
+    by_tx = expression.groupBy("tx").agg(F.collect_list(F.struct("sample", "tpm")).alias("xs"))  # a row a transcript: its samples
+    sums = parts.join(by_tx, "tx", "left").select("event_id", "alt", F.explode_outer("xs").alias("x")).groupBy("event_id", F.col("x.sample").alias("sample")).agg(F.sum(F.when(F.col("alt"), F.col("x.tpm"))).alias("a"), F.sum("x.tpm").alias("t"))
+    # a transcript without expression gives its event a row without a sample
+    events = sums.groupBy("event_id").agg(F.collect_list(F.struct("sample", "a", "t")).alias("xs"), F.bool_and(F.col("sample").isNotNull()).alias("whole"))
+    flat = events.select("event_id", "whole", F.explode("xs").alias("x")).where("x.sample is not null").select("event_id", "whole", "x.*")
     ok = F.col("whole") & (F.col("t") > 0) & (F.col("t") >= min_total)
-    return sums.join(whole, "event_id").select("event_id", "sample", F.when(ok, F.coalesce("a", F.lit(0.0)) / F.col("t")).alias("psi"))
+    return flat.select("event_id", "sample", F.when(ok, F.coalesce("a", F.lit(0.0)) / F.col("t")).alias("psi"))
 
 
 def isoform_psi(expression: DataFrame) -> DataFrame:
@@ -228,15 +229,14 @@ def empirical_p(events: DataFrame, deltas: DataFrame, area: int = 1000, lower: f
 def bh(rows: DataFrame, p: str = "p", by: Sequence[str] = (), key: Sequence[str] = ("event_id",)) -> DataFrame:
     """``rows`` with fdr, Benjamini and Hochberg's step-up over all rows or within ``by``; null p stay null."""
     fine = rows.where(F.col(p).isNotNull())
+    # one order over all rows, groups one after the other, by range partitions: a group of any size is many tasks
+    ranked = indexed(fine, [*by, p, *key])
     if by:
-        order = Window.partitionBy(*by).orderBy(p, *key)
-        ranked = fine.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy(*by)))
-        step = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(Window.partitionBy(*by).orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
-        done = ranked.withColumn("fdr", F.least(step, F.lit(1.0))).drop("_r", "_m")
-    else:  # one order over all rows, by range partitions
-        ranked = indexed(fine, [p, *key])
-        m = ranked.count()
-        done = least_after(ranked, F.col(p) * m / (F.col("_i") + 1), "_i").withColumn("fdr", F.least("_least", F.lit(1.0))).drop("_p", "_i", "_least")
+        ranked = with_groups(ranked, ranked.groupBy(*by).agg(F.min("_i").alias("_first"), F.count("*").alias("_m")), by)
+    else:
+        ranked = ranked.withColumn("_first", F.lit(0)).withColumn("_m", F.lit(ranked.count()))
+    step = least_after(ranked, F.col(p) * F.col("_m") / (F.col("_i") - F.col("_first") + 1), "_i", by)
+    done = step.withColumn("fdr", F.least("_least", F.lit(1.0))).drop("_p", "_i", "_first", "_m", "_least")
     return done.unionByName(rows.where(F.col(p).isNull()).withColumn("fdr", F.lit(None).cast("double")))
 
 
@@ -265,13 +265,39 @@ def selected_fields(tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return long.groupBy("id").pivot("name", [n for n, _ in tables]).agg(F.max_by("value", "seq")).na.fill(0)
 
 
+#: Values of the smaller sample up to which, without ties, the rank tests are exact; pairs up to which the signed-rank test is.
+EXACT_SAMPLE, EXACT_PAIRS = 8, 50
+
+
+def _two_sided(ways: list[int]) -> list[float]:
+    """Two-sided p of each value of a symmetric statistic with so many ways for each value."""
+    total, below, out = sum(ways), 0, []
+    for w in ways:
+        below += w
+        out.append(below / total)
+    return [min(1.0, 2 * min(out[u], 1 - out[u] + ways[u] / total)) for u in range(len(ways))]
+
+
+def rank_sum_ways(n1: int, n2: int) -> list[int]:
+    """How many of the choices of n1 ranks out of n1 + n2 give each value of U, from 0 to n1 n2."""
+    ways = [[0] * (n1 * n2 + 1) for _ in range(n1 + 1)]
+    ways[0][0] = 1
+    for rank in range(1, n1 + n2 + 1):  # a chosen rank adds its place above the least that it can have
+        for k in range(min(rank, n1), 0, -1):
+            for u in range(n1 * n2, rank - k - 1, -1):
+                ways[k][u] += ways[k - 1][u - (rank - k)]
+    return ways[n1]
+
+
 def mann_whitney(values: DataFrame) -> DataFrame:
     """event_id, p of the two-sided rank test between the two conditions of values (event_id, cond, psi).
 
-    Mid-ranks and tie counts are windows; the p-value is the tie-corrected normal one with
-    continuity correction; an event without both conditions or without spread has 1.
+    Mid-ranks and tie counts are windows.  Without ties and with at most EXACT_SAMPLE values
+    in the smaller sample the p-value is that of the exact distribution, else the
+    tie-corrected normal one with continuity correction; an event without both conditions
+    or without spread has 1.  Null and NaN values are left out.
     """
-    x = values.where("psi is not null")
+    x = values.where("psi is not null and not isnan(psi)")
     conds = x.groupBy("event_id").agg(F.min("cond").alias("c1"))
     ranked = x.join(conds, "event_id").withColumn("_lo", F.rank().over(Window.partitionBy("event_id").orderBy("psi"))).withColumn("_t", F.count("*").over(Window.partitionBy("event_id", "psi")))
     ranked = ranked.withColumn("_rank", F.col("_lo") + (F.col("_t") - 1) / 2.0)
@@ -282,7 +308,40 @@ def mann_whitney(values: DataFrame) -> DataFrame:
     u = F.col("r1") - n1 * (n1 + 1) / 2
     mean, var = n1 * n2 / 2, n1 * n2 / 12 * ((n + 1) - F.col("ties") / F.greatest(n * (n - 1), F.lit(1.0)))
     z = F.greatest(F.abs(u - mean) - 0.5, F.lit(0.0)) / F.sqrt(F.greatest(var, F.lit(1e-12)))
-    return g.select("event_id", F.when((n1 == 0) | (n2 == 0) | (var <= 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), _erfc(z / F.sqrt(F.lit(2.0))))).alias("p"))
+    normal = F.when((n1 == 0) | (n2 == 0) | (var <= 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), _erfc(z / F.sqrt(F.lit(2.0)))))
+    small = (F.least(n1, n2) <= EXACT_SAMPLE) & (F.col("ties") == 0) & (n1 > 0) & (n2 > 0)
+    sizes = g.where(small).select("n1", "n").distinct().collect()  # pairs of sample sizes: few
+    spark = values.sparkSession
+    exact = spark.createDataFrame([(r.n1, r.n, _two_sided(rank_sum_ways(r.n1, r.n - r.n1))) for r in sizes], "n1 long, n long, ps array<double>")
+    return g.join(F.broadcast(exact), ["n1", "n"], "left").select("event_id", F.coalesce(F.when(small, F.get("ps", u.cast("int"))), normal).alias("p"))
+
+
+def wilcoxon_pairs(values: DataFrame) -> DataFrame:
+    """event_id, p of the two-sided signed-rank test over pairs (event_id, psi1, psi2).
+
+    Pairs without a difference, null or NaN are left out.  Without ties among the absolute
+    differences and with at most EXACT_PAIRS of them the p-value is exact, else the
+    tie-corrected normal one; an event without any difference has 1.
+    """
+    d = F.col("psi2") - F.col("psi1")
+    x = values.select("event_id", d.alias("d")).where("d is not null and not isnan(d)")
+    size = F.abs("d")
+    ranked = x.where("d <> 0").withColumn("_lo", F.rank().over(Window.partitionBy("event_id").orderBy(size))).withColumn("_t", F.count("*").over(Window.partitionBy("event_id", size)))
+    ranked = ranked.withColumn("_rank", F.col("_lo") + (F.col("_t") - 1) / 2.0)
+    g = ranked.groupBy("event_id").agg(F.sum(F.when(F.col("d") > 0, F.col("_rank")).otherwise(0.0)).alias("w"), F.count("*").alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"))
+    n = F.col("n").cast("double")
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0
+    normal = _erfc(F.abs(F.col("w") - mean) / F.sqrt(F.greatest(var, F.lit(1e-12))) / F.sqrt(F.lit(2.0)))
+    small = (F.col("n") <= EXACT_PAIRS) & (F.col("ties") == 0)
+    tables = []
+    for r in g.where(small).select("n").distinct().collect():  # numbers of pairs: EXACT_PAIRS at most
+        ways = [1]
+        for k in range(1, r.n + 1):  # a rank is with the positive ones or not
+            ways = [(ways[i] if i < len(ways) else 0) + (ways[i - k] if i >= k else 0) for i in range(len(ways) + k)]
+        tables.append((r.n, _two_sided(ways)))
+    exact = values.sparkSession.createDataFrame(tables, "n long, ps array<double>")
+    p = g.join(F.broadcast(exact), "n", "left").select("event_id", F.coalesce(F.when(small, F.get("ps", F.col("w").cast("int"))), F.least(F.lit(1.0), normal)).alias("p"))
+    return x.select("event_id").distinct().join(p, "event_id", "left").select("event_id", F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
 def _erfc(x: Column) -> Column:

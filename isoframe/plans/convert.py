@@ -132,11 +132,12 @@ def volcano_table(spark, d):
     return both.select("comparison", "gene_id", "log2fc", F.round(F.least(F.col("padj") * n, F.lit(1.0)), 9).alias("bonferroni"), F.round(-F.log10(F.col("q") + 0.001), 6).alias("score"))
 
 
-@query("event_gtf_lines", with_("exons", ch="SELECT *, lead(s, 1) OVER w AS s2, lead(e, 1) OVER w AS e2, lead(s, 2) OVER w AS s3 FROM exons WINDOW w AS (PARTITION BY gene, tx ORDER BY s, e)", t="SELECT DISTINCT gene, chr, strand, e AS e1, s2, e2, s3 FROM ch WHERE s3 IS NOT NULL", j="SELECT DISTINCT gene, e AS e1, s2 AS s3 FROM ch WHERE s2 IS NOT NULL") + "SELECT gene || ';SE:' || chr || ':' || e1 || '-' || s2 || ':' || e2 || '-' || s3 || ':' || strand AS event_id, s2 AS \"start\", e2 AS \"end\" FROM t JOIN j USING (gene, e1, s3)")
+_GTF_LINES = " UNION ALL ".join(f'SELECT event_id, {a} AS "start", {b} AS "end", \'{iso}\' AS isoform FROM se' for a, b, iso in (("e1 - 100", "e1", "alternative2"), ("s3", "s3 + 100", "alternative2"), ("e1 - 100", "e1", "alternative1"), ("s2", "e2", "alternative1"), ("s3", "s3 + 100", "alternative1")))
+
+
+@query("event_gtf_lines", with_("exons", ch="SELECT *, lead(s, 1) OVER w AS s2, lead(e, 1) OVER w AS e2, lead(s, 2) OVER w AS s3 FROM exons WINDOW w AS (PARTITION BY gene, tx ORDER BY s, e)", t="SELECT DISTINCT gene, chr, strand, e AS e1, s2, e2, s3 FROM ch WHERE s3 IS NOT NULL", j="SELECT DISTINCT gene, e AS e1, s2 AS s3 FROM ch WHERE s2 IS NOT NULL", se="SELECT gene || ';SE:' || chr || ':' || e1 || '-' || s2 || ':' || e2 || '-' || s3 || ':' || strand AS event_id, e1, s2, e2, s3 FROM t JOIN j USING (gene, e1, s3)") + _GTF_LINES)
 def event_gtf_lines(spark, d):
-    lines = K.event_gtf(S.skipped_exons(X.exons(spark, d).withColumn("chr", F.lit("chr1"))))
-    n = F.transform(F.regexp_extract_all("event_id", F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long"))
-    return lines.where((F.col("isoform") == "alternative1") & (F.col("start") == F.element_at(n, -3)) & (F.col("end") == F.element_at(n, -2))).select("event_id", "start", "end")
+    return K.event_gtf(S.skipped_exons(X.exons(spark, d).withColumn("chr", F.lit("chr1")))).select("event_id", "start", "end", "isoform")
 
 
 @query("significance_presets", with_("ev") + " UNION ALL ".join(f"SELECT '{n}' AS preset, count(*) FILTER (WHERE fdr < {f} AND abs(dpsi) >= {p}) AS n FROM ev" for n, f, p in (("default", 0.05, 0.10), ("relaxed", 0.10, 0.05), ("strict", 0.05, 0.20))))
@@ -154,9 +155,9 @@ def null_safe_support_join(spark, d):
     return a.join(b, F.col("comparison").eqNullSafe(F.col("c")) & F.col("gene_id").eqNullSafe(F.col("g"))).agg(F.count("*").alias("n"))
 
 
-@query("landscape_by_pair", with_("ev") + "SELECT a.comparison AS a, b.comparison AS b, count(DISTINCT a.gene_id) AS n FROM (SELECT DISTINCT comparison, gene_id FROM ev WHERE fdr = 0) a JOIN (SELECT DISTINCT comparison, gene_id FROM ev WHERE fdr = 0) b ON a.gene_id = b.gene_id AND a.comparison < b.comparison GROUP BY ALL")
+@query("landscape_by_pair", with_("ev") + "SELECT a.comparison AS a, b.comparison AS b, count(DISTINCT a.gene_id) AS n FROM (SELECT DISTINCT comparison, gene_id FROM ev) a JOIN (SELECT DISTINCT comparison, gene_id FROM ev) b ON a.gene_id = b.gene_id AND a.comparison < b.comparison GROUP BY ALL")
 def landscape_by_pair(spark, d):
-    x = X.ev(spark, d).where("fdr = 0").select("comparison", "gene_id").distinct()
+    x = X.ev(spark, d).select("comparison", "gene_id").distinct()
     y = x.select(F.col("comparison").alias("b"), F.col("gene_id"))
     return x.withColumnRenamed("comparison", "a").join(y, "gene_id").where("a < b").groupBy("a", "b").agg(F.count_distinct("gene_id").alias("n"))
 

@@ -103,23 +103,27 @@ def gene_pooling(spark, d):
     return S.pooled_genes(_moved(spark, d)).select("gene", "pooled")
 
 
-@query("locus_split", with_("exons", exons2="SELECT gene, chr, strand, tx, s, e FROM exons WHERE s < 3000 AND hash(1) IS NOT NULL", sp=_SPANS.format("gene, chr, strand, tx"), r="SELECT *, max(e) OVER (PARTITION BY gene ORDER BY s, e, tx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp", i="SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY gene ORDER BY s, e, tx ROWS UNBOUNDED PRECEDING)::BIGINT AS locus FROM r") + "SELECT gene, tx, locus FROM i")
+@query("locus_split", with_("exons", exons2="SELECT gene, chr, strand, tx, s + substr(tx, 2)::BIGINT % 5 * 20000 AS s, e + substr(tx, 2)::BIGINT % 5 * 20000 AS e FROM exons", sp=_SPANS.format("gene, chr, strand, tx"), r="SELECT *, max(e) OVER (PARTITION BY gene ORDER BY s, e, tx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp", i="SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY gene ORDER BY s, e, tx ROWS UNBOUNDED PRECEDING)::BIGINT AS locus FROM r") + "SELECT gene, tx, locus FROM i")
 def locus_split(spark, d):
-    return S.split_loci(X.exons(spark, d).where("start < 3000")).select("gene", "tx", "locus")
+    away = F.substring("tx", 2, 20).cast("long") % 5 * 20000  # transcripts of a gene in five places
+    return S.split_loci(X.exons(spark, d).withColumn("start", F.col("start") + away).withColumn("end", F.col("end") + away)).select("gene", "tx", "locus")
 
 
-@query("constitutive_exons", with_("exons", f="SELECT * FROM exons WHERE substr(tx, 2)::INT % 6 = 0 AND substr(tx, 2)::INT < 600", n="SELECT gene, count(DISTINCT tx) AS n FROM f GROUP BY 1") + "SELECT gene, s AS \"start\", e AS \"end\" FROM f JOIN n USING (gene) GROUP BY gene, s, e, n HAVING count(DISTINCT tx) = n")
+@query("constitutive_exons", with_("exons", f="SELECT 'g' || (substr(tx, 2)::BIGINT // 3) AS gene, tx, s, e FROM exons", n="SELECT gene, count(DISTINCT tx) AS n FROM f GROUP BY 1") + "SELECT gene, s AS \"start\", e AS \"end\" FROM f JOIN n USING (gene) GROUP BY gene, s, e, n HAVING count(DISTINCT tx) = n")
 def constitutive_exons(spark, d):
-    return S.constitutive_exons(X.exons(spark, d).where("cast(substring(tx, 2) as int) % 6 = 0 and cast(substring(tx, 2) as int) < 600"))
+    small = F.concat(F.lit("g"), F.floor(F.substring("tx", 2, 20).cast("long") / 3).cast("string"))  # genes of three transcripts
+    return S.constitutive_exons(X.exons(spark, d).withColumn("gene", small))
 
 
+_SE_LISTS = """SELECT gene || ';SE:' || chr || ':' || e1 || '-' || s2 || ':' || e2 || '-' || s3 || ':' || strand AS event_id, array_to_string(list_sort(p), ',') AS alternative, array_to_string(list_sort(list_distinct(list_concat(p, q))), ',') AS total
+FROM (SELECT gene, chr, strand, e1, s2, e2, s3, list(DISTINCT tx) AS p FROM tri GROUP BY ALL) JOIN (SELECT gene, chr, strand, e1, s2 AS s3, list(DISTINCT tx) AS q FROM jun GROUP BY ALL) USING (gene, chr, strand, e1, s3)"""
 _PSI = dict(
     ex="SELECT event_id, alternative, unnest(string_split(total, ',')) AS tx FROM se", known="SELECT DISTINCT tx FROM tpm",
     m="SELECT ex.*, list_contains(string_split(alternative, ','), ex.tx) AS alt, k.tx IS NOT NULL AS known FROM ex LEFT JOIN known k ON k.tx = ex.tx",
     wh="SELECT event_id, bool_and(known) AS whole FROM m GROUP BY 1", su="SELECT event_id, sample, cond, sum(tpm) FILTER (WHERE alt) AS a, sum(tpm) AS t FROM m JOIN tpm USING (tx) GROUP BY ALL",
     psi="SELECT event_id, sample, cond, CASE WHEN whole AND t > 0 THEN coalesce(a, 0) / t END AS psi FROM su JOIN wh USING (event_id)",
 )
-_PW = with_("exons", "tpm", **_CH, x=_SE, se=_OUT, **_PSI)
+_PW = with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI)
 
 
 def _psi(spark, d):
@@ -157,7 +161,7 @@ def _abundance(spark, d):
     return S.event_abundance(S.skipped_exons(X.exons(spark, d)), t.select("tx", "sample", "tpm"), _cond(spark))
 
 
-@query("event_abundance", with_("exons", "tpm", **_CH, x=_SE, se=_OUT, **_PSI, **_AB) + "SELECT event_id, round(abundance, 6) AS abundance FROM ab")
+@query("event_abundance", with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI, **_AB) + "SELECT event_id, round(abundance, 6) AS abundance FROM ab")
 def event_abundance(spark, d):
     return _abundance(spark, d).withColumn("abundance", F.round("abundance", 6))
 
@@ -165,23 +169,45 @@ def event_abundance(spark, d):
 _REP = "SELECT a.event_id, a.cond, a.sample AS s1, b.sample AS s2, abs(a.psi - b.psi) AS delta, abundance FROM psi a JOIN psi b ON a.event_id = b.event_id AND a.cond = b.cond AND a.sample < b.sample JOIN ab ON ab.event_id = a.event_id WHERE a.psi IS NOT NULL AND b.psi IS NOT NULL"
 
 
-@query("replicate_pairs", with_("exons", "tpm", **_CH, x=_SE, se=_OUT, **_PSI, **_AB) + f"SELECT event_id, cond, round(delta, 6) AS delta, round(abundance, 6) AS abundance FROM ({_REP})")
+@query("replicate_pairs", with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI, **_AB) + f"SELECT event_id, cond, round(delta, 6) AS delta, round(abundance, 6) AS abundance FROM ({_REP})")
 def replicate_pairs(spark, d):
     r = S.replicate_deltas(_psi(spark, d).join(F.broadcast(_cond(spark)), "sample"), _abundance(spark, d))
     return r.select("event_id", "cond", F.round("delta", 6).alias("delta"), F.round("abundance", 6).alias("abundance"))
 
 
-@query("empirical_p")
+_EMP = dict(
+    r0=f"SELECT event_id, cond, s1, s2, round(delta, 9) AS delta, round(abundance, 6) AS abundance FROM ({_REP})",
+    r1="SELECT *, row_number() OVER (ORDER BY abundance, delta, event_id, cond, s1, s2) - 1 AS i FROM r0", av="SELECT abundance, min(i) AS i FROM r1 GROUP BY 1",
+    e0=f"SELECT event_id, round(dpsi, 9) AS dpsi, round(abundance, 6) AS abundance FROM ({_DPSI}) JOIN ab USING (event_id) WHERE dpsi IS NOT NULL",
+    lo="SELECT e0.*, av.abundance AS la, av.i AS li FROM e0 ASOF LEFT JOIN av ON e0.abundance >= av.abundance", hi="SELECT lo.*, av.abundance AS ha, av.i AS hi FROM lo ASOF LEFT JOIN av ON lo.abundance <= av.abundance",
+    fi="SELECT *, greatest(0, least(CASE WHEN la IS NULL OR ha - abundance < abundance - la THEN hi ELSE li END - 100, greatest(0, (SELECT count(*) FROM r1) - 200))) AS a FROM hi",
+)
+
+
+@query("empirical_p", with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI, **_AB, **_EMP) + "SELECT fi.event_id, round((1 - count(*) FILTER (WHERE delta <= abs(dpsi))::DOUBLE / count(*)) * 0.5, 9) AS p FROM fi JOIN r1 ON r1.i >= a AND r1.i < a + least(200, (SELECT count(*) FROM r1)) GROUP BY fi.event_id, dpsi")
 def empirical_p(spark, d):
     psi = _psi(spark, d).join(F.broadcast(_cond(spark)), "sample")
-    ab = _abundance(spark, d)
-    events = S.delta_psi(psi, "c1", "c2").where("dpsi is not null").join(ab, "event_id")
-    return S.empirical_p(events, S.replicate_deltas(psi, ab), 200)
+    ab = _abundance(spark, d).withColumn("abundance", F.round("abundance", 6))
+    events = S.delta_psi(psi, "c1", "c2").where("dpsi is not null").join(ab, "event_id").withColumn("dpsi", F.round("dpsi", 9))
+    return S.empirical_p(events, S.replicate_deltas(psi, ab).withColumn("delta", F.round("delta", 9)), 200).withColumn("p", F.round("p", 9))
+
+
+#: Two replicates a condition: exact where all four values differ (of the 6 choices of two ranks one each gives U = 0 and 1), else the corrected normal.
+_MW = dict(
+    v="SELECT event_id, cond, round(psi, 9) AS psi FROM psi WHERE psi IS NOT NULL", c="SELECT event_id, min(cond) AS c1 FROM v GROUP BY 1",
+    k="SELECT v.*, c1, rank() OVER (PARTITION BY v.event_id ORDER BY psi) + (count(*) OVER (PARTITION BY v.event_id, psi) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY v.event_id, psi) AS t FROM v JOIN c USING (event_id)",
+    g="SELECT event_id, coalesce(sum(r) FILTER (WHERE cond = c1), 0) AS r1, count(*) FILTER (WHERE cond = c1)::DOUBLE AS n1, count(*)::DOUBLE AS n, sum(t * t - 1) AS ties FROM k GROUP BY 1",
+    h="SELECT *, n - n1 AS n2, r1 - n1 * (n1 + 1) / 2 AS u, n1 * (n - n1) / 12 * ((n + 1) - ties / greatest(n * (n - 1), 1.0)) AS var FROM g",
+    z="SELECT *, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(greatest(var, 1e-12)) / sqrt(2.0) AS x FROM h", zt="SELECT *, 1 / (1 + 0.3275911 * x) AS q FROM z",
+)
 
 
-@query("mann_whitney")
+@query("mann_whitney", with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI, **_MW) + """SELECT event_id, round(CASE WHEN n1 = 0 OR n2 = 0 OR (var <= 0) THEN 1
+  WHEN ties = 0 AND n1 = 2 AND n2 = 2 THEN least(1, 2 * CASE least(u, 4 - u) WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END / 6.0::DOUBLE)
+  WHEN ties = 0 THEN least(1, 2 * (1 + least(u, n1 * n2 - u)) / n)
+  ELSE least(1, q * (0.254829592 + q * (-0.284496736 + q * (1.421413741 + q * (-1.453152027 + q * 1.061405429)))) * exp(-x * x)) END, 9) AS p FROM zt""")
 def mann_whitney(spark, d):
-    return S.mann_whitney(_psi(spark, d).join(F.broadcast(_cond(spark)), "sample"))
+    return S.mann_whitney(_psi(spark, d).withColumn("psi", F.round("psi", 9)).join(F.broadcast(_cond(spark)), "sample")).withColumn("p", F.round("p", 9))
 
 
 _BH = "SELECT comparison, gene_id, padj AS p, count(*) OVER ({0}) AS m, row_number() OVER ({0} ORDER BY padj, gene_id, comparison) AS r FROM deg"
@@ -229,9 +255,9 @@ def junction_counts(spark, d):
     return R.junction_counts(X.reads(spark, d), ["sample", "strand"], 2)
 
 
-@query("intron_islands", with_("reads") + "," + _BLK + ", iv AS (SELECT DISTINCT sample, st::BIGINT AS s, (st + n)::BIGINT AS e FROM b1 WHERE op = 'N' AND st % 11 = 0), r AS (SELECT *, max(e) OVER (PARTITION BY sample ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY sample ORDER BY s, e ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM r), g AS (SELECT sample, island, max(s) AS \"start\", min(e) AS \"end\" FROM i GROUP BY ALL) SELECT *, round(pow(\"end\" - \"start\", 0.7), 6) AS shrunk FROM g WHERE \"start\" < \"end\"")
+@query("intron_islands", with_("reads") + "," + _BLK + ", iv AS (SELECT DISTINCT sample, (st * 50)::BIGINT AS s, (st * 50 + n)::BIGINT AS e FROM b1 WHERE op = 'N'), r AS (SELECT *, max(e) OVER (PARTITION BY sample ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY sample ORDER BY s, e ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM r), g AS (SELECT sample, island, max(s) AS \"start\", min(e) AS \"end\" FROM i GROUP BY ALL) SELECT *, round(pow(\"end\" - \"start\", 0.7), 6) AS shrunk FROM g WHERE \"start\" < \"end\"")
 def intron_islands(spark, d):
-    n = R.aligned_blocks(X.reads(spark, d)).where("kind = 'N' and start % 11 = 0").select("sample", "start", (F.col("end") + 1).alias("end")).distinct()
+    n = R.aligned_blocks(X.reads(spark, d)).where("kind = 'N'").select("sample", (F.col("start") * 50).alias("start"), (F.col("start") * 49 + F.col("end") + 1).alias("end")).distinct()
     return R.intron_islands(n, ["sample"]).withColumn("shrunk", F.round("shrunk", 6))
 
 

@@ -56,17 +56,20 @@ def read_ioe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_expression(spark: SparkSession, path: str) -> DataFrame:
-    """id, sample, value of a table whose header has only the samples' names; ``NA`` and other text is null."""
+    """id, sample, value, line, place of a table whose header has only the samples' names; ``NA`` and other text is null.
+
+    ``line`` rises with the rows of a file and ``place`` is the column's, from 0.
+    """
     lines = spark.read.text(path)
     names = (lines.first() or [""])[0].split("\t")
-    rows = lines.select(F.split("value", "\t").alias("f")).where(F.size("f") == len(names) + 1)
+    rows = lines.select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("line")).where(F.size("f") == len(names) + 1)
     values = F.arrays_zip(F.array(*map(F.lit, names)).alias("sample"), F.transform(F.slice("f", 2, len(names)), lambda x: C.number(x)).alias("value"))
-    return rows.select(F.get("f", F.lit(0)).alias("id"), F.explode(values).alias("x")).select("id", F.col("x.sample").alias("sample"), F.col("x.value").alias("value"))
+    return rows.select(F.get("f", F.lit(0)).alias("id"), "line", F.posexplode(values).alias("place", "x")).select("id", F.col("x.sample").alias("sample"), F.col("x.value").alias("value"), "line", "place")
 
 
 def values_by_id(long: DataFrame) -> DataFrame:
-    """id, values: the numbers of each id in the order of samples; repeated ids go on one after the other."""
-    return long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))), lambda x: x["value"]).alias("values"))
+    """id, values: the numbers of each id, row after row and in the order of columns (line, place)."""
+    return long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "place", "value"))), lambda x: x["value"]).alias("values"))
 
 
 def psi_groups(spec: str) -> list[tuple[int, int]]:

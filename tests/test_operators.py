@@ -70,7 +70,18 @@ def test_bh_and_rank_test(spark):
     assert got["a"] == pytest.approx(0.03) and got["b"] == pytest.approx(0.04) and got["c"] == pytest.approx(0.04) and got["d"] is None
     x = spark.createDataFrame([("e", c, float(v)) for c, v in [("x", 1), ("x", 2), ("x", 3), ("x", 4), ("y", 5), ("y", 6), ("y", 7), ("y", 8)]] + [("f", "x", 1.0)], "event_id string, cond string, psi double")
     got = {r.event_id: r.p for r in S.mann_whitney(x).collect()}
-    assert got["e"] == pytest.approx(0.0304, abs=1e-3) and got["f"] == 1.0
+    assert got["e"] == pytest.approx(2 / 70) and got["f"] == 1.0  # exact: the most extreme of 70 choices of ranks, on either side
+    tied = spark.createDataFrame([("e", c, float(v)) for c, v in [("x", 1), ("x", 2), ("x", 2), ("x", 4), ("y", 5), ("y", 6), ("y", 7), ("y", 8)]] + [("e", "x", None), ("e", "y", float("nan"))], "event_id string, cond string, psi double")
+    assert S.mann_whitney(tied).first().p == pytest.approx(0.0294, abs=1e-3)
+    assert S.rank_sum_ways(2, 2) == [1, 1, 2, 1, 1] and sum(S.rank_sum_ways(3, 5)) == 56
+
+
+def test_signed_rank(spark):
+    pairs = [("up", 0.0, 0.1 * i) for i in range(1, 6)] + [("same", 1.0, 1.0)] * 3 + [("mixed", 0.0, v) for v in (0.1, -0.2, 0.3, -0.4)] + [("none", None, 1.0), ("tied", 0.0, 0.5), ("tied", 0.0, 0.5), ("tied", 0.0, -0.5)]
+    got = {r.event_id: r.p for r in S.wilcoxon_pairs(spark.createDataFrame(pairs, "event_id string, psi1 double, psi2 double")).collect()}
+    # exact: all five of one sign is one of 32 ways on either side; ranks 1 and 3 against 2 and 4 give W = 4 of 0..10
+    assert got["up"] == pytest.approx(2 / 32) and got["same"] == 1.0 and got["mixed"] == pytest.approx(2 * 7 / 16) and "none" not in got
+    assert 0.3 < got["tied"] < 1
 
 
 def test_empirical_p_equals_brute_force(spark):
