@@ -6,11 +6,14 @@ key of the corpus, whether it is listed: level 1 is a Bloom filter of the listed
 occur; level 2 holds the corpus's other keys that level 1 lets pass; level 3 the listed
 keys that level 2 lets pass; and so on until nothing passes wrongly.  A key is listed if
 the number of levels that hold it, from the first on, is odd.  Pages meet the cascade as
-bit arrays of bounded size inside expressions, without a join.
+bit arrays inside expressions, without a join: BITS_EACH to twice as many bits a listed key,
+in shards of 2**SHARD_BITS.  A built cascade can be saved and opened again for any URLs
+whose keys are in the universe that it was built for.
 
 Null URLs and URLs without ``://`` have an empty host and path and meet no rule; empty
 lists and tables give cascades that hold nothing; repeated rows get equal verdicts; ties
-can't occur (keys of one URL with equal length are equal); other columns are ignored.
+can't occur (keys of one URL with equal length are equal); very long URLs are cut nowhere
+(a host of n labels has n keys); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from isoframe.llm import scratch
 
-#: Hash functions and bits a key of each level; a level's bits are a power of two, at most 2**MOST_BITS (4 MB).
-HASHES, BITS_EACH, MOST_BITS = 4, 12, 25
+#: Hash functions and bits a key of each level, at least; a level's bits are a power of two, in shards of at most 2**SHARD_BITS (4 MB).
+HASHES, BITS_EACH, SHARD_BITS = 4, 12, 25
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,7 +34,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty for null and where ``://`` is missing."""
     url = F.coalesce(url, F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.concat(F.lit(""), F.regexp_replace(url, r"(?s)^.*?://", "")), "\0", 1)).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.regexp_replace(url, r"(?s)^.*?://", "")).otherwise("")
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
@@ -45,15 +48,15 @@ def domains(host: Column) -> Column:
 @dataclass
 class Level:
     bits: int
-    words: DataFrame  # one row: array<bigint>
+    words: DataFrame  # one row: array<array<bigint>>, the shards
     seed: int
 
     def holds(self, key: Column) -> Column:
-        words = self.words.scalar()
+        shards = self.words.scalar()
         out = F.lit(True)
         for h in range(HASHES):
             at = F.pmod(F.xxhash64(key, F.lit(self.seed * HASHES + h)), F.lit(self.bits))
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
+            word = F.get(F.get(shards, F.shiftright(at, SHARD_BITS).cast("int")), F.shiftright(at.bitwiseAND(F.lit((1 << SHARD_BITS) - 1)), 6).cast("int"))
             out = out & (F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return out
 
@@ -61,31 +64,34 @@ class Level:
 class Cascade:
     """Exact membership of keys of a known universe in a list."""
 
-    def __init__(self, universe: DataFrame, listed: DataFrame):
+    def __init__(self, levels: list[Level]):
+        self.levels = levels
+
+    @classmethod
+    def build(cls, universe: DataFrame, listed: DataFrame) -> Cascade:
         """``universe`` and ``listed``: DataFrames with one column, key; the universe is read as often as there are levels."""
         inside = universe.join(listed.select("key").distinct().withColumn("_listed", F.lit(True)), "key", "left")
         inside = scratch.stage(inside.select("key", F.coalesce("_listed", F.lit(False)).alias("listed")), "universe")
-        self.levels: list[Level] = []
+        levels: list[Level] = []
         encode, others = inside.where("listed").select("key"), inside.where("not listed").select("key")
         n = encode.count()
         while n:
-            level = self._level(encode, n)
-            self.levels.append(level)
+            level = _level(encode, n, len(levels) + 1)
+            levels.append(level)
             passed = scratch.stage(others.where(level.holds(F.col("key"))), "passed")
             encode, others, n = passed, encode, passed.count()
+        return cls(levels)
+
+    def save(self, path: str) -> None:
+        """A folder for each level, which its bits and seed name."""
+        for level in self.levels:
+            level.words.write.option("compression", "zstd").parquet(f"{path}/level={level.seed}/bits={level.bits}")
 
-    def _level(self, keys: DataFrame, n: int) -> Level:
-        wanted = max(64, n * BITS_EACH)
-        bits = 1 << (wanted - 1).bit_length()
-        if bits > 1 << MOST_BITS:
-            bits = 1 << MOST_BITS  # more keys pass wrongly, and more levels follow; the answer stays exact
-        seed = len(self.levels) + 1
-        places = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(seed * HASHES + h)), F.lit(bits)) for h in range(HASHES)])).alias("at"))
-        found = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v"))
-        every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
-        dense = found.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v"))
-        words = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words"))  # bits / 64 numbers
-        return Level(bits, scratch.stage(words, "level"), seed)
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Cascade:
+        every = spark.read.schema("words array<array<bigint>>, level int, bits bigint").parquet(path)
+        found = sorted((r["level"], r["bits"]) for r in every.select("level", "bits").collect())  # a row a level
+        return cls([Level(bits, spark.read.schema("words array<array<bigint>>").parquet(f"{path}/level={seed}/bits={bits}"), seed) for seed, bits in found])
 
     def holds(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
@@ -94,6 +100,18 @@ class Cascade:
         return out
 
 
+def _level(keys: DataFrame, n: int, seed: int) -> Level:
+    bits = 1 << (max(64, n * BITS_EACH) - 1).bit_length()
+    each = min(bits, 1 << SHARD_BITS)
+    places = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(seed * HASHES + h)), F.lit(bits)) for h in range(HASHES)])).alias("at"))
+    found = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
+    dense = found.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v"))
+    ordered = lambda *c: F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: x[c[-1]])
+    shards = dense.groupBy(F.floor(F.col("w") * 64 / each).alias("s")).agg(ordered("w", "v").alias("words"))  # each of bounded size
+    return Level(bits, scratch.stage(shards.agg(ordered("s", "words").alias("words")), "level"), seed)
+
+
 def _rule_parts(rule: str) -> tuple[str, str]:
     host, slash, path = rule.partition("/")
     return host.lower(), slash + path
@@ -121,7 +139,7 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], listed_host
     universe = keyed.select(F.explode(F.when(F.startswith("key", F.lit("rule ")), F.array("key", as_block)).otherwise(F.array("key"))).alias("key")).where("key is not null").distinct()
     written = [f"rule {''.join(_rule_parts(r))}" for r in [*block, *allow]] + [f"block {''.join(_rule_parts(r))}" for r in block]
     lists = spark.createDataFrame([(k,) for k in written], "key string").unionByName(listed_hosts.select(F.concat(F.lit("host "), F.translate("key", _UPPER, _LOWER)).alias("key")))
-    cascade = Cascade(universe, lists)
+    cascade = Cascade.build(universe, lists)
     hits = keyed.withColumn("hit", cascade.holds(F.col("key"))).withColumn("blocks", cascade.holds(as_block))
     is_rule = F.startswith("key", F.lit("rule "))
     # a page's keys are made in one task and summed there: one row a page is shuffled
