@@ -5,11 +5,13 @@ A text is compressed window by window with every dictionary; the language with t
 smallest total wins.  The score is the winner's share of a softmax over bytes saved, and a
 prediction whose margin over the runner-up is narrow is marked as rejected.
 
-Dictionaries come from a bounded sample (``SAMPLE`` rows of each language with the smallest
-hashes, ``DICT_BYTES`` of text each); every text is classified whole.  Null texts and texts
-without a letter are ``und`` with score 0; ties go to the more frequent language; repeated
-rows get equal answers; without labelled rows everything is ``und``; an empty table gives
-no rows; other columns are ignored.
+Dictionaries come from a bounded sample: ``SAMPLE`` rows of each language with the smallest
+hashes, a window of each at a place anywhere in its text that the hash gives, ``DICT_BYTES``
+a language and less where there are so many languages that all together would pass
+``TOTAL_BYTES``.  Every text is classified whole.  Null texts and texts without a letter
+are ``und`` with score 0; ties go to the more frequent language; repeated rows get equal
+answers and count once in training; without labelled rows everything is ``und``; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ from pyspark.sql import functions as F
 from isoframe.llm.arrow import slices
 from isoframe.llm.folds import is_held_out
 
-#: Rows of each language that dictionaries learn from, bytes of each row and of each dictionary.
-SAMPLE, ROW_BYTES, DICT_BYTES = 400, 400, 48_000
+#: Rows of each language that dictionaries learn from, characters of each row's window, bytes of each dictionary and of all.
+SAMPLE, ROW_CHARS, DICT_BYTES, TOTAL_BYTES = 400, 400, 48_000, 48_000_000
 #: Bytes compressed at a time, so that a long text's own repeats don't hide the dictionary.
 WINDOW = 1024
-#: Languages, at most; more labels than that are an error of the input.
-MOST_LANGUAGES = 1000
 #: A margin under this many bytes for each 1,000 bytes of text is narrow.
 NARROW = 10.0
 
@@ -43,18 +43,20 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     hash, in one scan, and the smallest hashes of those are kept.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * SAMPLE / r["count"]))])
-    h = F.xxhash64("doc_id")
-    rows = known.where(F.pmod(h, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", h.alias("h"), F.substring("text", 1, ROW_BYTES).alias("t"))
+    each = min(DICT_BYTES, max(1, TOTAL_BYTES // len(counts)))
+    rows = -(-SAMPLE * each // DICT_BYTES)
+    sizes = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * rows / r["count"])) for r in counts], "lang string, share double")
+    h = F.xxhash64("doc_id", "text")
+    windows = known.select("lang", "text", h.alias("h"), F.length("text").alias("n")).join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.col("n") - ROW_CHARS + 1)) + 1
+    windows = windows.select("lang", "h", F.substring("text", place.cast("int"), F.lit(ROW_CHARS)).alias("t")).distinct()
     found: dict[str, list] = {r["lang"]: [] for r in counts}
-    for r in rows.collect():  # about twice SAMPLE short rows a language
+    for r in windows.collect():  # about 2 * SAMPLE windows a language, TOTAL_BYTES twice at most
         found[r["lang"]].append((r["h"], r["t"]))
-    return {k: b" ".join(t.lower().encode() for _, t in sorted(v)[:SAMPLE])[-DICT_BYTES:] for k, v in found.items() if v}
+    return {k: b" ".join(t.lower().encode() for _, t in sorted(v)[:rows])[-each:] for k, v in found.items() if v}
 
 
 class Compressors:
@@ -78,7 +80,7 @@ class Compressors:
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most DICT_BYTES a language
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most TOTAL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Compressors(shared.value)
@@ -90,9 +92,9 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                     continue
                 n = model.sizes(text)
                 best = int(n.argmin())
-                margin = float(np.delete(n, best).min() - n[best]) if len(n) > 1 else float(len(text))
+                margin = float(np.delete(n, best).min() - n[best]) if len(n) > 1 else float(len(text.encode()))
                 score = float(1 / np.exp(-np.clip((n - n[best]) / 4, 0, 50)).sum())
-                rows.append((model.names[best], score, margin, margin * 1000 < NARROW * len(text)))
+                rows.append((model.names[best], score, margin, margin * 1000 < NARROW * len(text.encode())))
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
