@@ -7,9 +7,11 @@ rows that the regression didn't see, and held against a fixed threshold.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as written.  Training uses a bounded sample (``SAMPLE``
 rows of each class with the smallest hashes of their ids); every text is counted and scored
-whole, in Arrow batches.  Null and empty texts have no words and fail the rules; repeated
-rows get equal verdicts; without labelled rows of both classes the rules alone decide; an
-empty table gives no rows; other columns are ignored.
+whole, in Arrow batches, a very long one in a slice of its own (about 60 bytes of memory a
+byte).  Null and empty texts have no words and fail the rules; repeated rows get equal
+verdicts; without labelled rows of both classes the rules alone decide; an empty table
+gives no rows; other columns are kept as they are, but ``judge`` replaces those that have
+the names of its own.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from isoframe.llm.arrow import flat, mix, shingle_hashes, slices, span_hashes, word_bounds
 from isoframe.llm.folds import labelled_sample
 from isoframe.llm.tokenize import forget
 
 #: Labelled rows of each class, at most, that the model learns from.
-SAMPLE = {0: 1200, 1: 2400}
+SAMPLE = {0: 1500, 1: 3000}
 #: Hash buckets of each of the three feature groups.
 BUCKETS_LOG2 = 15
 #: Fixed values of the base rules, and the threshold on the calibrated probability of good quality.
@@ -207,9 +210,14 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.frombuffer(bytes(rows[0][0]), np.float32).astype(float) if rows else np.zeros(0)
 
 
+_ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, good double, kept boolean"
+
+
 def judge(docs: DataFrame, weights: np.ndarray, keep_at: float = KEEP_AT) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, good (probability), kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # fixed size: 3 * 2**BUCKETS_LOG2 numbers
+    added = StructType.fromDDL(_ADDED)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -224,8 +232,7 @@ def judge(docs: DataFrame, weights: np.ndarray, keep_at: float = KEEP_AT) -> Dat
                 [*batch.schema.names, *stats, "base_failed", "good", "kept"],
             )
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, own + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, good double, kept boolean")
+    return docs.mapInArrow(run, StructType([*docs.schema, *added]))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,5 +243,5 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """Rows of ``docs`` that the rules and the model keep, all columns as they are."""
-    judged = judge(docs, train(docs, labels), keep_at)
-    return judged.where(F.col("kept")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # the caller's columns can't clash
+    return judge(rows, train(docs, labels), keep_at).where(F.col("kept")).select("row.*")

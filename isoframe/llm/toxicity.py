@@ -34,6 +34,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from isoframe.llm.arrow import flat, mix, slices, span_hashes
 from isoframe.llm.folds import is_held_out, labelled_sample
+from isoframe.llm.tokenize import forget
 
 #: Labelled rows of each class, at most, that the dictionaries and the calibration learn from.
 SAMPLE = {1: 2000, 0: 4000}
@@ -211,11 +212,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]
 
 
 def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray]) -> DataFrame:
-    """``docs`` (text among its columns, none called score) with a column score: the calibrated probability that a document is toxic."""
+    """``docs`` (text among its columns; one called score is replaced) with a column score: the calibrated probability that a document is toxic."""
+    docs = docs.drop("score")
     toxic, ordinary, weights = model
     shared = docs.sparkSession.sparkContext.broadcast((toxic, ordinary))  # two dictionaries of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         distance = Distance(*shared.value) if len(weights) else None
         for batch in slices(batches, "text"):
             if distance is None:
