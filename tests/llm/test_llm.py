@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -187,6 +188,47 @@ def test_quality_model_tells_held_out_rows(spark, sf_dir):
     assert quality.keep_good(docs.limit(0), labels).count() == 0
 
 
+CLASHING = ["kept", "good", "n_words", "base_failed", "score", "row", "h", "f", "id", "id0", "k0", "block", "slot", "place", "label", "x"]
+
+
+def test_filters_keep_columns_whatever_their_names(spark):
+    texts = [*ODD, prose(random.Random(30), 90, 4000)]
+    docs = documents(spark, texts)
+    for i, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.lit(i))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    for kept in (quality.keep_good(docs, labels), toxicity.keep_civil(docs, labels), jaccard.without_copies(docs)):
+        assert kept.columns == docs.columns
+        assert all(r.kept == 0 and r.x == len(CLASHING) - 1 for r in kept.collect())
+    judged = quality.judge(docs, np.zeros(0))
+    assert len(set(judged.columns)) == len(judged.columns) and judged.count() == docs.count()
+    assert quality.keep_good(docs.limit(0), labels.limit(0)).count() == 0 and jaccard.without_copies(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(31)
+    a, b = prose(rng, 60, 9999), prose(rng, 60, 9999)
+    near = " ".join(a.split()[:-2] + ["other", "end"])
+    rows = spark.createDataFrame([(1, a), (1, b), (2, near), (None, a), (None, prose(rng, 60, 9999)), (3, b.upper()), (1, a), (7, None), (7, ""), (8, " ")], "doc_id long, text string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, (r.text or "")[:9]) for r in jaccard.without_copies(rows).collect())
+    assert got == sorted([(1, a[:9]), (1, b[:9]), (-1, got[0][1]), (7, ""), (7, ""), (8, " ")])
+
+
+@pytest.mark.parametrize("edits", [4, 9])
+def test_jaccard_of_a_large_group_of_near_copies(spark, edits):
+    """Copies of one text with random edits: most are linked with few edits, few with many; sizes and places differ."""
+    rng = random.Random(32 + edits)
+    base = prose(rng, 150, 9999).split()
+    texts = [" ".join(base)]
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w[rng.randrange(8) :] + [f"t{i}"] * rng.randrange(6)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(documents(spark, texts)).collect())
+    assert got == jaccard_by_force(texts)
+
+
 def test_toxicity_finds_marked_words(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("aeioubdklmnprst") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
@@ -247,6 +289,52 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_recall_of_the_index_as_it_is_used():
+    """Recall at the default share on vectors without structure, on few dimensions and with clusters, by the same walk."""
+    rng = np.random.default_rng(40)
+    for x in (rng.normal(size=(6000, 64)), rng.normal(size=(6000, 16)), rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.1 * rng.normal(size=(6000, 32))):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        half = x.shape[1] // 2
+        a, b = ann._kmeans(x[:, :half], ann.CENTROIDS), ann._kmeans(x[:, half:], ann.CENTROIDS)
+        cell = ann._distances(x[:, :half], a).argmin(1) * len(b) + ann._distances(x[:, half:], b).argmin(1)
+        sizes = np.bincount(cell, minlength=len(a) * len(b))
+        hits, looked = [], []
+        for q in range(0, 6000, 100):
+            scores = x @ x[q]
+            scores[q] = -9
+            best = np.argsort(-scores)[:20]
+            cells = ann.walk_cells(ann._distances(x[q : q + 1, :half], a)[0], ann._distances(x[q : q + 1, half:], b)[0], sizes, max(ann.CANDIDATES_EACH * 20, int(ann.SHARE * len(x))) + 1)
+            hits.append(np.isin(cell[best], cells).mean())
+            looked.append(sizes[cells].sum() / len(x))
+        assert np.mean(hits) >= 0.9 and np.mean(looked) < 0.6
+
+
+def test_nearest_query_against_brute_force(spark):
+    """The registered query at its own parameters on a table where the index leaves out more than half."""
+    got = collections.defaultdict(list)
+    for r in ann.op7_nearest(spark, "/root/testdata/sf0.1").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect() if r.embedding is not None]
+    rows = [(i, v) for i, v in rows if len(v) and np.isfinite(v).all() and (v != 0).any()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = total = 0
+    for i, v in rows:
+        if i % 20 == 0:
+            scores = (x * v).sum(1)
+            best = [int(j) for j in ids[np.lexsort((ids, -scores))] if j != i][:20]
+            mine = sorted(got[i])
+            assert [m[0] for m in mine] == list(range(1, 21)) and all(abs(float(x[ids == j][0] @ v) - s) < 1e-9 for _, j, s in mine)
+            found += len({j for _, j, _ in mine} & set(best))
+            total += 20
+    assert found / total >= 0.9
+
+
+def test_nearest_ties_go_to_smaller_ids(spark):
+    vectors = spark.createDataFrame([(i, [1.0, 0.5] if i % 3 else [0.2, 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.search(vectors, vectors.where("vec_id = 1"), 10).orderBy("rank").collect()]
+    assert got == [2, 4, 5, 7, 8, 10, 11, 13, 14, 16]
+
+
 def test_packing_places_every_piece(spark):
     from tokenizers import Tokenizer
 
@@ -392,7 +480,7 @@ def test_mixing_is_within_a_block_of_exact_weights(spark, monkeypatch):
 
 
 def test_url_filter_rules(spark):
-    urls = ["http://a.example.net/en/1", "https://EXAMPLE.com/de/x?y", "http://x.org/fr/", "http://x.org/fr", "http://sub.free-bets.example.com/fr/a", "http://net/", "http://net", None, "nothing", "http://h.net#a", "ftp://a.b.c.example.com/de/1/2#z", "http://evilexample.com/de/", "://", "http://q.example.net/en/1://x"]
+    urls = ["http://a.example.net/en/1", "https://EXAMPLE.com/de/x?y", "http://x.org/fr/", "http://x.org/fr", "http://sub.free-bets.example.com/fr/a", "http://net/", "http://net", None, "nothing", "http://h.net#a", "ftp://a.b.c.example.com/de/1/2#z", "http://evilexample.com/de/", "://", "http://q.example.net/en/1://x", "http://a.org/fr/\0secret/x", "http://b\0c.net/y\n/z?q", "http://" + "l." * 300 + "net/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + urls[:1])], "page_id long, url string, key string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.BLOCK_RULES, url_filter.ALLOW_RULES, spark.createDataFrame([(h,) for h in url_filter.LISTED_HOSTS], "key string")).collect()}
     assert len(got) == len(urls) + 1
@@ -402,16 +490,24 @@ def test_url_filter_rules(spark):
     assert got[4][2:] == (None, "block") and got[5][2:] == ("net/", "block") and got[6] == ("net", "", None, "allow")
     assert got[7] == got[8] == ("", "", None, "allow") and got[9][:2] == ("h.net", "")
     assert got[10][2] == "example.com/de/" and got[11][2] is None and got[12][:2] == ("", "")
+    assert got[14] == ("a.org", "/fr/\0secret/x", "org/fr/", "allow") and got[15] == ("b\0c.net", "/y\n/z", "net/", "block") and got[16][2] == "net/"
     assert url_filter.judge_urls(pages.limit(0), [], [], spark.createDataFrame([], "key string")).count() == 0
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("shard_bits", [url_filter.SHARD_BITS, 9])
+def test_cascade_is_exact(spark, monkeypatch, shard_bits):
+    monkeypatch.setattr(url_filter, "SHARD_BITS", shard_bits)
     universe = spark.range(6000).selectExpr("concat('k', id) as key")
     listed = spark.range(9000).where("id % 3 = 0").selectExpr("concat('k', id) as key")
-    cascade = url_filter.Cascade(universe, listed)
+    cascade = url_filter.Cascade.build(universe, listed)
     assert len(cascade.levels) > 1
     wrong = universe.withColumn("in", cascade.holds(universe["key"])).where("`in` <> (cast(substring(key, 2) as int) % 3 = 0)")
     assert wrong.count() == 0
+    path = scratch.new_path(spark, "cascade")
+    cascade.save(path)
+    again = url_filter.Cascade.load(spark, path)
+    assert [(x.bits, x.seed) for x in again.levels] == [(x.bits, x.seed) for x in cascade.levels]
+    assert universe.where(again.holds(universe["key"])).count() == 2000
 
 
 def test_license_scan(spark):
@@ -460,7 +556,38 @@ modification, are permitted provided that the following conditions are met:
     flat = apache[2:].replace("\n# ", " ")
     texts = [mit, bsd, apache, gpl, apart, "x not released under the MIT\nLicense.", "Released under the MIT\r\nLicense. More", flat, "All" + " -" * 5000 + " rights reserved"]
     got = {r.doc_id: (r.licences, r.n_sentences) for r in license_scan.scan(documents(spark, texts)).collect()}
-    assert got == {0: ("MIT", 2), 1: ("BSD", 2), 2: ("Apache-2.0", 3), 3: ("GPL-3.0", 1), 4: ("", 0), 5: ("", 0), 6: ("MIT", 1), 7: ("Apache-2.0", 3), 8: ("proprietary", 1)}
+    assert got == {0: ("MIT", 3), 1: ("BSD", 2), 2: ("Apache-2.0", 3), 3: ("GPL-3.0", 1), 4: ("", 0), 5: ("", 0), 6: ("MIT", 1), 7: ("Apache-2.0", 3), 8: ("proprietary", 1)}
+
+
+def test_license_scan_of_whole_licences(spark):
+    bsd3 = """BSD 3-Clause License
+
+Copyright (c) 2021, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    bsd2 = bsd3[: bsd3.index("3. Neither")]
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    lgpl = "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007\n"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"
+    texts = [bsd3, bsd2, mpl, lgpl, apache, "/* SPDX-License-Identifier: BSD-3-Clause */\nint main() {}", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", "CC0 1.0 Universal"]
+    got = [r.licences for r in license_scan.scan(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["BSD-3-Clause; proprietary", "BSD-2-Clause; proprietary", "MPL-2.0", "LGPL-3.0", "Apache-2.0", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0"]
+    assert license_scan.scan(documents(spark, [])).count() == 0
+    odd = documents(spark, ["MIT License"]).withColumn("licences", F.lit(1)).withColumn("ids", F.lit(2)).withColumn("seq", F.lit(3))
+    assert license_scan.scan(odd).first().licences == "MIT"
 
 
 def test_pipeline_stages(spark, sf_dir):
