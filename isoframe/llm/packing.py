@@ -5,18 +5,19 @@ cut into pieces of exactly one sequence, the first piece taking the rest; whole-
 pieces stand alone.  All other pieces form blocks of bounded size, dealt by hash or (with
 ``keep_order``, so that a mix that the input's order holds stays a mix) in the order in
 which they are read, and each block is a
-bin-packing problem of its own that several islands solve: a solution is a list of bins, crossover injects well-filled bins of one
-parent into the other, removes the bins that hold an injected piece already, and puts
-the displaced pieces back best-fit, longest first.  After every round each island
-receives its neighbour's elite.  A block that has reached the lower bound of its
-problem (one bin above it, where the excess can go on) rests.  All bins of a block that
-are filled less than LOOSE, and its emptiest until the space of what it has over its bound
+bin-packing problem of its own that several islands solve: a solution is the bin of every
+piece, crossover injects well-filled bins of one parent into the other, removes the bins
+that hold an injected piece already, and puts the displaced pieces back best-fit, longest
+first.  After every round each island receives its neighbour's elite.  A block that has
+reached the lower bound of its problem is solved.  All bins of a block that are filled
+less than LOOSE, and its emptiest until the space of what it has over its bound
 goes along, then go to a next level, dealt by hash as whole bins: a block that finds
 nothing better keeps them.  A level that saves less than one bin a block sends on only the
 emptiest quarter of each block, so that levels shrink until one block is left.
 
 Null and empty texts hold the end id alone; repeated rows are packed as often as they
-occur; an empty table gives no rows; other columns are ignored.
+occur; a very long text is encoded by itself, in about 30 bytes of memory a byte; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,14 +83,15 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return max(best, int((lengths > capacity // 2).sum()))
 
 
-def best_fit(bins: list[list[int]], free: list[int], items: list[int], lengths: list[int], capacity: int) -> None:
-    """Put items, in the order given, each into the fullest bin that takes it; opens bins as needed."""
+def best_fit(free: list[int], items: list[int], lengths: list[int], capacity: int) -> list[int]:
+    """Bins of the items, each put in the order given into the fullest bin that takes it; ``free`` of the bins is updated, bins are opened as needed."""
     by_free: dict[int, list[int]] = {}
     mask = 0
     for b, f in enumerate(free):
         if f:
             by_free.setdefault(f, []).append(b)
             mask |= 1 << f
+    out = []
     for i in items:
         n = lengths[i]
         fitting = mask >> n
@@ -99,83 +101,83 @@ def best_fit(bins: list[list[int]], free: list[int], items: list[int], lengths:
             b = same.pop()
             if not same:
                 mask ^= 1 << f
-            bins[b].append(i)
         else:
-            b, f = len(bins), capacity
-            bins.append([i])
+            b, f = len(free), capacity
             free.append(capacity)
+        out.append(b)
         free[b] = f = f - n
         if f:
             by_free.setdefault(f, []).append(b)
             mask |= 1 << f
+    return out
+
+
+#: A solution: the bin of every piece, and what is free in every bin.
+Solution = tuple[np.ndarray, np.ndarray]
 
 
-def fitness(free: list[int], capacity: int) -> tuple[int, float]:
+def fitness(free: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then the mean of squared fills, negated: smaller is better."""
-    fill = 1 - np.asarray(free) / capacity
+    fill = 1 - free / capacity
     return len(free), -float((fill * fill).mean()) if len(free) else 0.0
 
 
-def crossover(into: tuple[list, list], other: tuple[list, list], lengths: list[int], capacity: int, rng: np.random.Generator) -> tuple[list, list]:
-    """Inject a random run of the other parent's best-filled bins, then repair."""
-    bins, free = other
-    order = np.argsort(np.asarray(free) + rng.random(len(free)), kind="stable")
-    take = order[: max(1, int(len(order) * rng.uniform(0.1, 0.6)))]
-    injected = {i for b in take for i in bins[b]}
-    out_bins, out_free, displaced = [list(bins[b]) for b in take], [free[b] for b in take], []
-    for items, f in zip(*into, strict=True):
-        if injected.isdisjoint(items):
-            out_bins.append(list(items))
-            out_free.append(f)
-        else:
-            displaced += [i for i in items if i not in injected]
+def crossover(into: Solution, other: Solution, lengths: list[int], capacity: int, rng: np.random.Generator) -> Solution:
+    """Inject some of the other parent's best-filled bins, then repair; pieces are numbered longest first."""
+    place, free = into
+    o_place, o_free = other
+    take = np.argsort(o_free + rng.random(len(o_free)), kind="stable")[: max(1, int(len(o_free) * rng.uniform(0.1, 0.6)))]
+    number = np.full(len(o_free), -1)
+    number[take] = np.arange(len(take))
+    injected = number[o_place] >= 0
+    gone = np.zeros(len(free), bool)
+    gone[place[injected]] = True
     # the emptiest kept bins are dissolved too, which lets their pieces fill other gaps
-    for b in sorted(np.argsort(out_free)[-max(1, len(out_free) // 50) :].tolist(), reverse=True):
-        if out_free[b]:
-            displaced += out_bins.pop(b)
-            out_free.pop(b)
-    displaced.sort(key=lambda i: -lengths[i])
-    best_fit(out_bins, out_free, displaced, lengths, capacity)
-    return out_bins, out_free
+    kept = np.flatnonzero(~gone)
+    emptiest = kept[np.argsort(free[kept], kind="stable")[len(kept) - max(1, len(kept) // 50) :]]
+    gone[emptiest[free[emptiest] > 0]] = True
+    left = ~gone
+    out = np.where(injected, number[o_place], len(take) + (np.cumsum(left) - 1)[place])
+    room = np.concatenate([o_free[take], free[left]]).tolist()
+    displaced = np.flatnonzero(gone[place] & ~injected)
+    out[displaced] = best_fit(room, displaced.tolist(), lengths, capacity)
+    return out, np.array(room)
 
 
 def evolve(lengths: list[int], elite: list[int] | None, seed: int, bound: int, capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION) -> tuple[int, float, list[int]]:
     """One round of one island: bins, fitness and the bin of every piece in the best solution."""
     rng = np.random.default_rng(seed)
     n = len(lengths)
+    by_length = np.argsort(-np.asarray(lengths, np.int64), kind="stable")  # pieces are numbered longest first within
+    sizes = np.asarray(lengths, np.int64)[by_length]
+    listed = sizes.tolist()
 
-    def solved(order: list[int]) -> tuple[list, list]:
-        bins: list[list[int]] = []
+    def solved(order: np.ndarray) -> Solution:
         free: list[int] = []
-        best_fit(bins, free, order, lengths, capacity)
-        return bins, free
-
-    def given(assigned: list[int]) -> tuple[list, list]:
-        bins = [[] for _ in range(max(assigned, default=-1) + 1)]
-        for i, b in enumerate(assigned):
-            bins[b].append(i)
-        return bins, [capacity - sum(lengths[i] for i in b) for b in bins]
-
-    pool = [given(elite)] if elite else [solved(sorted(range(n), key=lambda i: -lengths[i]))]
-    best = min(pool, key=lambda s: fitness(s[1], capacity))
-    if len(best[0]) > bound:
-        noise = rng.uniform(0.7, 1.0, (population - 1, n)) * np.asarray(lengths)
-        pool += [solved(np.argsort(-row, kind="stable").tolist()) for row in noise]
+        place = np.zeros(n, np.int64)
+        place[order] = best_fit(free, order.tolist(), listed, capacity)
+        return place, np.array(free, np.int64)
+
+    if elite:
+        place = np.asarray(elite, np.int64)[by_length]
+        pool = [(place, capacity - np.bincount(place, sizes, place.max() + 1).astype(np.int64))]
+    else:
+        pool = [solved(np.arange(n))]
+    best = pool[0]
+    if len(best[1]) > bound:
+        pool += [solved(np.argsort(-rng.uniform(0.7, 1.0, n) * sizes, kind="stable")) for _ in range(population - 1)]
         for _ in range(generations):
             ranked = sorted(pool, key=lambda s: fitness(s[1], capacity))
-            best = ranked[0]
-            if len(best[0]) <= bound:
+            if len(ranked[0][1]) <= bound:
                 break
             pool = ranked[: population // 2]
             while len(pool) < population:
                 a, b = rng.choice(population // 2, 2, replace=population < 4)
-                pool.append(crossover(pool[a], pool[b], lengths, capacity, rng))
+                pool.append(crossover(pool[a], pool[b], listed, capacity, rng))
         best = min(pool, key=lambda s: fitness(s[1], capacity))
-    assigned = [0] * n
-    for b, items in enumerate(best[0]):
-        for i in items:
-            assigned[i] = b
-    return (*fitness(best[1], capacity), assigned)
+    assigned = np.zeros(n, np.int64)
+    assigned[by_length] = best[0]
+    return (*fitness(best[1], capacity), assigned.tolist())
 
 
 def _islands(capacity: int, round_no: int):
@@ -188,11 +190,11 @@ def _islands(capacity: int, round_no: int):
     return run
 
 
-def _bounds(capacity: int, spare: int):
+def _bounds(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["lengths"]], pa.list_(pa.int32())), pa.array([lower_bound(np.array(r["lengths"], np.int64), capacity) + spare], pa.int32())], ["block", "lengths", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["lengths"]], pa.list_(pa.int32())), pa.array([lower_bound(np.array(r["lengths"], np.int64), capacity)], pa.int32())], ["block", "lengths", "bound"])
 
     return run
 
@@ -200,19 +202,18 @@ def _bounds(capacity: int, spare: int):
 _STATE = "block long, island int, bound int, bins int, score double, elite array<int>"
 
 
-def _solve_level(blocks: DataFrame, capacity: int, islands: int, rounds: int, spare: int) -> DataFrame:
-    """block, elite (bin of each piece): the best solution that the islands of each block found.
-
-    Blocks within ``spare`` bins of the lower bound rest.
-    """
-    todo = scratch.stage(blocks.select("block", F.transform("items", lambda x: x["length"]).alias("lengths")).mapInArrow(_bounds(capacity, spare), "block long, lengths array<int>, bound int"), "problems")
+def _solve_level(blocks: DataFrame, capacity: int, islands: int, rounds: int) -> DataFrame:
+    """block, elite (bin of each piece): the best solution that the islands of each block found."""
+    spread = 4 * blocks.sparkSession.sparkContext.defaultParallelism
+    todo = scratch.stage(blocks.select("block", F.transform("items", lambda x: x["length"]).alias("lengths")).mapInArrow(_bounds(capacity), "block long, lengths array<int>, bound int"), "problems")
     # every island's first solution is plain best-fit decreasing, so one island finds the blocks that need no evolution
     first = todo.select("block", F.lit(0).alias("island"), "bound", "lengths", F.lit(None).cast("array<int>").alias("elite"))
     state = scratch.stage(first.mapInArrow(_islands(capacity, 0), _STATE), "island")
     done = [state.where("bins <= bound")]
     open_ = state.where("bins > bound")
     for r in range(1, rounds + 1):
-        if open_.isEmpty():
+        n_open = open_.count()
+        if not n_open:
             break
         if r == 1:
             moved = open_.select("block", "elite", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
@@ -221,7 +222,9 @@ def _solve_level(blocks: DataFrame, capacity: int, islands: int, rounds: int, sp
             ranked = open_.select("block", "island", F.struct("bins", "score", "elite").alias("s"))
             neighbour = ranked.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("s").alias("other"))
             moved = ranked.join(neighbour, ["block", "island"]).select("block", "island", F.least("s", "other")["elite"].alias("elite"))
-        state = scratch.stage(moved.join(todo, "block").select("block", "island", "bound", "lengths", "elite").mapInArrow(_islands(capacity, r), _STATE), "island")
+        tasks = min(spread, n_open * (islands if r == 1 else 1))  # an island a task, as far as there are cores
+        dealt = moved.join(todo, "block").select("block", "island", "bound", "lengths", "elite").repartition(tasks, "block", "island")
+        state = scratch.stage(dealt.mapInArrow(_islands(capacity, r), _STATE), "island")
         solved = state.where("bins <= bound").select("block").distinct()
         if r < rounds:
             done.append(state.join(solved, "block", "left_semi"))
@@ -296,8 +299,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
             "blocks",
         )
         more = read_order or n_blocks > 1
-        # what a block has over its bound goes on with its emptiest bins, so only the last level evolves for the last bin
-        best = _solve_level(blocks, capacity, islands, rounds, spare=int(more))
+        best = _solve_level(blocks, capacity, islands, rounds)
         placed = scratch.stage(blocks.join(best, "block").select("items", "elite").mapInArrow(_place(more, capacity), _PLACED), "placed")
         scratch.drop(blocks)
         bins = placed.where("offset = 0").count()

@@ -8,8 +8,8 @@ from array import array
 
 import numpy as np
 
-#: Units kept per worker; once full, further units are encoded each time they occur.
-MEMO_UNITS = 400_000
+#: Units kept per worker, and half as many words of theirs (some 230 bytes each); once full, further ones are encoded each time they occur.
+MEMO_UNITS = 800_000
 
 #: Units on whose letters, digits and marks all regular-expression engines agree.
 _SIMPLE = re.compile("[ \n!-~À-ÖØ-öø-ÿ]+")
@@ -75,7 +75,7 @@ class UnitEncoder:
         self.split = re.compile(_WORD_END_SPLIT if self.lower else _BYTE_LEVEL_SPLIT).findall
         self.memo = _Memo(lambda unit: self._encode_unit(" " + unit), memo_units)
         self.words: dict[str, bytes] = {}
-        self.memo_units = memo_units
+        self.memo_words = memo_units // 2
 
     def _encode_unit(self, unit: str) -> bytes:
         """One unit; plain Latin ones go to the BPE model by pre-token, all others through the whole tokenizer."""
@@ -87,7 +87,7 @@ class UnitEncoder:
             ids = words.get(word)
             if ids is None:
                 ids = array(self.code, [t.id for t in self.model.tokenize(word.translate(_BYTE_CHARS))]).tobytes()
-                if len(words) < self.memo_units:
+                if len(words) < self.memo_words:
                     words[word] = ids
             out.append(ids)
         return b"".join(out)

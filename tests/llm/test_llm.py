@@ -383,16 +383,32 @@ def test_what_a_block_has_over_its_bound_goes_on():
 def test_evolution_beats_or_equals_best_fit_decreasing():
     rng = np.random.default_rng(9)
     lengths = sorted(rng.integers(250, 480, 200).tolist(), reverse=True)
-    bins, free = [], []
-    packing.best_fit(bins, free, list(range(200)), lengths, 1024)
+    free = []
+    packing.best_fit(free, list(range(200)), lengths, 1024)
     bound = packing.lower_bound(np.array(lengths))
     n, _, assigned = packing.evolve(lengths, None, 1, bound, generations=20)
-    assert bound <= n <= len(bins)
+    assert bound <= n <= len(free)
     fill = np.bincount(assigned, weights=lengths)
     assert len(fill) == n and fill.max() <= 1024
     assert packing.lower_bound(np.array([600, 600, 600])) == 3
 
 
+def test_crossover_keeps_every_piece_once():
+    rng = np.random.default_rng(10)
+    lengths = np.sort(rng.integers(1, 700, 500))[::-1]
+    pool = []
+    for _ in range(2):
+        free, place = [], np.zeros(500, np.int64)
+        order = rng.permutation(500)
+        place[order] = packing.best_fit(free, order.tolist(), lengths.tolist(), 1024)
+        pool.append((place, np.array(free)))
+    for _ in range(30):
+        place, free = packing.crossover(*pool, lengths.tolist(), 1024, rng)
+        fill = np.bincount(place, lengths, len(free))
+        assert (fill == 1024 - free).all() and free.min() >= 0 and fill.min() > 0
+        pool = [pool[1], (place, free)]
+
+
 def edf_by_force(b):
     """Order of sources of one cycle, by a plain simulation."""
     d, done, out = sum(b), [0] * len(b), []
