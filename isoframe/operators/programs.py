@@ -224,8 +224,8 @@ def custom_genes(names: DataFrame, ranked: DataFrame, comparison: str) -> DataFr
     return hit.select("gene", F.coalesce("gene_id", "gene").alias("gene_id"), F.coalesce("gene_symbol", "gene").alias("gene_symbol"), F.coalesce("tier", F.lit("Unclassified")).alias("tier"), "rank")
 
 
-def cross_matrix(ranked: DataFrame, comparisons: Sequence[str]) -> DataFrame:
-    """A row a gene with tier and rank in each comparison, and the pattern over all of them (candidates only)."""
+def cross_matrix(ranked: DataFrame, comparisons: Sequence[str], ordered: bool = True) -> DataFrame:
+    """A row a gene with tier and rank in each comparison, and the pattern over all of them (candidates only); without an order nothing is gained or lost."""
     x = ranked.where("tier <> 'Unclassified'")
     present = F.array_sort(F.collect_set("comparison"))
     wide = []
@@ -251,8 +251,8 @@ def cross_matrix(ranked: DataFrame, comparisons: Sequence[str]) -> DataFrame:
         .when((n > 1) & F.col("direction_reversal"), "direction_reversed")
         .when((n > 1) & F.col("tier_change"), "tier_changed")
         .when((n > 1) & F.col("evidence_change"), "evidence_class_changed")
-        .when((n > 1) & gains & ~losses, "gained")
-        .when((n > 1) & losses & ~gains, "lost")
+        .when((n > 1) & gains & ~losses & F.lit(ordered), "gained")
+        .when((n > 1) & losses & ~gains & F.lit(ordered), "lost")
         .when(n > 1, "shared_subset")
         .when(only("DEG") | only("DEG_only"), "DEG_only_in_one_condition")
         .when(F.forall("evidence", lambda e: e.startswith("rMATS")), "splicing_only_in_one_condition")

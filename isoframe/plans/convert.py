@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isoframe.functions import columns as C
 from isoframe.operators import programs as P
+from isoframe.operators import selection as L
 from isoframe.operators import splice as S
 from isoframe.plans import proxies as X
 from isoframe.plans.proxies import with_
@@ -85,14 +86,14 @@ def candidate_summary_counts(spark, d):
 
 @query("event_filter_search", with_("ev") + "SELECT event_uid, gene_symbol, fdr, dpsi FROM ev WHERE event_type = 'SE' AND fdr <= 0.02 AND abs(dpsi) >= 0.4 AND (contains(lower(gene_symbol), 'sym1') OR contains(lower(event_uid), '|7')) ORDER BY fdr, gene_symbol, event_uid, dpsi LIMIT 500")
 def event_filter_search(spark, d):
-    x = X.ev(spark, d).where((F.col("event_type") == "SE") & (F.col("fdr") <= 0.02) & (F.abs("dpsi") >= 0.4))
-    found = F.contains(F.lower("gene_symbol"), F.lit("sym1")) | F.contains(F.lower("event_uid"), F.lit("|7"))
-    return x.where(found).orderBy("fdr", "gene_symbol", "event_uid", "dpsi").limit(500).select("event_uid", "gene_symbol", "fdr", "dpsi")
+    x = L.filter_events(X.ev(spark, d), "SE", 0.02, 0.4)
+    found = L.contains_text("sym1", ["gene_symbol"]) | L.contains_text("|7", ["event_uid"])
+    return x.where(found).orderBy("fdr", "gene_symbol", "event_uid", "dpsi").limit(L.PAGE).select("event_uid", "gene_symbol", "fdr", "dpsi")
 
 
 @query("filter_values", with_("ev") + "SELECT DISTINCT gene_symbol AS value FROM ev ORDER BY 1 LIMIT 500")
 def filter_values(spark, d):
-    return X.ev(spark, d).select(F.col("gene_symbol").alias("value")).distinct().orderBy("value").limit(500)
+    return L.distinct_values(X.ev(spark, d), "gene_symbol")
 
 
 @query("gene_catalog", with_("ev") + "SELECT DISTINCT CASE WHEN gene_id IS NOT NULL THEN 'id:' || gene_id ELSE 'sym:' || lower(gene_symbol) END AS key, gene_symbol AS label FROM ev")

@@ -94,6 +94,19 @@ def posterior(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("event"), e.alias("psi1"), F.transform(e, lambda x: x * 0.9).alias("psi2"))
 
 
+def cand(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked candidates: comparison, gene_id, gene_symbol, tier, evidence_class, direction_class, log2fc, representative_dpsi, dtu_sig, shortlisted, reason, rank."""
+    k = F.col("p_partkey")
+    comps = F.explode(F.array(*[F.struct(F.lit(c).alias("comparison"), F.lit(i).alias("i")) for i, c in enumerate(COMPARISONS)]))
+    n = k + F.col("c.i")
+    return table(spark, d, "part").withColumn("c", comps).select(
+        "c.comparison", _gene(k).alias("gene_id"), F.concat(F.lit("Sym"), k.cast("string")).alias("gene_symbol"),
+        F.when(n % 6 == 0, "Unclassified").otherwise(F.concat(F.lit("Tier "), (n % 6).cast("string"))).alias("tier"), F.when(n % 3 == 0, "DEG").when(n % 3 == 1, "rMATS").otherwise("rMATS+DEG").alias("evidence_class"),
+        F.when(n % 2 == 0, "transcript_up").otherwise("splicing_down").alias("direction_class"), F.when(k % 11 != 0, (F.col("p_size") - 25) / 10.0).cast("double").alias("log2fc"), F.when(k % 13 != 0, (k % 21 - 10) / 20.0).cast("double").alias("representative_dpsi"),
+        (k % 4 == 0).alias("dtu_sig"), (k % 17 == 0).alias("shortlisted"), F.concat(F.lit("reason "), (k % 5).cast("string")).alias("reason"), ((k * 7 + F.col("c.i")) % 10007).cast("long").alias("rank"),
+    )
+
+
 _G = "'ENSG' || lpad(CAST({} AS VARCHAR), 11, '0')"
 _KIND = "CASE l_linenumber % 5 WHEN 0 THEN 'SE' WHEN 1 THEN 'RI' WHEN 2 THEN 'A3SS' WHEN 3 THEN 'A5SS' ELSE 'MXE' END"
 
@@ -107,6 +120,7 @@ SQL = {
     "exons": "SELECT DISTINCT 'g' || (l_orderkey % 200) AS gene, 'chr1' AS chr, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 't' || l_orderkey AS tx, l_linenumber * 1000 + (l_partkey % 2) * 50 AS s, l_linenumber * 1000 + (l_partkey % 2) * 50 + 200 + (l_suppkey % 2) * 50 AS e FROM lineitem",
     "tpm": "SELECT 'g' || (o_orderkey % 200) AS gene, 't' || o_orderkey AS tx, 's' || i AS sample, CASE WHEN i < 2 THEN 'c1' ELSE 'c2' END AS cond, CAST((o_orderkey * (i + 3)) % 101 AS DOUBLE) AS tpm FROM orders CROSS JOIN (VALUES (0), (1), (2), (3)) v(i) WHERE o_orderkey % 50 <> 0",
     "reads": "SELECT event_type AS sample, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, 1000 + event_id * 37 % 5000 AS pos, CASE event_id % 4 WHEN 0 THEN '30M' || (100 + event_id % 5 * 50) || 'N20M' WHEN 1 THEN '10M5I35M' WHEN 2 THEN '20M3D30M' ELSE '50M' END AS cigar FROM events",
+    "cand": f"SELECT comparison, {_G.format('p_partkey')} AS gene_id, 'Sym' || p_partkey AS gene_symbol, CASE WHEN (p_partkey + i) % 6 = 0 THEN 'Unclassified' ELSE 'Tier ' || ((p_partkey + i) % 6) END AS tier, CASE (p_partkey + i) % 3 WHEN 0 THEN 'DEG' WHEN 1 THEN 'rMATS' ELSE 'rMATS+DEG' END AS evidence_class, CASE WHEN (p_partkey + i) % 2 = 0 THEN 'transcript_up' ELSE 'splicing_down' END AS direction_class, CASE WHEN p_partkey % 11 <> 0 THEN (p_size - 25) / 10.0::DOUBLE END AS log2fc, CASE WHEN p_partkey % 13 <> 0 THEN (p_partkey % 21 - 10) / 20.0::DOUBLE END AS representative_dpsi, p_partkey % 4 = 0 AS dtu_sig, p_partkey % 17 = 0 AS shortlisted, 'reason ' || (p_partkey % 5) AS reason, ((p_partkey * 7 + i) % 10007)::BIGINT AS rank FROM part CROSS JOIN (VALUES ('A', 0), ('N', 1), ('R', 2)) c(comparison, i)",
     "posterior": "SELECT vec_id AS event, list_transform(embedding, lambda x: round((x::DOUBLE + 1) / 2, 4)) AS psi1, list_transform(embedding, lambda x: round((x::DOUBLE + 1) / 2, 4) * 0.9::DOUBLE) AS psi2 FROM embeddings WHERE embedding IS NOT NULL",
 }
 

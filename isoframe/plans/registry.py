@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoframe.plans import convert, core, splicing
+from isoframe.plans import convert, core, selection, splicing
 
-MODULES = [core, splicing, convert]
+MODULES = [core, splicing, convert, selection]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,34 @@ def good_reads(reads: DataFrame, paired: bool = False, strand: str | None = None
 
 def without_chr(c: Column | str) -> Column:
     return F.regexp_replace(C.col(c), "^chr", "")
+
+
+def second_token(c: str):
+    """The second of the tokens that ``|`` separates: a transcript's id in a composed name."""
+    return F.get(F.split(c, r"\|"), F.lit(1))
+
+
+def fasta_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Header lines of a sequence file: id, rest of those to keep, and line of the others.
+
+    A header is ``>`` and 13 more characters, the id, and ``range=chromosome:...``; kept is
+    the first of each id on a chromosome from 1 to 22, X or Y.
+    """
+    lines = spark.read.text(path).where("value like '>%'").withColumn("line", F.monotonically_increasing_id())
+    token = F.split("value", " ")
+    x = lines.select("value", "line", F.substring(F.get(token, F.lit(0)), 15, 1 << 30).alias("id"), F.split(F.get(F.split(F.get(token, F.lit(1)), ":"), F.lit(0)), "=").alias("c"), F.array_join(F.slice(token, 2, 1 << 30), " ").alias("rest"))
+    good = F.coalesce(F.get("c", F.lit(1)).rlike("^chr([1-9]|1[0-9]|2[0-2]|X|Y)$"), F.lit(False))
+    first = x.where(good).groupBy("id").agg(F.min("line").alias("line"))
+    kept = x.where(good).join(first, ["id", "line"], "left_semi")
+    return kept.select("id", "rest"), x.join(kept.select("line"), "line", "left_anti").select("value")
+
+
+def write_summaries(samples: DataFrame, path: str) -> None:
+    """Posterior rows (event_name among their columns) as a table that a look-up of an event reads one file of."""
+    samples.withColumn("bucket", F.pmod(F.xxhash64("event_name"), F.lit(256))).repartition("bucket").sortWithinPartitions("event_name").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_summary(spark: SparkSession, path: str, event_name: str) -> DataFrame:
+    """Rows of one event of a written table."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(event_name)), F.lit(256))).first()[0]
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("event_name") == event_name)).drop("bucket")

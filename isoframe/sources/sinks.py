@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -57,7 +59,8 @@ def write_unified(df: DataFrame, path: str, tool: str, conditions: Sequence[str]
     spark = df.sparkSession
     top = spark.createDataFrame([(0, f"# {tool}"), (1, "\t".join(heads))], "o int, value string")
     lines = df.select(F.lit(2).alias("o"), F.concat_ws("\t", *cells).alias("value"))
-    top.unionByName(lines).repartitionByRange("o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    # the two lines of the head sort before all rows, which are dealt by their text
+    top.unionByName(lines).repartitionByRange("o", "value").sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
 
 
 def write_events(events: DataFrame, root: str) -> None:
@@ -101,3 +104,12 @@ def write_gene_models(exons: DataFrame, path: str) -> None:
 def running_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], pattern: str) -> DataFrame:
     """``df`` with id: rows numbered within ``keys``, in a printf pattern."""
     return df.withColumn("id", F.format_string(pattern, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))))
+
+
+def write_selection(selected: DataFrame, root: str, comparison: str, kind: str, parameters: Mapping[str, object]) -> None:
+    """Gene list, parameters and summary of a selection, below ``{root}/{comparison}/{kind}``."""
+    base = f"{root}/{comparison}/{kind}"
+    export(selected.select("comparison", "gene_symbol", "gene_id", "tier", "evidence_class", "direction_class"), f"{base}/genes", one_file=True)
+    spark = selected.sparkSession
+    spark.createDataFrame([(json.dumps(dict(parameters), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/parameters")
+    export(selected.agg(F.count("*").alias("gene_count")).select(F.lit(comparison).alias("comparison"), F.lit(kind).alias("kind"), F.lit(str(parameters.get("source", ""))).alias("source"), "gene_count"), f"{base}/summary", one_file=True)

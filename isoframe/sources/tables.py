@@ -132,8 +132,10 @@ def read_local_events(spark: SparkSession, path: str, comparison: str) -> DataFr
 
 
 def read_features(spark: SparkSession, path: str, comparison: str) -> DataFrame | None:
-    """comparison, gene_id, feature_id, q, symbol of an exon usage or transcript usage table."""
+    """comparison, gene_id, feature_id, q, symbol of an exon usage or transcript usage table, staged p-values (geneID, txID, gene, transcript) among them."""
     df = read_table(spark, path)
+    if df is not None and "groupID" not in df.columns and {"geneID", "txID", "transcript"} <= set(df.columns):
+        df = df.select(F.col("geneID").alias("groupID"), F.col("txID").alias("featureID"), F.col("transcript").alias("padj"))
     if df is None or "groupID" not in df.columns or "padj" not in df.columns:
         return None
     names = [n for n in ("gene_symbol", "geneSymbol", "symbol", "gene_name", "gene") if n in df.columns]
@@ -230,9 +232,61 @@ def import_isoform_metadata(samples: DataFrame, imported: DataFrame) -> DataFram
 def support_candidates(source_name: str, templates: Sequence[tuple[str, str]]) -> list[str]:
     """File names to try for a comparison, exact ones before patterns."""
     safe = re.sub(r"[^A-Za-z0-9_.\-]+", "_", source_name)
-    names = list(dict.fromkeys([source_name, safe]))
-    return [f"{stem}.{n}{end}" for n in names for stem, end in templates] + [f"{stem}*{n}*{end}" for n in names for stem, end in templates]
+    joined = [source_name.replace(mark, "-") for mark in ("_vs_", "-vs-", " vs ") if mark in source_name] or [source_name.replace("-", "_vs_")]
+    names = list(dict.fromkeys([source_name, safe, *joined]))
+    return [f"{stem}.{n}{end}".lstrip(".") for n in names for stem, end in templates] + [f"{stem}*{n}*{end}" for n in names for stem, end in templates]
 
 
 def find_support_file(spark: SparkSession, root: str, source_name: str, templates: Sequence[tuple[str, str]]) -> str | None:
     return next((p for c in support_candidates(source_name, templates) if exists(spark, p := f"{root}/{c}")), None)
+
+
+def read_sample_conditions(spark: SparkSession, path: str) -> DataFrame:
+    """sample, condition: the first two columns of a tab-separated list without a header."""
+    f = F.split("value", "\t")
+    return spark.read.text(path).where(F.size(f) >= 2).select(F.trim(F.get(f, F.lit(0))).alias("sample"), F.trim(F.get(f, F.lit(1))).alias("condition"))
+
+
+def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
+    """gene: a line each; a line with a space inside is an error."""
+    lines = spark.read.text(path)
+    bad = lines.where(F.contains("value", F.lit(" "))).first()
+    if bad is not None:
+        raise ValueError(f"a gene name has no space: {bad[0]!r}")
+    return lines.select(F.trim("value").alias("gene")).where("gene <> ''")
+
+
+#: Columns that a table of each kind must have.
+REQUIRED = {
+    "events": ["GeneID", "geneSymbol", "FDR", "IncLevelDifference"],
+    "deg": ["log2FoldChange", "padj"],
+    "quant": ["Name", "TPM", "NumReads"],
+}
+
+
+def missing_columns(spark: SparkSession, path: str, kind: str) -> list[str]:
+    """Messages on columns that a table lacks; only its header is read."""
+    try:
+        first = spark.read.text(path).first()
+    except Exception as e:  # noqa: BLE001  an unreadable input is a message of the report
+        return [f"{path}: can't be read ({type(e).__name__})"]
+    names = {c.strip().strip('"') for c in re.split("[\t,]", first[0])} if first else set()
+    return [f"{path}: no column {c}" for c in REQUIRED[kind] if c not in names]
+
+
+def output_files(spark: SparkSession, root: str) -> DataFrame:
+    """relative_path, size, modified of all files below a folder; their contents are not read."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
+    base = root.rstrip("/").split("://")[-1]
+    return x.select(F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "").alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+#: What each view of the output browser shows.
+VIEWS = {"heatmap": "(?i)heatmap|clustermap", "pca": "(?i)pca"}
+
+
+def browse(files: DataFrame, view: str | None = None, comparison: str | None = None) -> DataFrame:
+    """Files of a view, and of a comparison where the table has that column."""
+    if view in VIEWS:
+        files = files.where(F.col("relative_path").rlike(VIEWS[view]))
+    return files.where(F.col("comparison") == comparison) if comparison and "comparison" in files.columns else files

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoframe.functions import columns as C
+from isoframe.operators.ordering import indexed
 
 _EMPTY = F.array
 
@@ -88,7 +89,8 @@ def from_all_events(tables: dict[str, DataFrame]) -> DataFrame:
 def from_events(events: DataFrame, kind: str, order: str = "ID", before: int = 0) -> DataFrame:
     """An event table (file columns as text) of one type; group ids count its rows in the order of ``order``, after ``before`` others."""
     symbol = F.regexp_replace("geneSymbol", '^"|"$', "")
-    n = F.row_number().over(Window.orderBy(F.col(order).try_cast("long"))) + before  # one comparison's events of one type
+    events = indexed(events.withColumn("_o", F.col(order).try_cast("long")), ["_o"]).drop("_o", "_p")
+    n = F.col("_i") + 1 + before
     list_of = lambda a, b: C.numbers(F.concat_ws(",", a, b))
     return events.select(
         F.when(F.col("geneSymbol").isNull() | (symbol == "NA"), F.regexp_replace("GeneID", '^"|"$', "")).otherwise(symbol).alias("GeneName"),
@@ -128,9 +130,8 @@ def log2_change(first: Column, second: Column) -> Column:
 
 def from_abundances(introns: DataFrame, counts: DataFrame) -> DataFrame:
     """Differential abundance: introns (chr, start, end, strand, gene, status, p_value, q_value, mean_1, mean_2, o), counts (chr, start, end, strand, counts)."""
-    t = introns.where("status = 'TEST'")
-    n = F.row_number().over(Window.orderBy("o"))
-    x = t.withColumn("n", n).join(counts, ["chr", "start", "end", "strand"])
+    t = indexed(introns.where("status = 'TEST'"), ["o"]).withColumn("n", F.col("_i") + 1).drop("_i", "_p")
+    x = t.join(counts, ["chr", "start", "end", "strand"])
     name = F.format_string("J%06d", F.col("n"))
     return x.select(
         F.col("gene").alias("GeneName"), name.alias("GroupID"), name.alias("FeatureID"), F.lit("intron").alias("FeatureType"), F.concat("chr", F.lit(":"), "start", F.lit("-"), "end").alias("FeatureLabel"), "strand",
