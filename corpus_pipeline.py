@@ -1,6 +1,9 @@
 """Corpus pipeline: quality rules, toxicity, near-duplicate join, source mixing, packing.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``,
+whatever they are named, with the rows that it keeps as they are.  In every stage an empty
+table gives an empty one, a very long text is worked on whole, rows that repeat are judged
+alike, and ids and sources may be null.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ KEEP_AT = 0.2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the quality model."""
+    """Documents that pass the base rules and the quality model; null and empty texts fail the rules.
+
+    The threshold is lower than that of the operator's own query: only clear rejects go.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), KEEP_AT)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression distance doesn't call toxic."""
+    """Documents that the compression distance doesn't call toxic; null and empty texts stay."""
     return toxicity.keep_civil(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.TOXIC_AT)
 
 
@@ -34,12 +40,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the Pfair mix: the written files hold it one after the other."""
+    """All documents, in the order of the Pfair mix: the written files hold it one after the other.
+
+    A null source is one of its own; weights are the square roots of the sources' numbers of rows.
+    """
     return mixing.mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences of 1024 tokens within windows of the mix."""
+    """Pieces of documents, packed into sequences of 1024 tokens within windows of the mix; a null or empty text is its end id."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, keep_order=True)
 
 
