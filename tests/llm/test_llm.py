@@ -628,3 +628,19 @@ def test_pipeline_stages(spark, sf_dir):
     toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
     assert len(ids & toxic) <= 0.25 * len(toxic)
     assert P.run(spark, sf_dir).count() == at.count()
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline as P
+
+    texts = [*ODD, *ODD, prose(random.Random(50), 80, 5000)]
+    odd = documents(spark, texts).withColumn("_kept", F.lit(1)).withColumn("score", F.lit("x"))
+    odd = odd.withColumn("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit(None)).otherwise(F.col("doc_id"))).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.col("source")))
+    for i, (name, stage) in enumerate(P.STAGES):
+        got = scratch.stage(stage(spark, odd, sf_dir), f"odd{i}")
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0, name
+        if i < len(P.STAGES) - 1:
+            assert got.columns == odd.columns, name
+            assert got.count() == (len(texts) if name == "source mixing" else got.count()) <= len(texts)
+        else:
+            assert {r.piece for r in got.where("doc_id = 3").collect()} == {0}
