@@ -55,7 +55,7 @@ def test_toxicity_scores(spark, sf_dir):
 
 def test_toxic_dictionary_holds_toxic_text():
     rng = np.random.default_rng(1)
-    common = [f"w{i}x" for i in range(300)]
+    common = [a + b + c for a in "bdfg" for b in "aeiou" for c in ("lan", "mor", "nit", "pes", "run")] * 3
     text = lambda extra: " ".join(rng.choice(common + extra, 60))
     toxic, ordinary = [text(["horrid"] * 20) for _ in range(60)], [text(["lovely"] * 20) for _ in range(60)]
     first, second = toxicity.train_dictionaries(toxic, ordinary)
