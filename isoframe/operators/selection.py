@@ -217,3 +217,37 @@ def split_conditions(long: DataFrame, first: Sequence[str], second: Sequence[str
     plain = lambda names: [n.replace("-", ".") for n in names]
     name = F.translate("sample", "-", ".")
     return tuple(long.where(name.isin(plain(names))) for names in (first, second))
+
+
+def largest_changes(deg: DataFrame, n: int = 20) -> DataFrame:
+    """The n genes with the largest absolute change, for a chart."""
+    return deg.orderBy(F.abs("log2fc").desc_nulls_last(), "gene_id").limit(n)
+
+
+def by_maximum(rows: DataFrame, columns: Sequence[str], absolute: bool = False) -> DataFrame:
+    """Each column by its largest (absolute) value over all rows; where that is 0, as it is."""
+    size = F.abs if absolute else F.col
+    most = rows.agg(F.struct(*[F.max(size(c)).alias(c) for c in columns])).scalar()
+    return rows.withColumns({c: F.when(most[c] > 0, F.col(c) / most[c]).otherwise(F.col(c)) for c in columns})
+
+
+def evidence_matrix(candidates: DataFrame, n: int = 40) -> DataFrame:
+    """gene_id, evidence, events, fc: the n genes with most evidence, each column by its largest value over all genes."""
+    x = candidates.select("gene_id", F.col("evidence_count").cast("double").alias("evidence"), F.col("n_sig_events_all").cast("double").alias("events"), F.coalesce("abs_log2fc", F.lit(0.0)).alias("fc"))
+    return by_maximum(x, ["evidence", "events", "fc"]).orderBy(F.desc("evidence"), F.desc("events"), F.desc("fc"), "gene_id").limit(n)
+
+
+def largest_differences(pairs: DataFrame, n: int = 30) -> DataFrame:
+    """gene_symbol, event_uid, delta: the event with the largest difference between two comparisons of each of the n genes with the largest ones."""
+    x = pairs.where("abs_delta_between_programs is not null").select("gene_symbol", "event_uid", F.round("abs_delta_between_programs", 6).alias("delta"))
+    top = x.groupBy("gene_symbol").agg(F.max("delta").alias("m")).orderBy(F.desc("m"), "gene_symbol").limit(n)
+    w = Window.partitionBy("gene_symbol").orderBy(F.desc("delta"), "event_uid")
+    return x.join(F.broadcast(top), "gene_symbol", "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def volcano(deg: DataFrame, features: DataFrame) -> DataFrame:
+    """comparison, gene_id, log2fc, bonferroni, score of genes in both tables: p times the number of rows, and -log10 of the best feature's q."""
+    best = features.groupBy("comparison", "gene_id").agg(F.min("q").alias("q"))
+    both = deg.join(best, ["comparison", "gene_id"])
+    n = both.agg(F.count("*")).scalar()
+    return both.select("comparison", "gene_id", "log2fc", F.least(F.col("padj") * n, F.lit(1.0)).alias("bonferroni"), (-F.log10(F.col("q") + 0.001)).alias("score"))

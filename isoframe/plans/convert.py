@@ -127,10 +127,8 @@ def top_candidates(spark, d):
 
 @query("volcano_table", with_("deg", "dex", x="SELECT comparison, gene_id, min(q) AS q FROM dex GROUP BY ALL") + "SELECT comparison, gene_id, log2fc, round(least(padj * count(*) OVER (), 1.0), 9) AS bonferroni, round(-log10(q + 0.001), 6) AS score FROM deg JOIN x USING (comparison, gene_id)")
 def volcano_table(spark, d):
-    x = X.dex(spark, d).groupBy("comparison", "gene_id").agg(F.min("q").alias("q"))
-    both = X.deg(spark, d).join(x, ["comparison", "gene_id"])
-    n = both.agg(F.count("*")).scalar()
-    return both.select("comparison", "gene_id", "log2fc", F.round(F.least(F.col("padj") * n, F.lit(1.0)), 9).alias("bonferroni"), F.round(-F.log10(F.col("q") + 0.001), 6).alias("score"))
+    x = L.volcano(X.deg(spark, d), X.dex(spark, d))
+    return x.select("comparison", "gene_id", "log2fc", F.round("bonferroni", 9).alias("bonferroni"), F.round("score", 6).alias("score"))
 
 
 _GTF_LINES = " UNION ALL ".join(f'SELECT event_id, {a} AS "start", {b} AS "end", \'{iso}\' AS isoform FROM se' for a, b, iso in (("e1 - 100", "e1", "alternative2"), ("s3", "s3 + 100", "alternative2"), ("e1 - 100", "e1", "alternative1"), ("s2", "e2", "alternative1"), ("s3", "s3 + 100", "alternative1")))

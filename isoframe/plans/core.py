@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isoframe.functions import columns as C
 from isoframe.functions.thresholds import PRESETS
 from isoframe.operators import programs as P
+from isoframe.operators import selection as L
 from isoframe.plans import proxies as X
 from isoframe.plans.proxies import with_
 
@@ -379,21 +379,15 @@ def venn_regions(spark, d):
 def evidence_top20(spark, d):
     from isoframe.functions.thresholds import deg_significant
 
-    return X.deg(spark, d).where((F.col("comparison") == "A") & deg_significant("padj", "log2fc", T)).orderBy(F.abs("log2fc").desc(), "gene_id").limit(20).select("gene_id", "log2fc")
+    return L.largest_changes(X.deg(spark, d).where((F.col("comparison") == "A") & deg_significant("padj", "log2fc", T))).select("gene_id", "log2fc")
 
 
 @query("evidence_heatmap", _CW + ", m AS (SELECT gene_id, evidence_count, n_sig_events_all AS n, coalesce(abs_log2fc, 0) AS fc FROM cand WHERE comparison = 'A') SELECT gene_id, round(evidence_count / max(evidence_count) OVER (), 6) AS evidence, round(n / max(n) OVER (), 6) AS events, round(fc / max(fc) OVER (), 6) AS fc FROM m ORDER BY evidence_count DESC, n DESC, fc DESC, gene_id LIMIT 40")
 def evidence_heatmap(spark, d):
-    x = _cand(spark, d).where("comparison = 'A'").select("gene_id", "evidence_count", F.col("n_sig_events_all").alias("n"), F.coalesce("abs_log2fc", F.lit(0.0)).alias("f"))
-    most = x.agg(F.struct(*[F.max(c).alias(c) for c in ("evidence_count", "n", "f")])).scalar()
-    y = x.orderBy(F.desc("evidence_count"), F.desc("n"), F.desc("f"), "gene_id").limit(40)
-    part = lambda c: F.round(F.when(most[c] > 0, F.col(c) / most[c]).otherwise(F.col(c)), 6)
-    return y.select("gene_id", part("evidence_count").alias("evidence"), part("n").alias("events"), part("f").alias("fc"))
+    x = L.evidence_matrix(_cand(spark, d).where("comparison = 'A'"))
+    return x.select("gene_id", *[F.round(c, 6).alias(c) for c in ("evidence", "events", "fc")])
 
 
 @query("program_heatmap", with_("ev", **_PAIRS, g="SELECT gene_symbol, max(round(abs_delta_between_programs, 6)) AS m FROM pairs WHERE abs_delta_between_programs IS NOT NULL GROUP BY 1 ORDER BY m DESC, gene_symbol LIMIT 30", r="SELECT p.gene_symbol, p.event_uid, round(p.abs_delta_between_programs, 6) AS delta, row_number() OVER (PARTITION BY p.gene_symbol ORDER BY round(p.abs_delta_between_programs, 6) DESC, p.event_uid) AS n FROM pairs p JOIN g USING (gene_symbol) WHERE p.abs_delta_between_programs IS NOT NULL") + "SELECT gene_symbol, event_uid, delta FROM r WHERE n = 1")
 def program_heatmap(spark, d):
-    x = _pairs(spark, d).where("abs_delta_between_programs is not null").select("gene_symbol", "event_uid", F.round("abs_delta_between_programs", 6).alias("delta"))
-    top = x.groupBy("gene_symbol").agg(F.max("delta").alias("m")).orderBy(F.desc("m"), "gene_symbol").limit(30)
-    w = Window.partitionBy("gene_symbol").orderBy(F.desc("delta"), "event_uid")
-    return x.join(F.broadcast(top), "gene_symbol", "left_semi").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return L.largest_differences(_pairs(spark, d))
