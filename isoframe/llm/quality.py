@@ -135,31 +135,38 @@ def _parts(texts: list[str | None]) -> Iterator[pa.Array]:
         yield batch.column(0)
 
 
-def _sparse(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, share) triples of a sample."""
-    rows, cols, values, base = [], [], [], 0
+def _sparse(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of a sample: where each row's features start and end, features, shares."""
     for part in _parts(texts):
         counted = Counted(part)
-        for g, (bucket, (a, b)) in enumerate(counted.features()):
-            for r in range(counted.rows):
+        groups = counted.features()
+        ends, cols, values = [0], [], []
+        for r in range(counted.rows):
+            for g, (bucket, (a, b)) in enumerate(groups):
                 f, n = np.unique(bucket[a[r] : b[r]], return_counts=True)
-                rows.append(np.full(len(f), base + r, np.int32))
                 cols.append(f.astype(np.int32) + np.int32(g << BUCKETS_LOG2))
                 values.append((n / max(1, b[r] - a[r])).astype(np.float32))
-        base += counted.rows
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+            ends.append(ends[-1] + sum(map(len, cols[-len(groups) :])))
+        yield np.array(ends), np.concatenate(cols), np.concatenate(values)
 
 
 def fit(texts: list[str | None], good: np.ndarray, steps: int = 120) -> np.ndarray:
-    """Weights of all buckets and a bias: regression by Adam on all rows, classes weighed equally."""
-    rows, cols, values = _sparse(texts)
+    """Weights of all buckets and a bias: regression by Adam on all rows, slice by slice, classes weighed equally."""
+    parts = list(_sparse(texts))
     w = np.zeros((_GROUPS << BUCKETS_LOG2) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = np.where(good == 1, 0.5 / max(1, good.sum()), 0.5 / max(1, (1 - good).sum()))
     for step in range(1, steps + 1):
-        z = np.bincount(rows, w[cols] * values, len(texts)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good) * weight
-        g = np.append(np.bincount(cols, error[rows] * values, len(w) - 1), error.sum()) + 1e-7 * w
+        g, at = 1e-7 * w, 0
+        for ends, cols, values in parts:
+            n = len(ends) - 1
+            total = np.zeros(len(cols) + 1)
+            np.cumsum(w[cols] * values, out=total[1:])
+            z = total[ends[1:]] - total[ends[:-1]] + w[-1]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good[at : at + n]) * weight[at : at + n]
+            g[:-1] += np.bincount(cols, np.repeat(error, np.diff(ends)) * values, len(w) - 1)
+            g[-1] += error.sum()
+            at += n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return w
