@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,6 @@ import pyarrow.compute as pc
 #: Bytes of text handled at a time; a single longer document makes a slice of its own.
 SLICE_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -31,6 +29,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
             at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut or put together so that each holds about ``max_bytes`` of ``column``; a longer row stands alone."""
+    held, size = [], 0
+    for batch in slices(batches, column, max_bytes):
+        n = int(pc.sum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)).as_py() or 0)
+        if held and size + n > max_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows one after another, and where each row starts (null: empty)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -55,11 +67,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words ``[^\\x20\\x09-\\x0D]+``, and the first word number of each row."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words (runs of bytes that ``space`` doesn't mark), and the first word number of each row."""
     n = len(data)
     gap = np.ones(n + 1, bool)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     gap[1:n] = ~inside[: n - 1] if n else True
     gap[offsets] = True
     starts = np.flatnonzero(inside & gap[:n])
@@ -72,18 +84,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INV, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and its inverse, at least n; those of ordinary slices are kept, those of a longer text aren't."""
-    return _powers(1 << 21) if n < 1 << 21 else _powers.__wrapped__(n + 1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -94,12 +94,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes from which on a span is hashed by itself, so that one long span doesn't make a round of its own for each of its words.
+_LONG_SPAN = 512
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[starts[i]:ends[i]] by polynomial prefix sums, independent of position."""
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:], dtype=np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[0])
+    """64-bit hash of data[starts[i]:ends[i]], eight bytes a round, each round mixed; long spans by blake2b.
+
+    A polynomial in the bytes modulo a power of two would not do: it has colliding spans
+    of 2,048 letters whatever its base.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _ODD[0] + _ODD[1])
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from every place on
+    left = np.where(size < _LONG_SPAN, size, 0)
+    rows, at = np.flatnonzero(left), 0
+    while len(rows):
+        rest = left[rows] - at
+        got = words[starts[rows] + at]
+        short = rest < 8
+        got[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[rows] = mix(out[rows] * _ODD[2] + mix(got ^ _ODD[3]))
+        at += 8
+        rows = rows[rest > 8]
+    for i in np.flatnonzero(size >= _LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoframe.llm import license_scan, url_filter
+from isoframe.llm import collocation, license_scan, url_filter
+from isoframe.llm.alignment import op12_token_alignment
 from isoframe.llm.ann import op7_nearest
+from isoframe.llm.cutting import op13_cutting_stock
 from isoframe.llm.jaccard import op2_ngram_jaccard
 from isoframe.llm.language import op10_language
 from isoframe.llm.mixing import op9_mixing
@@ -29,6 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
         "op10_language": op10_language,
+        "op11_collocations": collocation.op11_collocations,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_cutting_stock": op13_cutting_stock,
     }
 
 
@@ -36,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": url_filter.ORACLE_SQL,
         "op6_license_scan": license_scan.ORACLE_SQL,
+        "op11_collocations": collocation.ORACLE_SQL,
     }

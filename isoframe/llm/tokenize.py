@@ -19,11 +19,15 @@ _BYTE_LEVEL_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^
 _WORD_END_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+"
 
 
-def _byte_chars() -> dict[int, str]:
+def byte_alphabet() -> dict[int, str]:
     """Byte-level alphabet by its public rule: printable bytes stand for themselves, others for U+0100 onwards."""
     keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     spare = iter(range(0x100, 0x200))
-    by_byte = {b: chr(b if b in keep else next(spare)) for b in range(256)}
+    return {b: chr(b if b in keep else next(spare)) for b in range(256)}
+
+
+def _byte_chars() -> dict[int, str]:
+    by_byte = byte_alphabet()
     return {c: "".join(by_byte[b] for b in chr(c).encode()) for c in [*range(0x80), *range(0xC0, 0x100)]}
 
 

@@ -106,3 +106,22 @@ def test_quality_scores():
         ]
         want = weights[-1] + sum(np.mean([weights[(g << quality.BUCKETS_LOG2) + b] for b in buckets]) for g, buckets in enumerate(groups) if buckets)
         assert score == pytest.approx(want)
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Thue-Morse words: a polynomial hash modulo 2^64 takes them for the same, whatever its base."""
+    from isoframe.llm import jaccard, quality
+
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((a + b + a).encode(), np.uint8)
+    n = len(a)
+    h = arrow.span_hashes(data, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+    assert h[0] == h[2] != h[1]
+    for size in (*range(1, 26), 511, 512, 513):  # at any place, with any end
+        assert arrow.span_hashes(data, np.array([3]), np.array([3 + size])) == arrow.span_hashes(np.roll(data, -2), np.array([1]), np.array([1 + size]))
+    assert quality.Counted(pa.array([a + "\n" + b, a + "\n" + a])).statistics()["n_dup_lines"].tolist() == [0, 1]
+    rows = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_join(rows).collect()) == [(1, 1), (2, 2), (3, 1)]
