@@ -22,6 +22,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -39,9 +40,9 @@ from isoframe.llm.arrow import flat, gathered
 from isoframe.llm.tokenize import UnitEncoder, byte_alphabet
 
 #: Bytes of text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Units that a worker remembers.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 200_000
 #: Labels of a byte: end of no token, of an A token, of a B token, of both.
 LABELS = b".ab|"
 _GROUP = re.compile(rb"[^|]*\|")
@@ -64,29 +65,46 @@ class Tokenizers:
         self.b = SentencePieceProcessor(model_file=b_path)
         byte_of = {c: b for b, c in byte_alphabet().items()}
         names = {i: t for t, i in self.a.plain.get_vocab(with_added_tokens=True).items()}
-        self.a_size = np.array([len(_byte_level(names.get(i, ""), byte_of)) for i in range(max(names) + 1)], np.int64)
-        self.a_bytes = [_byte_level(names.get(i, ""), byte_of) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        self.b_size = np.array([len(b) for b in self.b_bytes], np.int64)
+        self.a_bytes = Table([_byte_level(names.get(i, ""), byte_of) for i in range(max(names) + 1)])
+        self.b_bytes = Table([bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces])
+        # an id and what follows it: another id of its side, the other side, the next group
+        a, b = len(self.a_bytes.size), len(self.b_bytes.size)
+        self.texts = Table([f"{i}{mark}".encode() for n, mark in ((a, ","), (a, "|"), (b, ","), (b, ";")) for i in range(n)])
         #: No piece goes on over a space after something else.
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
 
-    def encode_a(self, unit: str) -> np.ndarray:
+    def encode_a(self, unit: str) -> bytes:
         """Ids of a unit that begins with a space."""
         rest = unit[1:]
-        raw = self.a.memo[rest] if rest and not rest[0].isspace() and " " not in rest else self.a.whole(unit)
-        return np.frombuffer(raw, self.a.dtype)
+        return self.a.memo[rest] if rest and not rest[0].isspace() and " " not in rest else self.a.whole(unit)
+
+
+class Table:
+    """Byte strings by number, one after another."""
+
+    def __init__(self, parts: list[bytes]):
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        return self.data[expand(self.at[numbers], self.size[numbers])]
 
 
 def _byte_level(token: str, byte_of: dict[str, int]) -> bytes:
     return bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
 
 
-def _ends(ids: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids one after another, and the byte offset at which each ends."""
-    flat_ids = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-    return flat_ids, np.cumsum(size[flat_ids])
+def _equal(table: Table, ids: np.ndarray, n: np.ndarray, units: list[bytes]) -> np.ndarray:
+    """Are the bytes of each unit's ids the unit?"""
+    found, want = table.joined(ids), np.frombuffer(b"".join(units), np.uint8)
+    if len(found) == len(want) and (found == want).all():
+        ends = np.cumsum(table.size[ids])[np.cumsum(n) - 1] if len(ids) else np.zeros(0)
+        if (n > 0).all() and (ends == np.cumsum([len(u) for u in units])).all():
+            return np.ones(len(units), bool)
+    cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
+    return np.array([table.joined(ids[i:j]).tobytes() == u for i, j, u in zip(cuts, cuts[1:], units, strict=False)], bool)
 
 
 def label_string(n: int, a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
@@ -102,35 +120,53 @@ class Units:
 
     def __init__(self, both: Tokenizers, units: list[bytes]):
         texts = [u.decode() for u in units]
-        a = [both.encode_a(t) for t in texts]
-        b = [np.array(x, np.int64) for x in both.b.encode([t[1:] for t in texts], num_threads=1)] if texts else []
-        self.exact = np.array([b"".join(map(both.a_bytes.__getitem__, x.tolist())) == u and b"".join(map(both.b_bytes.__getitem__, y.tolist())) == u for x, y, u in zip(a, b, units, strict=True)], bool)
-        good = np.flatnonzero(self.exact).tolist()
-        a_ids, a_ends = _ends([a[i] for i in good], both.a_size)
-        b_ids, b_ends = _ends([b[i] for i in good], both.b_size)
-        size = np.array([len(units[i]) for i in good], np.int64)
+        a_raw = [both.encode_a(t) for t in texts]
+        b_lists = both.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        self.n_a = np.array([len(r) for r in a_raw], np.int64) // both.a.dtype.itemsize
+        self.n_b = np.array([len(x) for x in b_lists], np.int64)
+        a_ids = np.frombuffer(b"".join(a_raw), both.a.dtype).astype(np.int64)
+        b_ids = np.fromiter(itertools.chain.from_iterable(b_lists), np.int64, int(self.n_b.sum()))
+        self.exact = _equal(both.a_bytes, a_ids, self.n_a, units) & _equal(both.b_bytes, b_ids, self.n_b, units)
+        # units that don't keep their bytes have no tokens
+        a_ids, b_ids = a_ids[np.repeat(self.exact, self.n_a)], b_ids[np.repeat(self.exact, self.n_b)]
+        size = np.where(self.exact, [len(u) for u in units], 0).astype(np.int64)
+        self.n_a, self.n_b = self.n_a * self.exact, self.n_b * self.exact
+        a_ends, b_ends = np.cumsum(both.a_bytes.size[a_ids]), np.cumsum(both.b_bytes.size[b_ids])
         ends = np.array([m.end() for m in _GROUP.finditer(label_string(int(size.sum()), a_ends, b_ends))], np.int64)
         # label counts of each span: tokens of either side that end in it
         a_to, b_to = np.searchsorted(a_ends, ends, "right"), np.searchsorted(b_ends, ends, "right")
-        n_a, n_b = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip((a_to - n_a).tolist(), a_to.tolist(), (b_to - n_b).tolist(), b_to.tolist(), strict=True)]
-        last = np.searchsorted(ends, np.cumsum(size), "right")  # groups up to each unit's end
-        first = np.concatenate([[0], last[:-1]]).astype(np.int64) if len(last) else last
-        self.text = [""] * len(units)
-        counts = np.zeros((len(units), 3), np.int64)
-        for u, i, j in zip(good, first.tolist(), last.tolist(), strict=True):
-            self.text[u] = ";".join(groups[i:j])
-        if good:
-            for column, of_group in enumerate((n_a, n_b, np.ones_like(n_a))):
-                counts[good, column] = np.add.reduceat(of_group, first) if len(of_group) else 0
-        self.n_a, self.n_b, self.n_groups = counts.T
+        in_a, in_b = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        self.n_groups = np.diff(np.searchsorted(ends, np.cumsum(size), "right"), prepend=0)
         self.n_links = self.n_a + self.n_b - self.n_groups
+        # the text of a group: its A ids, then its B ids, each with the mark that follows it
+        n_a, n_b = len(both.a_bytes.size), len(both.b_bytes.size)
+        code = np.zeros(len(a_ids) + len(b_ids), np.int64)
+        a_place = np.arange(len(a_ids)) + np.repeat(b_to - in_b, in_a)
+        b_place = np.arange(len(b_ids)) + np.repeat(a_to, in_b)
+        code[a_place], code[b_place] = a_ids, b_ids + 2 * n_a
+        code[a_place[a_to - 1]] += n_a
+        code[b_place[b_to - 1]] += n_b
+        written = both.texts.joined(code).tobytes()
+        stops = np.concatenate([[0], np.cumsum(both.texts.size[code])])[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
+        self.text = [written[i:j] for i, j in zip(stops, stops[1:], strict=False)]
         # a link for each end of a token in a group: the tokens of both sides that hold that byte
         stops = np.union1d(a_ends, b_ends)
         links = (a_ids[np.searchsorted(a_ends, stops)] << 32) | b_ids[np.searchsorted(b_ends, stops)] if len(stops) else np.zeros(0, np.int64)
         self.pairs, self.links = np.unique(links, return_inverse=True)
-        self.link_at = np.concatenate([[0], np.cumsum(self.n_links)])
+        self.link_at = np.cumsum(self.n_links) - self.n_links
+
+
+def documents_of(doc: np.ndarray, pair: np.ndarray, n_docs: int, n_pairs: int) -> np.ndarray:
+    """In how many documents each pair stands, of (document, pair) rows that may repeat, in order of documents."""
+    if n_docs * n_pairs > 64 * len(pair):
+        return np.bincount(np.unique(doc * max(1, n_pairs) + pair) % max(1, n_pairs), minlength=n_pairs)
+    out, step = np.zeros(n_pairs, np.int64), max(1, (1 << 22) // max(1, n_pairs))
+    for low in range(0, n_docs, step):  # a table of flags for some documents at a time
+        i, j = np.searchsorted(doc, [low, low + step])
+        flags = np.zeros((step, n_pairs), bool)
+        flags[doc[i:j] - low, pair[i:j]] = True
+        out += flags.sum(axis=0)
+    return out
 
 
 def unit_cuts(data: np.ndarray, starts: np.ndarray, cut_inside: bool) -> np.ndarray:
@@ -167,17 +203,14 @@ def block_row(both: Tokenizers, batch: pa.RecordBatch) -> dict:
     of, doc = of[keep], doc[keep]
     sizes = np.bincount(doc, minlength=batch.num_rows)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    strings = np.array(units.text, object)[of] if len(of) else np.zeros(0, object)
-    digests = [hashlib.sha256(";".join(strings[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
+    strings, parts = units.text, of.tolist()
+    digests = [hashlib.sha256(b"".join(map(strings.__getitem__, parts[i:j]))[:-1]).hexdigest() if j > i else "" for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
     sums = [np.bincount(doc, x[of], batch.num_rows).astype(np.int64) for x in (units.n_a, units.n_b, units.n_groups, units.n_links)]
-    # documents of each pair: distinct units of a document, then distinct pairs of those
-    seen = np.unique(doc * len(units.text) + of) if len(of) else np.zeros(0, np.int64)
-    unit, owner = seen % max(1, len(units.text)), seen // max(1, len(units.text))
-    links = units.links[expand(units.link_at[unit], units.n_links[unit])]
-    held = np.unique(np.repeat(owner, units.n_links[unit]) * max(1, len(units.pairs)) + links) % max(1, len(units.pairs))
+    links = units.links[expand(units.link_at[of], units.n_links[of])]
+    held = documents_of(np.repeat(doc, units.n_links[of]), links, batch.num_rows, len(units.pairs))
     return {
         "docs": pa.StructArray.from_arrays([batch.column(0), *map(pa.array, sums), pa.array(digests, pa.string()), pa.array(sizes)], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "n_units"]),
-        "units": _packed(of), "n_links": _packed(units.n_links), "links": _packed(units.links), "pairs": units.pairs, "held": np.bincount(held, minlength=len(units.pairs)),
+        "units": _packed(of), "n_links": _packed(units.n_links), "links": _packed(units.links), "pairs": units.pairs, "held": held,
     }
 
 

@@ -84,9 +84,11 @@ def best_sums(lengths: list[int], values: np.ndarray, capacity: int) -> tuple[np
         times = np.arange(rows)[:, None] * values[i]
         table = np.full(rows * n, -np.inf)
         table[: capacity + 1] = best
-        # any number of this length more: a running maximum down each residue class
-        more = (np.maximum.accumulate(table.reshape(rows, n) - times, axis=0) + times).ravel()[: capacity + 1]
-        better = more > best + 1e-12
+        # any number of this length more: a running maximum down each residue class, of the rows above
+        more = np.full((rows, n), -np.inf)
+        more[1:] = (np.maximum.accumulate(table.reshape(rows, n) - times, axis=0) + times)[:-1] + values[i]
+        more = more.ravel()[: capacity + 1]
+        better = more > best + 1e-9 * (1 + np.abs(np.where(np.isfinite(best), best, 0)))
         last[better] = i
         best = np.where(better, more, best)
     return best, last
@@ -110,13 +112,17 @@ def generate(lengths: list[int], counts: list[int], capacity: int = CAPACITY) ->
     m = len(lengths)
     size, want = np.array(lengths, float), np.array(counts, float)
     spill = CUT_COST * size / capacity
-    inverse, amount, cost = np.eye(m), want * (1 + 1e-7 * np.arange(1, m + 1) / m), spill.copy()
+    moved = want * (1 + 1e-7 * np.arange(1, m + 1) / m)  # no two ratios tie
+    inverse, amount, cost = np.eye(m), moved.copy(), spill.copy()
     columns: list[np.ndarray] = [np.eye(1, m, i, dtype=np.int64)[0] for i in range(m)]
     is_pattern = np.zeros(m, bool)
     least = float(size @ want) / capacity
     targets = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
     targets = sorted({*targets, capacity})
-    for _ in range(COLUMNS_EACH * m):
+    for step_no in range(1, COLUMNS_EACH * m + 1):
+        if step_no % 50 == 0:  # rounding errors of the updates end here
+            inverse = np.linalg.inv(np.array(columns, float).T)
+            amount = inverse @ moved
         if float(cost @ amount) <= least * (1 + NEAR):
             break
         dual = cost @ inverse
@@ -127,7 +133,7 @@ def generate(lengths: list[int], counts: list[int], capacity: int = CAPACITY) ->
             break
         new, price, filled = (pattern(last, lengths, target), 1.0, True) if gain >= dual[i] - spill[i] else (np.eye(1, m, i, dtype=np.int64)[0], float(spill[i]), False)
         along = inverse @ new
-        able = along > 1e-9
+        able = along > 1e-7
         if not able.any():
             break
         out = int(np.argmin(np.where(able, amount / np.where(able, along, 1.0), np.inf)))
