@@ -119,23 +119,15 @@ def generate(lengths: list[int], counts: list[int], capacity: int = CAPACITY) ->
     least = float(size @ want) / capacity
     targets = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
     targets = sorted({*targets, capacity})
-    for step_no in range(1, COLUMNS_EACH * m + 1):
-        if step_no % 50 == 0:  # rounding errors of the updates end here
-            inverse = np.linalg.inv(np.array(columns, float).T)
-            amount = inverse @ moved
-        if float(cost @ amount) <= least * (1 + NEAR):
-            break
-        dual = cost @ inverse
-        best, last = best_sums(lengths, dual, capacity)
-        gain, target = max((best[t] - 1.0, t) for t in targets)
-        i = int(np.argmax(dual - spill))
-        if max(gain, dual[i] - spill[i]) <= 1e-7:
-            break
-        new, price, filled = (pattern(last, lengths, target), 1.0, True) if gain >= dual[i] - spill[i] else (np.eye(1, m, i, dtype=np.int64)[0], float(spill[i]), False)
-        along = inverse @ new
+
+    def enter(new: np.ndarray, price: float, filled: bool) -> bool:
+        """Bring a column into the basis if it still improves it."""
+        nonlocal amount
+        if cost @ (along := inverse @ new) - price <= 1e-7:
+            return False
         able = along > 1e-7
         if not able.any():
-            break
+            return False
         out = int(np.argmin(np.where(able, amount / np.where(able, along, 1.0), np.inf)))
         step = amount[out] / along[out]
         amount = amount - step * along
@@ -144,6 +136,30 @@ def generate(lengths: list[int], counts: list[int], capacity: int = CAPACITY) ->
         others = np.arange(m) != out
         inverse[others] -= np.outer(along[others], inverse[out])
         columns[out], cost[out], is_pattern[out] = new, price, filled
+        return True
+
+    for _ in range(COLUMNS_EACH * m):
+        if float(cost @ amount) <= least * (1 + NEAR):
+            break
+        dual = cost @ inverse
+        best, last = best_sums(lengths, dual, capacity)
+        # one knapsack prices the best pattern of every target, and for each length the best full one that holds it
+        gains = [(best[t] - 1.0, t, None) for t in targets] + [(dual[i] + best[capacity - n] - 1.0, capacity - n, i) for i, n in enumerate(lengths)]
+        entered = 0
+        for gain, target, i in sorted(gains, key=lambda g: -g[0]):
+            if not gain > 1e-7:
+                break
+            new = pattern(last, lengths, target)
+            if i is not None:
+                new[i] += 1
+            entered += enter(new, 1.0, True)
+        for i in np.flatnonzero(dual - spill > 1e-7).tolist():
+            entered += enter(np.eye(1, m, i, dtype=np.int64)[0], float(spill[i]), False)
+        if not entered:
+            break
+        # rounding errors of the updates end here
+        inverse = np.linalg.inv(np.array(columns, float).T)
+        amount = np.maximum(inverse @ moved, 0)
     exact = np.linalg.solve(np.array(columns, float).T, want)
     return [(columns[i], float(exact[i])) for i in range(m) if is_pattern[i] and exact[i] > 1e-6]
 
