@@ -90,7 +90,8 @@ def named_candidates(rows: DataFrame, names: DataFrame) -> DataFrame:
     keyed = rows.withColumn("_k", F.explode(F.array_distinct(F.array(F.lower("gene_symbol"), F.lower("gene_id"))))).where("_k is not null")
     hit = wanted.join(keyed.withColumn("_hit", F.lit(True)), (F.col("comparison") == F.col("_c")) & (wanted["_k"] == keyed["_k"]), "left")
     absent = hit.where("_hit is null").select(F.col("_c").alias("comparison"), F.col("_gene").alias("gene_id"), F.col("_gene").alias("gene_symbol"), F.lit("Unclassified").alias("tier"))
-    found = hit.where("_hit").select(*[F.col(c) for c in rows.columns]).dropDuplicates(["comparison", "gene_id"])
+    best = Window.partitionBy("comparison", "gene_id").orderBy(F.asc_nulls_last("rank"), F.asc_nulls_last("tier"), F.asc_nulls_last("gene_symbol"))
+    found = hit.where("_hit").select(*[F.col(c) for c in rows.columns]).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
     return found.unionByName(absent, allowMissingColumns=True)
 
 

@@ -7,12 +7,13 @@ joins meet one row a coordinate and not one a transcript.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoframe.operators.ordering import fixed, indexed, least_after, neighbours, parted, with_groups
+from isoframe.operators.ordering import indexed, least_after, neighbours, parted, with_groups
 
 _GENE = ["gene", "chr", "strand"]
 
@@ -279,14 +280,28 @@ def _two_sided(ways: list[int]) -> list[float]:
 
 
 def rank_sum_ways(n1: int, n2: int) -> list[int]:
-    """How many of the choices of n1 ranks out of n1 + n2 give each value of U, from 0 to n1 n2."""
-    ways = [[0] * (n1 * n2 + 1) for _ in range(n1 + 1)]
-    ways[0][0] = 1
-    for rank in range(1, n1 + n2 + 1):  # a chosen rank adds its place above the least that it can have
-        for k in range(min(rank, n1), 0, -1):
-            for u in range(n1 * n2, rank - k - 1, -1):
-                ways[k][u] += ways[k - 1][u - (rank - k)]
-    return ways[n1]
+    """How many of the choices of n1 ranks out of n1 + n2 give each value of U, from 0 to n1 n2.
+
+    The counts are the coefficients of a Gaussian binomial: a product of (1 - q^(n2 + i))
+    over one of (1 - q^i), for the smaller side's i, so few steps of the length of the result.
+    """
+    n1, n2 = min(n1, n2), max(n1, n2)
+    ways = [1] + [0] * (n1 * n2)
+    for i in range(1, n1 + 1):
+        for u in range(n1 * n2, n2 + i - 1, -1):
+            ways[u] -= ways[u - n2 - i]
+        for u in range(i, n1 * n2 + 1):
+            ways[u] += ways[u - i]
+    return ways
+
+
+def _exact_rank_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact p of the wanted values of U, one pair of sample sizes after another."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            ps = _two_sided(rank_sum_ways(r["lo"], r["hi"]))
+            us = sorted(r["us"])
+            yield pa.RecordBatch.from_arrays([pa.array([r["lo"]] * len(us), pa.int64()), pa.array([r["hi"]] * len(us), pa.int64()), pa.array(us, pa.int64()), pa.array([ps[u] for u in us])], ["lo", "hi", "u", "exact"])
 
 
 def mann_whitney(values: DataFrame) -> DataFrame:
@@ -310,10 +325,11 @@ def mann_whitney(values: DataFrame) -> DataFrame:
     z = F.greatest(F.abs(u - mean) - 0.5, F.lit(0.0)) / F.sqrt(F.greatest(var, F.lit(1e-12)))
     normal = F.when((n1 == 0) | (n2 == 0) | (var <= 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), _erfc(z / F.sqrt(F.lit(2.0)))))
     small = (F.least(n1, n2) <= EXACT_SAMPLE) & (F.col("ties") == 0) & (n1 > 0) & (n2 > 0)
-    sizes = g.where(small).select("n1", "n").distinct().collect()  # pairs of sample sizes: few
-    spark = values.sparkSession
-    exact = spark.createDataFrame([(r.n1, r.n, _two_sided(rank_sum_ways(r.n1, r.n - r.n1))) for r in sizes], "n1 long, n long, ps array<double>")
-    return g.join(F.broadcast(exact), ["n1", "n"], "left").select("event_id", F.coalesce(F.when(small, F.get("ps", u.cast("int"))), normal).alias("p"))
+    g = g.select("event_id", F.least(n1, n2).cast("long").alias("lo"), F.greatest(n1, n2).cast("long").alias("hi"), u.cast("long").alias("u"), small.alias("small"), normal.alias("normal"))
+    # U has n1 n2 + 1 values, so the wanted ones of a pair of sizes are bounded whatever the number of events
+    wanted = g.where("small").groupBy("lo", "hi").agg(F.collect_set("u").alias("us"))
+    exact = wanted.mapInArrow(_exact_rank_sums, "lo long, hi long, u long, exact double")
+    return g.join(exact, ["lo", "hi", "u"], "left").select("event_id", F.coalesce(F.when(F.col("small"), F.col("exact")), F.col("normal")).alias("p"))
 
 
 def wilcoxon_pairs(values: DataFrame) -> DataFrame:
@@ -350,36 +366,3 @@ def _erfc(x: Column) -> Column:
     # fixed values: the published coefficients
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     return poly * F.exp(-x * x)
-
-
-def dbscan(points: DataFrame, eps: float, min_points: int, dims: Sequence[str]) -> DataFrame:
-    """id, cluster of points (id and numeric ``dims``), euclidean; noise has null.
-
-    A grid of cells of side eps keeps the neighbour join to adjacent cells in the first two
-    dimensions; core points are joined by repeated smallest labels.
-    """
-    cell = dims[:2]
-    at = [F.floor(F.col(d) / eps) for d in cell]
-    base = points.select("id", *dims, *[a.alias(f"_c{i}") for i, a in enumerate(at)])
-    shifts = F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(s)]) for s in ([(a,) for a in (-1, 0, 1)] if len(cell) == 1 else [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])])
-    moved = base.withColumn("_s", F.explode(shifts)).select("id", *dims, *[(F.col(f"_c{i}") + F.col(f"_s.d{i}")).alias(f"_c{i}") for i in range(len(cell))])
-    other = base.select(F.col("id").alias("other"), *[F.col(d).alias(f"o_{d}") for d in dims], *[f"_c{i}" for i in range(len(cell))])
-    square = sum(((F.col(d) - F.col(f"o_{d}")) ** 2 for d in dims), F.lit(0.0))
-    near = moved.join(other, [f"_c{i}" for i in range(len(cell))]).where(square <= eps * eps).select("id", "other")
-    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("id")
-    links = near.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
-    labels = core.withColumn("cluster", F.col("id"))
-    while True:
-        fresh = fixed(links.join(labels.withColumnRenamed("id", "other").withColumnRenamed("cluster", "c"), "other").groupBy("id").agg(F.min("c").alias("cluster")))
-        changed = fresh.join(labels.withColumnRenamed("cluster", "was"), "id").where("cluster <> was").isEmpty()
-        labels = fresh
-        if changed:
-            break
-    edge = near.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster").alias("cluster"))
-    return points.select("id").join(edge, "id", "left")
-
-
-def cluster_scores(points: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """cluster, n, rmsstd of clustered points (cluster and numeric ``dims``)."""
-    spread = sum((F.var_samp(d) for d in dims), F.lit(0.0)) / len(dims)
-    return points.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n"), F.sqrt(spread).alias("rmsstd"))

@@ -159,10 +159,3 @@ def landscape_by_pair(spark, d):
     x = X.ev(spark, d).select("comparison", "gene_id").distinct()
     y = x.select(F.col("comparison").alias("b"), F.col("gene_id"))
     return x.withColumnRenamed("comparison", "a").join(y, "gene_id").where("a < b").groupBy("a", "b").agg(F.count_distinct("gene_id").alias("n"))
-
-
-@query("psi_cluster_labels")
-def psi_cluster_labels(spark, d):
-    x = X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).cast("double").alias("x"), ((F.col("p_partkey") * 7 % 100) / 100.0).cast("double").alias("y"))
-    return S.dbscan(x, 0.02, 3, ["x", "y"])
-

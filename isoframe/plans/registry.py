@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoframe.plans import convert, core, selection, splicing
+from isoframe.plans import clusters, convert, core, selection, splicing
 
-MODULES = [core, splicing, convert, selection]
+MODULES = [core, splicing, convert, selection, clusters]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ class Analysis:
     def select_candidates(self, source: str = "selection", top_n: int = 20, genes: DataFrame | None = None) -> DataFrame:
         """Candidates by source, without those left out by hand; a selection is the project's, where it has one."""
         ranked = self.candidates()
-        short = self.spark.createDataFrame([(g.lower(),) for g in self.project.shortlist], "gene string")
+        short = self.spark.createDataFrame([(g,) for g in sorted({g.lower() for g in self.project.shortlist})], "gene string")
         mark = F.coalesce(F.col("_there"), F.lit(False))
         for c in ("gene_symbol", "gene_id"):
             ranked = ranked.join(F.broadcast(short.withColumn("_there", F.lit(True)).withColumnRenamed("gene", "_g")), F.lower(c) == F.col("_g"), "left").withColumn(f"_short_{c}", mark).drop("_g", "_there")

@@ -1,5 +1,7 @@
 """Operators on small hand-made cases that the stand-in tables don't hold."""
 
+import itertools
+import math
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,11 @@ def test_bh_and_rank_test(spark):
     tied = spark.createDataFrame([("e", c, float(v)) for c, v in [("x", 1), ("x", 2), ("x", 2), ("x", 4), ("y", 5), ("y", 6), ("y", 7), ("y", 8)]] + [("e", "x", None), ("e", "y", float("nan"))], "event_id string, cond string, psi double")
     assert S.mann_whitney(tied).first().p == pytest.approx(0.0294, abs=1e-3)
     assert S.rank_sum_ways(2, 2) == [1, 1, 2, 1, 1] and sum(S.rank_sum_ways(3, 5)) == 56
+    for n1, n2 in ((1, 4), (3, 5), (5, 3), (4, 4)):  # all choices of ranks
+        us = [sum(c) - n1 * (n1 - 1) // 2 for c in itertools.combinations(range(n1 + n2), n1)]
+        assert S.rank_sum_ways(n1, n2) == [us.count(u) for u in range(n1 * n2 + 1)]
+    uneven = spark.range(10_003).selectExpr("'e' AS event_id", "if(id < 3, 'y', 'x') AS cond", "CAST(id AS double) AS psi")  # the three least of 10,003
+    assert S.mann_whitney(uneven).first().p == pytest.approx(2 / math.comb(10_003, 3))
 
 
 def test_signed_rank(spark):
@@ -100,12 +107,6 @@ def test_empirical_p_equals_brute_force(spark):
         assert got[e] == pytest.approx((1 - sum(v <= abs(dpsi) for v in local) / 50) * 0.5)
 
 
-def test_clusters(spark):
-    pts = [(i, 0.01 * i, 0.0) for i in range(5)] + [(10 + i, 1 + 0.01 * i, 1.0) for i in range(4)] + [(99, 5.0, 5.0)]
-    got = {r.id: r.cluster for r in S.dbscan(spark.createDataFrame(pts, "id long, x double, y double"), 0.021, 3, ["x", "y"]).collect()}
-    assert {got[i] for i in range(5)} == {0} and {got[i] for i in range(10, 14)} == {10} and got[99] is None
-
-
 def test_coverage_and_mates(spark):
     reads = spark.createDataFrame([("s", 10, "5M10N5M"), ("s", 12, "5M")], "sample string, pos long, cigar string")
     depth = {r.pos: r.depth for r in R.coverage(reads, ["sample"]).collect()}
