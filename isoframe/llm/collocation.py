@@ -8,10 +8,11 @@ begins at p and another at p + 1 with no gap between them.  The length of a list
 phrase's exact frequency in the block; frequencies are summed over blocks, and phrases
 below the support end there, as no longer phrase that holds them can reach it.
 
-Only counts by block and phrase are shuffled, so a word that stands everywhere is one row a
-block.  A block gets back just those of its own phrases that are frequent; a table of
-frequent phrases is broadcast only where its count was taken and is small.  Phrases carry
-ids of their two halves (all words but the last, all but the first), never hashes.
+Only counts by block and phrase are shuffled, once a length: a window over a phrase's rows,
+one for each block, sums them and names the phrase by its first block and its number there.
+A block gets back just those of its own phrases that are frequent; nothing is broadcast.
+Phrases carry the names of their two halves (all words but the last, all but the first),
+never hashes.
 
 Null texts are empty; a null language is ``und``; rows that repeat count each time; a very
 long text is a block of its own (about 60 bytes of memory a word); an empty table gives no
@@ -37,8 +38,8 @@ from isoframe.llm.arrow import flat, gathered, lower_ascii, word_bounds
 SUPPORT, LONGEST, TOP, ABSORBED_PERCENT = 30, 4, 2000, 80
 #: Bytes of text of a block.
 BLOCK_BYTES = 16 << 20
-#: Frequent phrases up to which their table is broadcast (some 40 bytes each); beyond it the join is a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bits of a phrase's name for its number in a block and for the block's number in a task: a name is a task, a block in it and a phrase in that.
+LOCAL_BITS, BLOCK_BITS = 28, 12
 #: Entries of a batch.
 _BATCH = 1 << 16
 
@@ -59,6 +60,8 @@ def _batches(block: int, lang: str | None, codes: np.ndarray, n: np.ndarray, wor
         given |= {"block": pa.array(np.full(rows, block)), "lang": pa.array([lang] * rows, pa.string())}
         return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, k) for c, k in zip(_NAMES, _KINDS, strict=True)], _NAMES)
 
+    if len(n) >> LOCAL_BITS:
+        raise ValueError("too many phrases in a block")
     yield batch(1, codes=pa.array([zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").tobytes())], pa.binary()))
     for at in range(0, len(n), _BATCH):
         cut = slice(at, at + _BATCH)
@@ -86,10 +89,13 @@ def postings(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, held = TaskContext.get().partitionId() << 32, {}
+    first = block = TaskContext.get().partitionId() << BLOCK_BITS
+    held: dict[str, tuple[int, list]] = {}
 
     def close(lang: str) -> Iterator[pa.RecordBatch]:
         nonlocal block
+        if block - first >> BLOCK_BITS:
+            raise ValueError("too many blocks in a task: read smaller partitions")
         words, n, codes = postings(pa.chunked_array(held.pop(lang)[1]).combine_chunks())
         yield from _batches(block, lang, codes, n, words)
         block += 1
@@ -135,10 +141,6 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _batches(batch.column(0)[i].as_py(), None, out, n, a=a, b=b)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n of all words; a list of tables by number of words): the first has id, lang, word, f, the others id, a, b, f with the ids of both halves."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -147,13 +149,15 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     tables = []
     for words in range(1, longest + 1):
         key = ["lang", "word"] if words == 1 else ["a", "b"]
-        counted = level.where("codes is null")
-        found = counted.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= support).select(F.monotonically_increasing_id().alias("id"), *key, "f")
-        tables.append(scratch.stage(found, f"phrases-{words}"))
+        same = Window.partitionBy(*key)
+        own = F.shiftleft("block", LOCAL_BITS) + F.col("local")
+        named = level.where("codes is null").select("block", "local", *key, F.sum("n").over(same).alias("f"), own.alias("own"), F.min(own).over(same).alias("id"))
+        found = scratch.stage(named.where(F.col("f") >= support), f"found-{words}")
+        tables.append(found.where("own = id").select("id", *key, "f"))
         if words < longest:
             blocks = level.where("codes is not null").select("block", "codes")
             n_blocks = max(1, blocks.count())
-            kept = counted.select("block", "local", *key).join(_small(tables[-1].select("id", *key)), key).repartition(n_blocks, "block").groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("kept"))
+            kept = found.select("block", "local", "id").repartition(n_blocks, "block").groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("kept"))
             longer = blocks.repartition(n_blocks, "block").join(kept, "block").select("block", "codes", "kept").mapInArrow(_extended, _LEVEL)
             before, level = level, scratch.stage(longer, f"level-{words + 1}")
             scratch.drop(before)
