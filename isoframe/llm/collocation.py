@@ -22,6 +22,7 @@ rows; ids and other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ SUPPORT, LONGEST, TOP, ABSORBED_PERCENT = 30, 4, 2000, 80
 BLOCK_BYTES = 16 << 20
 #: Bits of a phrase's name for its number in a block and for the block's number in a task: a name is a task, a block in it and a phrase in that.
 LOCAL_BITS, BLOCK_BITS = 28, 12
+#: Rows of blocks and phrases that are counted at a time, and slices at most: each reads the rows once more.
+SLICE_ROWS, MOST_SLICES = 5_000_000, 8
 #: Entries of a batch.
 _BATCH = 1 << 16
 
@@ -151,8 +154,14 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         key = ["lang", "word"] if words == 1 else ["a", "b"]
         same = Window.partitionBy(*key)
         own = F.shiftleft("block", LOCAL_BITS) + F.col("local")
-        named = level.where("codes is null").select("block", "local", *key, F.sum("n").over(same).alias("f"), own.alias("own"), F.min(own).over(same).alias("id"))
-        found = scratch.stage(named.where(F.col("f") >= support), f"found-{words}")
+        entries = level.where("codes is null")
+        slices = min(MOST_SLICES, 1 + entries.count() // SLICE_ROWS)
+        parts = []
+        for part in range(slices):  # phrases of one slice at a time, so that the shuffle files of only one lie on disk
+            rows = entries.where(F.pmod(F.xxhash64(*key), F.lit(slices)) == part) if slices > 1 else entries
+            named = rows.select("block", "local", *key, F.sum("n").over(same).alias("f"), own.alias("own"), F.min(own).over(same).alias("id"))
+            parts.append(scratch.stage(named.where(F.col("f") >= support), f"found-{words}"))
+        found = reduce(DataFrame.unionByName, parts)
         tables.append(found.where("own = id").select("id", *key, "f"))
         if words < longest:
             blocks = level.where("codes is not null").select("block", "codes")

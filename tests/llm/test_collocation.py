@@ -40,6 +40,7 @@ def plain(rows, support, top):
 @pytest.mark.parametrize("block", [300, 1 << 20])
 def test_phrases_equal_plain_counts(spark, monkeypatch, block):
     monkeypatch.setattr(collocation, "BLOCK_BYTES", block)
+    monkeypatch.setattr(collocation, "SLICE_ROWS", 100 if block == 300 else 5_000_000)
     rng = random.Random(1)
     words = ["The", "of", "Ähre", "日本", "a b", "x y", "to", "be", "or", "not"]
     marks = [" ", " ", " ", "  ", "\t", ", ", ".\n", "\x0b", "?!", " \x0d "]
