@@ -42,7 +42,7 @@ BLOCK_BYTES = 16 << 20
 #: Bits of a phrase's name for its number in a block and for the block's number in a task: a name is a task, a block in it and a phrase in that.
 LOCAL_BITS, BLOCK_BITS = 28, 12
 #: Rows of blocks and phrases that are counted at a time, and slices at most: each reads the rows once more.
-SLICE_ROWS, MOST_SLICES = 5_000_000, 8
+SLICE_ROWS, MOST_SLICES = 15_000_000, 4
 #: Entries of a batch.
 _BATCH = 1 << 16
 
@@ -164,12 +164,13 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         found = reduce(DataFrame.unionByName, parts)
         tables.append(found.where("own = id").select("id", *key, "f"))
         if words < longest:
-            blocks = level.where("codes is not null").select("block", "codes")
+            blocks = scratch.stage(level.where("codes is not null").select("block", "codes"), "codes")
+            scratch.drop(level)  # the counts of this length have done their work
             n_blocks = max(1, blocks.count())
             kept = found.select("block", "local", "id").repartition(n_blocks, "block").groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("kept"))
             longer = blocks.repartition(n_blocks, "block").join(kept, "block").select("block", "codes", "kept").mapInArrow(_extended, _LEVEL)
-            before, level = level, scratch.stage(longer, f"level-{words + 1}")
-            scratch.drop(before)
+            level = scratch.stage(longer, f"level-{words + 1}")
+            scratch.drop(blocks)
     scratch.drop(level)
     return totals, tables
 
