@@ -40,7 +40,8 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary of each language in ``lang``, the most frequent language first.
 
     The share of each language's rows that gives about twice ``SAMPLE`` of them is taken by
-    hash, in one scan, and the smallest hashes of those are kept.
+    hash, in one scan, and the smallest hashes of those are kept.  Shares are cut from all 64
+    bits of the hash, so that what is collected stays of that size for any number of rows.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
@@ -50,7 +51,7 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     rows = -(-SAMPLE * each // DICT_BYTES)
     sizes = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * rows / r["count"])) for r in counts], "lang string, share double")
     h = F.xxhash64("doc_id", "text")
-    windows = known.select("lang", "text", h.alias("h"), F.length("text").alias("n")).join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    windows = known.select("lang", "text", h.alias("h"), F.length("text").alias("n")).join(F.broadcast(sizes), "lang").where(F.col("h").cast("double") <= F.col("share") * 2.0**64 - 2.0**63)
     place = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.col("n") - ROW_CHARS + 1)) + 1
     windows = windows.select("lang", "h", F.substring("text", place.cast("int"), F.lit(ROW_CHARS)).alias("t")).distinct()
     found: dict[str, list] = {r["lang"]: [] for r in counts}

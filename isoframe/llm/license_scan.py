@@ -147,9 +147,9 @@ def unwrapped(text: Column) -> Column:
     wordings = [*VARIANTS.items(), *((s, i) for i, s in SENTENCES.items())]
     for words, i in wordings:
         blank = "" if i in PARTED else r"\n[^a-zA-Z0-9]*?\n|"
-        # bounded, as the regex engine recurses for each repeat of a group; longer gaps on one line are found line by line
+        # possessive: what follows a gap begins with a letter or digit, which no gap holds, and the engine repeats such a group without recursion
         stop = "(?!)" if i in STOPPED else r"[.!?]\s"
-        gap = rf"(?:(?!{blank}{stop})[^a-zA-Z0-9]){{1,200}}"
+        gap = rf"(?:(?!{blank}{stop})[^a-zA-Z0-9])++"
         pattern = rf"(?i)(\A|\n|[.!?]\s+)[^a-zA-Z0-9\n]*{gap.join(words.split())}(?=[^a-zA-Z0-9\n]*(?:\n|\z)|[^a-zA-Z0-9\s]*[.!?;:]\s)"
         text = F.regexp_replace(text, pattern, f"$1{SENTENCES[i]}\n")
     return text

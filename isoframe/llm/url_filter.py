@@ -1,7 +1,8 @@
 """URL filters by a Bloom filter cascade (operator 4), in DataFrame operations only.
 
-Every URL has keys: its host and each parent domain, and each of these followed by the
-start of its path in the lengths that rules have.  A cascade answers exactly, for every
+Every URL has keys: its host and each parent domain with no more labels than the longest
+host of rules or list, and each of these followed by the start of its path in the lengths
+that rules have.  A cascade answers exactly, for every
 key of the corpus, whether it is listed: level 1 is a Bloom filter of the listed keys that
 occur; level 2 holds the corpus's other keys that level 1 lets pass; level 3 the listed
 keys that level 2 lets pass; and so on until nothing passes wrongly.  A key is listed if
@@ -13,7 +14,7 @@ whose keys are in the universe that it was built for.
 Null URLs and URLs without ``://`` have an empty host and path and meet no rule; empty
 lists and tables give cascades that hold nothing; repeated rows get equal verdicts; ties
 can't occur (keys of one URL with equal length are equal); very long URLs are cut nowhere
-(a host of n labels has n keys); other columns are ignored.
+(a longer domain than any listed or ruled one can't be in a list, so it is no key); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def domains(host: Column) -> Column:
-    """The host and all its parent domains; none for an empty host."""
+def domains(host: Column, most: int) -> Column:
+    """The host and its parent domains, as far as they have at most ``most`` labels; none for an empty host."""
     labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")))
+    last = F.slice(labels, F.greatest(F.size(labels) - most + 1, F.lit(1)), F.lit(most))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, i, F.lit(most)), ".")))
 
 
 @dataclass
@@ -130,7 +131,9 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], listed_host
     parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     lengths = sorted({len(_rule_parts(r)[1]) for r in [*block, *allow]})
     starts = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
-    hosts = domains(F.col("host"))
+    named = listed_hosts.agg(F.max(F.size(F.split("key", r"\."))).alias("n")).first()["n"]
+    most = max([1, named or 0, *[_rule_parts(r)[0].count(".") + 1 for r in [*block, *allow]]])
+    hosts = domains(F.col("host"), most)
     rule_keys = F.flatten(F.transform(hosts, lambda d: F.transform(starts, lambda s: F.concat(d, s))))
     # the keys of three lists in one universe, told apart by their first characters
     both = F.concat(F.transform(rule_keys, lambda k: F.concat(F.lit("rule "), k)), F.transform(hosts, lambda k: F.concat(F.lit("host "), k)))

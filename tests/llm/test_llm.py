@@ -575,6 +575,27 @@ modification, are permitted provided that the following conditions are met:
     assert got == {0: ("MIT", 3), 1: ("BSD", 2), 2: ("Apache-2.0", 3), 3: ("GPL-3.0", 1), 4: ("", 0), 5: ("", 0), 6: ("MIT", 1), 7: ("Apache-2.0", 3), 8: ("proprietary", 1)}
 
 
+def test_license_scan_over_gaps_of_any_length(spark):
+    words = license_scan.SENTENCES[8].split()
+    other = license_scan.SENTENCES[9].split()
+    texts = [f"{(' ' * n).join(words)}.\n{('*' * n).join(other)}." for n in (1, 199, 250, 20000)]
+    got = [r.licences for r in license_scan.scan(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["MIT"] * 4
+    wrapped = [words[0] + " " * 300 + "\n" + " " * 300 + " ".join(words[1:]) + ".\n" + " ".join(other) + "."]
+    assert license_scan.scan(documents(spark, wrapped)).first().licences == "MIT"
+
+
+def test_urls_of_very_long_hosts(spark):
+    long = "a." * 50_000
+    urls = [f"http://{long}net/x", f"http://{long}spam-farm.example.com/", f"http://{long}example.net/en/x", f"http://{long}example.com", f"http://{long}"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("spam-farm.example.com",)], "key string")
+    got = [(r.rule, r.verdict, r.listed) for r in url_filter.judge_urls(pages, url_filter.BLOCK_RULES, url_filter.ALLOW_RULES, listed).orderBy("page_id").collect()]
+    assert got == [("net/", "block", False), (None, "block", True), ("example.net/en/", "allow", False), (None, "allow", False), (None, "allow", False)]
+    deep = spark.createDataFrame([("b.c.d.e.f.org",)], "key string")  # longer than any rule's host
+    assert [r.verdict for r in url_filter.judge_urls(spark.createDataFrame([(0, "ftp://a.b.c.d.e.f.org/")], "page_id long, url string"), [], [], deep).collect()] == ["block"]
+
+
 def test_license_scan_of_whole_licences(spark):
     bsd3 = """BSD 3-Clause License
 
