@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from isoframe.operators import clusters as K
 from isoframe.operators import matrices as M
 from isoframe.operators import posterior as B
+from isoframe.operators import scaling as D
 from isoframe.plans import proxies as X
 
 QUERIES: dict = {}
@@ -87,6 +88,39 @@ def heatmap_order(spark, d):
     return K.heatmap_order(M.row_zscores(cells).withColumnRenamed("z", "value"), "average", "euclidean")
 
 
+def _profiles(spark, d):
+    """Sixty-four samples, by their place in a vector."""
+    return X.posterior(spark, d).select(F.col("event").alias("feature"), F.posexplode("psi1").alias("sample", "value"))
+
+
+_DISTANCES = """WITH r AS (SELECT vec_id AS f, i - 1 AS s, round((embedding[i]::DOUBLE + 1) / 2, 4) AS v FROM embeddings, range(1, 65) t(i) WHERE embedding IS NOT NULL)
+SELECT a.s::VARCHAR AS sample, b.s::VARCHAR AS other, round({}, 6) AS distance FROM r a JOIN r b ON a.f = b.f AND a.s <> b.s GROUP BY a.s, b.s"""
+_METRICS = {
+    "manhattan": "sum(abs(a.v - b.v))",
+    "chebyshev": "max(abs(a.v - b.v))",
+    "braycurtis": "sum(abs(a.v - b.v)) / sum(abs(a.v + b.v))",
+    "canberra": "sum(CASE WHEN abs(a.v) + abs(b.v) > 0 THEN abs(a.v - b.v) / (abs(a.v) + abs(b.v)) ELSE 0 END)",
+    "correlation": "1 - corr(a.v, b.v)",
+}
+
+
+def _distance_query(metric: str):
+    def run(spark, d):
+        return D.sample_distances(_profiles(spark, d), metric).withColumn("distance", F.round("distance", 6))
+
+    return run
+
+
+for _metric, _sql in _METRICS.items():
+    query(f"sample_distances_{_metric}", _DISTANCES.format(_sql))(_distance_query(_metric))
+
+
+@query("sample_scaling")
+def sample_scaling(spark, d):
+    """Places of samples by their distances; random starts have no SQL form, tests hold them against planted points and a plain transform."""
+    return D.scaled(D.sample_distances(_profiles(spark, d), "manhattan")).select("sample", "pc", F.round("score", 6).alias("score"))
+
+
 _CLASSES = """c AS (SELECT 'g' || l_suppkey AS gene, l_suppkey AS k, CASE WHEN l_quantity < 10 + l_suppkey % 20 THEN 'first' WHEN l_quantity < 40 THEN 'second' ELSE 'both' END AS class FROM lineitem),
 n AS (SELECT gene, k, count(*) FILTER (WHERE class = 'first') AS a, count(*) FILTER (WHERE class = 'second') AS b, count(*) AS n FROM c GROUP BY ALL),
 g AS (SELECT gene, n, (i - 0.5::DOUBLE) / 400 AS x, a * ln((i - 0.5::DOUBLE) / 400) + b * ln(1 - (i - 0.5::DOUBLE) / 400) - n * ln((i - 0.5::DOUBLE) / 400 * (951 + k % 7 * 100) + (1 - (i - 0.5::DOUBLE) / 400) * 1451) AS l FROM n, range(1, 401) t(i)),

@@ -55,6 +55,20 @@ def test_missing_columns_are_named(spark, tmp_path):
         tables.read_deg(spark, f"file://{tmp_path}/x.tsv", "c")
 
 
+def test_scan_by_spark_equals_local_walk(spark, tmp_path):
+    for f in ["a b/x_vs_y/rmats_post/SE.MATS.JC.txt", "x_vs_y.deseq2.results.tsv", "v_vs_w/RI.MATS.JCEC.txt", "Plots/no_vs_no/SE.MATS.JC.txt", "my_fastq/n.deseq2.results.tsv", "tmp/n_vs_m.deseq2.results.tsv", "report_card/z/SE.MATS.JC.txt", "u/notes.txt"]:
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    local = sorted(catalog.scan(str(tmp_path)), key=lambda c: c.comparison_id)
+    assert [(c.comparison_id, bool(c.event_folder), bool(c.deg_path)) for c in local] == [("v_vs_w", True, False), ("x_vs_y", True, True)]
+    for root in (f"file://{tmp_path}", f"file://{tmp_path}/"):
+        far = sorted(catalog.scan(root, spark), key=lambda c: c.comparison_id)
+        assert [c.comparison_id for c in far] == ["v_vs_w", "x_vs_y"]
+        assert [[(p or "").removeprefix("file:") for p in (c.event_folder, c.deg_path)] for c in far] == [[p or "" for p in (c.event_folder, c.deg_path)] for c in local]
+    (tmp_path / "empty").mkdir()
+    assert catalog.scan(f"file://{tmp_path}/empty", spark) == []
+
+
 def test_project_end_to_end(spark, project, tmp_path):
     found = catalog.scan(str(project))
     assert sorted(c.comparison_id for c in found) == ["t_vs_c", "u_vs_c"] and all(c.deg_path and c.event_folder for c in found)
