@@ -18,7 +18,7 @@ from isoframe.functions.columns import DELIMITERS
 
 #: Folders that a scan doesn't enter, by their whole names and by what their names hold, in any case.
 SKIPPED = {
-    "__pycache__", ".git", ".next", ".snakemake", ".pytest_cache", "cache", "caches", "tmp", "temp", "logs", "log", "work", "workspace", "katana_output", "node_modules",
+    "__pycache__", ".git", ".next", ".snakemake", ".pytest_cache", "cache", "caches", "tmp", "temp", "logs", "log", "work", "workspace", "node_modules",
     "bamlist", "bamlists", "bam_list", "bam_lists", "figures", "figure", "plots", "plot", "reports", "report", "multiqc", "cards_fixed", "combined_python_analysis", "final_delivery", "delivery", "event_files",
 }
 SKIPPED_PARTS = ("fastq", "fq", "bigwig", "bw", "bedgraph", "aligned", "alignment", "star_index", "salmon_index", "sashimi", "jutils", "card", "figure", "plot", "report")
@@ -306,18 +306,18 @@ def _key(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
 
-def _entered(folder: str) -> bool:
+def _entered(folder: str, skip: Sequence[str]) -> bool:
     name = folder.lower()
-    return name not in SKIPPED and not any(part in name for part in SKIPPED_PARTS)
+    return name not in SKIPPED and name not in skip and not any(part in name for part in SKIPPED_PARTS)
 
 
-def _walked(root: str) -> Iterable[tuple[str, str]]:
+def _walked(root: str, skip: Sequence[str]) -> Iterable[tuple[str, str]]:
     for folder, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if _entered(d))
+        dirs[:] = sorted(d for d in dirs if _entered(d, skip))
         yield from ((folder, f) for f in sorted(files))
 
 
-def _listed(spark: SparkSession, root: str) -> Iterable[tuple[str, str]]:
+def _listed(spark: SparkSession, root: str, skip: Sequence[str]) -> Iterable[tuple[str, str]]:
     """Folder and name of the files of interest, listed by Spark on any file system that it knows; none is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{*.MATS.JC.txt,*.MATS.JCEC.txt,*{DEG_END}}}").load(root).select("path")
     found = sorted(r["path"].rsplit("/", 1) for r in files.collect())  # names of a project's result files
@@ -325,17 +325,18 @@ def _listed(spark: SparkSession, root: str) -> Iterable[tuple[str, str]]:
         return
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
-    yield from ((folder, f) for folder, f in found if all(_entered(d) for d in folder[len(top) :].split("/") if d))
+    yield from ((folder, f) for folder, f in found if all(_entered(d, skip) for d in folder[len(top) :].split("/") if d))
 
 
-def scan(root: str, spark: SparkSession | None = None) -> list[Comparison]:
+def scan(root: str, spark: SparkSession | None = None, skip: Sequence[str] = ()) -> list[Comparison]:
     """Comparisons below a folder: those with an event folder or an expression table, aliases merged.
 
     With a session the folder is listed by Spark, on any file system, and paths are whole
-    URIs; names that begin with ``_`` or ``.`` are hidden there.  Without one it is local.
+    URIs; names that begin with ``_`` or ``.`` are hidden there.  Without one it is local.  ``skip`` has further folder names, in lower
+    case, such as that of a program's own output.
     """
     found, event_folders = [], set()
-    for folder, f in _listed(spark, root) if spark else _walked(root):
+    for folder, f in _listed(spark, root, skip) if spark else _walked(root, skip):
         if re.fullmatch(EVENT_FILE, f) and folder not in event_folders:
             event_folders.add(folder)
             name = os.path.basename(os.path.dirname(folder) if os.path.basename(folder) == "rmats_post" else folder)

@@ -65,6 +65,8 @@ def test_scan_by_spark_equals_local_walk(spark, tmp_path):
         far = sorted(catalog.scan(root, spark), key=lambda c: c.comparison_id)
         assert [c.comparison_id for c in far] == ["v_vs_w", "x_vs_y"]
         assert [[(p or "").removeprefix("file:") for p in (c.event_folder, c.deg_path)] for c in far] == [[p or "" for p in (c.event_folder, c.deg_path)] for c in local]
+    for session in (None, spark):
+        assert [c.comparison_id for c in catalog.scan(str(tmp_path), session, ("v_vs_w",))] == ["x_vs_y"]
     (tmp_path / "empty").mkdir()
     assert catalog.scan(f"file://{tmp_path}/empty", spark) == []
 
