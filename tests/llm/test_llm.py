@@ -146,6 +146,17 @@ def test_jaccard_equals_brute_force(spark):
     assert got == jaccard_by_force(texts)
 
 
+def test_jaccard_of_sets_that_share_names(spark):
+    """First names of 4 bits, which dozens of sets share: the second name tells them apart."""
+    rng = random.Random(8)
+    texts = list(ODD)
+    for _ in range(30):
+        w = prose(rng, 60, 2000).split()
+        texts += [" ".join(w), " ".join(w[2:]), " ".join(w)]
+    found = jaccard.JaccardJoin(documents(spark, texts), name_bits=4).run()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == jaccard_by_force(texts)
+
+
 def test_jaccard_of_nothing_and_of_equal_ids(spark):
     assert jaccard.jaccard_join(documents(spark, [])).count() == 0
     rng = random.Random(4)
