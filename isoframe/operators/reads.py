@@ -39,6 +39,14 @@ def junction_counts(reads: DataFrame, keys: Sequence[str], least: int = 1) -> Da
     return skips.groupBy(*keys, (F.col("start") - 1).alias("donor"), (F.col("end") + 1).alias("acceptor")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def overlaid_junctions(junctions: DataFrame, keys: Sequence[str], how: str = "mean") -> DataFrame:
+    """keys, donor, acceptor, n: the mean or median of junctions' counts over the files that hold them, a half rounded to the even number."""
+    if how not in ("mean", "median"):
+        raise ValueError(f"unknown aggregate {how}")
+    middle = F.avg("n") if how == "mean" else F.percentile("n", F.lit(0.5))
+    return junctions.groupBy(*keys, "donor", "acceptor").agg(F.bround(middle, 0).cast("long").alias("n"))
+
+
 def intron_islands(introns: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, island, start, end: what all introns of a run of overlapping ones share, and its length shrunk to the power 0.7."""
     from isoframe.operators.splice import islands
@@ -53,16 +61,28 @@ def rpkm(counts: DataFrame, total: int) -> DataFrame:
 
 
 def insert_lengths(pairs: DataFrame, k: float = 2.0) -> DataFrame:
-    """One row: mean, sd, dispersion, n of insert lengths within k standard deviations of the first mean."""
+    """One row: mean, sd, n, least, most, dispersion of positive insert lengths within k standard deviations of their first mean."""
+    pairs = pairs.where("length > 0")
     mean, sd = pairs.agg(F.avg("length")).scalar(), pairs.agg(F.stddev_pop("length")).scalar()
     kept = pairs.where(F.abs(F.col("length") - mean) <= k * sd)
-    return kept.agg(F.avg("length").alias("mean"), F.stddev_pop("length").alias("sd"), F.count("*").alias("n")).withColumn("dispersion", F.col("sd") / F.sqrt("mean"))
+    return kept.agg(F.avg("length").alias("mean"), F.stddev_pop("length").alias("sd"), F.count("*").alias("n"), F.min("length").alias("least"), F.max("length").alias("most")).withColumn("dispersion", F.col("sd") / F.sqrt("mean"))
 
 
-def paired_mates(reads: DataFrame) -> DataFrame:
-    """name, left, right of reads (qname, flag, pos, cigar) whose two mates lie on opposite strands."""
+def paired_mates(reads: DataFrame, strand_rule: str = "fr-unstranded") -> DataFrame:
+    """name, left, right, length of reads (qname, flag, pos, cigar) whose two mates lie on opposite strands.
+
+    left is the first start and right the last end; by the rule fr-firststrand they are the
+    start of the mate on the + strand and the end of the other one, so that mates which
+    point away from each other have a length that may be 0 or negative.
+    """
+    if strand_rule not in ("fr-unstranded", "fr-firststrand"):
+        raise ValueError(f"unknown strand rule {strand_rule}")
     r = reads.select(C.mate_name("qname").alias("name"), C.mate_strand("flag").alias("strand"), F.col("pos").cast("long").alias("pos"), C.cigar_end("pos", "cigar").alias("end"))
-    g = r.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("strand").alias("k"), F.min("pos").alias("left"), F.max("end").alias("right"))
+    left, right = F.col("pos"), F.col("end")
+    if strand_rule == "fr-firststrand":
+        left, right = F.when(F.col("strand") == "+", left), F.when(F.col("strand") == "-", right)
+    strands = F.min("strand") != F.max("strand")
+    g = r.groupBy("name").agg(F.count("*").alias("n"), F.when(strands, 2).otherwise(1).alias("k"), F.min(left).alias("left"), F.max(right).alias("right"))
     return g.where("n = 2 and k = 2").select("name", "left", "right", (F.col("right") - F.col("left") + 1).alias("length"))
 
 

@@ -255,6 +255,19 @@ def junction_counts(spark, d):
     return R.junction_counts(X.reads(spark, d), ["sample", "strand"], 2)
 
 
+_OVERLAID = "," + _BLK + ", j AS (SELECT sample, strand, (st - 1)::BIGINT AS donor, (st + n)::BIGINT AS acceptor, count(*) AS n FROM b1 WHERE op = 'N' GROUP BY sample, strand, st, b1.n) SELECT strand, donor, acceptor, round_even({}, 0)::BIGINT AS n FROM j GROUP BY ALL"
+
+
+@query("junction_means", with_("reads") + _OVERLAID.format("avg(n)"))
+def junction_means(spark, d):
+    return R.overlaid_junctions(R.junction_counts(X.reads(spark, d), ["sample", "strand"]), ["strand"])
+
+
+@query("junction_medians", with_("reads") + _OVERLAID.format("median(n)"))
+def junction_medians(spark, d):
+    return R.overlaid_junctions(R.junction_counts(X.reads(spark, d), ["sample", "strand"]), ["strand"], "median")
+
+
 @query("intron_islands", with_("reads") + "," + _BLK + ", iv AS (SELECT DISTINCT sample, (st * 50)::BIGINT AS s, (st * 50 + n)::BIGINT AS e FROM b1 WHERE op = 'N'), r AS (SELECT *, max(e) OVER (PARTITION BY sample ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY sample ORDER BY s, e ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM r), g AS (SELECT sample, island, max(s) AS \"start\", min(e) AS \"end\" FROM i GROUP BY ALL) SELECT *, round(pow(\"end\" - \"start\", 0.7), 6) AS shrunk FROM g WHERE \"start\" < \"end\"")
 def intron_islands(spark, d):
     n = R.aligned_blocks(X.reads(spark, d)).where("kind = 'N'").select("sample", (F.col("start") * 50).alias("start"), (F.col("start") * 49 + F.col("end") + 1).alias("end")).distinct()
@@ -267,10 +280,10 @@ def rpkm(spark, d):
     return R.rpkm(c, 1_500_000).select("l_partkey", F.round("rpkm", 6).alias("rpkm"))
 
 
-@query("insert_len", "WITH x AS (SELECT (o_totalprice % 300)::DOUBLE AS length FROM orders), m AS (SELECT avg(length) AS m, stddev_pop(length) AS s FROM x), k AS (SELECT length FROM x, m WHERE abs(length - m) <= 1.5 * s) SELECT round(avg(length), 6) AS mean, round(stddev_pop(length), 6) AS sd, count(*) AS n, round(stddev_pop(length) / sqrt(avg(length)), 6) AS dispersion FROM k")
+@query("insert_len", "WITH x AS (SELECT (o_totalprice % 300)::DOUBLE AS length FROM orders WHERE o_totalprice % 300 > 0), m AS (SELECT avg(length) AS m, stddev_pop(length) AS s FROM x), k AS (SELECT length FROM x, m WHERE abs(length - m) <= 1.5 * s) SELECT min(length) AS least, max(length) AS most, round(avg(length), 6) AS mean, round(stddev_pop(length), 6) AS sd, count(*) AS n, round(stddev_pop(length) / sqrt(avg(length)), 6) AS dispersion FROM k")
 def insert_len(spark, d):
     x = R.insert_lengths(X.table(spark, d, "orders").select((F.col("o_totalprice") % 300).alias("length")), 1.5)
-    return x.select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n", F.round("dispersion", 6).alias("dispersion"))
+    return x.select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n", F.col("least").cast("double").alias("least"), F.col("most").cast("double").alias("most"), F.round("dispersion", 6).alias("dispersion"))
 
 
 @query("credible_interval", with_("posterior") + "SELECT event, round(list_sum(psi1) / len(psi1), 10) AS mean, list_sort(psi1)[greatest(1, round_even(len(psi1) * 0.025, 0))::INT] AS lo, list_sort(psi1)[greatest(1, round_even(len(psi1) * 0.975, 0))::INT] AS hi FROM posterior")

@@ -116,6 +116,28 @@ def test_coverage_and_mates(spark):
     assert R.paired_mates(mates.withColumn("qname", F.when(F.col("qname") != "q", F.concat(F.lit("xx"), "qname")).otherwise("q"))).select("left", "right", "length").collect() == [(10, 54, 45)]
 
 
+def test_mates_by_the_first_strand_rule(spark):
+    rows = [("a", 0, 10, "5M"), ("a", 16, 50, "5M"), ("b", 16, 10, "5M"), ("b", 0, 50, "5M"), ("c", 0, 1, "5M"), ("c", 0, 9, "5M"), ("d", 0, 1, "5M")]
+    mates = spark.createDataFrame(rows, "qname string, flag int, pos long, cigar string")
+    plain = sorted(tuple(r) for r in R.paired_mates(mates).collect())
+    assert plain == [("a", 10, 54, 45), ("b", 10, 54, 45)]
+    stranded = R.paired_mates(mates, "fr-firststrand")
+    assert sorted(tuple(r) for r in stranded.collect()) == [("a", 10, 54, 45), ("b", 50, 14, -35)]
+    one = R.insert_lengths(stranded).first()
+    assert (one["n"], one["least"], one["most"], one["mean"]) == (1, 45, 45, 45.0)
+    with pytest.raises(ValueError, match="strand rule"):
+        R.paired_mates(mates, "other")
+
+
+def test_insert_lengths_without_pairs_and_junctions_of_several_files(spark):
+    none = R.insert_lengths(spark.createDataFrame([(0,), (-3,)], "length long")).first()
+    assert none["n"] == 0 and none["least"] is None and none["mean"] is None
+    counts = [("f1", 1, 9, 2), ("f2", 1, 9, 3), ("f1", 1, 5, 4), ("f1", 3, 9, 1), ("f2", 3, 9, 2), ("f3", 3, 9, 9)]
+    junctions = spark.createDataFrame(counts, "file string, donor long, acceptor long, n long")
+    assert sorted(tuple(r) for r in R.overlaid_junctions(junctions, []).collect()) == [(1, 5, 4), (1, 9, 2), (3, 9, 4)]
+    assert sorted(tuple(r) for r in R.overlaid_junctions(junctions, [], "median").collect()) == [(1, 5, 4), (1, 9, 2), (3, 9, 2)]
+
+
 def test_principal_components(spark):
     rows = [(f"f{i}", s, float(v)) for i in range(20) for s, v in (("a", i), ("b", i + 1), ("c", i + 10 + i % 3))]
     out = M.principal_components(spark.createDataFrame(rows, "feature string, sample string, value double"), 2).collect()
