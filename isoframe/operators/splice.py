@@ -8,6 +8,8 @@ joins meet one row a coordinate and not one a transcript.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import combinations, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -360,6 +362,43 @@ def wilcoxon_pairs(values: DataFrame) -> DataFrame:
     return x.select("event_id").distinct().join(p, "event_id", "left").select("event_id", F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
+def diff_splice(psi: DataFrame, conditions: Sequence[str], events: DataFrame | None = None, expression: DataFrame | None = None, method: str = "empirical", area: int = 1000, lower: float = 0.0, missing: float = 0.0, use_median: bool = False, least_tpm: float = 0.0, paired: bool = False, by_gene: bool = False, every_pair: bool = False) -> DataFrame:
+    """cond1, cond2, event_id, dpsi, p of neighbouring conditions, or of every pair of them.
+
+    psi: event_id, sample, cond, psi.  The empirical method needs events (event_id, total)
+    and expression (tx, sample, tpm) for abundances and gives no row to events without one;
+    the classical one is the rank test, or the signed-rank test over replicates paired by
+    the order of their names.  ``by_gene`` corrects p within the gene of an event id.
+    Events with too many gaps have a null dpsi and p 1.
+    """
+    if method not in ("empirical", "classical") or (method == "empirical" and (events is None or expression is None)):
+        raise ValueError(f"method {method} is unknown or lacks events and expression")
+    out = []
+    for a, b in combinations(conditions, 2) if every_pair else pairwise(conditions):
+        both = psi.where(F.col("cond").isin(a, b))
+        effects = delta_psi(both, a, b, missing, use_median)
+        sound = effects.where("dpsi is not null")
+        if method == "empirical":
+            samples = both.select("sample", "cond").distinct()
+            abundance = event_abundance(events, expression, samples, least_tpm)
+            ps = empirical_p(sound.join(abundance, "event_id"), replicate_deltas(both, abundance), area, lower)
+        elif paired:
+            names = both.select("sample", "cond").distinct().withColumn("k", F.row_number().over(Window.partitionBy("cond").orderBy("sample")))  # a row a sample
+            sides = both.join(F.broadcast(names), ["sample", "cond"])
+            first, second = (sides.where(F.col("cond") == c).select("event_id", "k", F.col("psi").alias(f"psi{i}")) for i, c in ((1, a), (2, b)))
+            ps = wilcoxon_pairs(first.join(second, ["event_id", "k"]))
+        else:
+            ps = mann_whitney(both)
+        tested = sound.join(ps, "event_id").select("event_id", "dpsi", "p")
+        if by_gene:
+            tested = bh(tested.withColumn("gene", F.split("event_id", ";")[0]), by=["gene"]).select("event_id", "dpsi", F.col("fdr").alias("p"))
+        rows = tested.unionByName(effects.where("dpsi is null").withColumn("p", F.lit(1.0)))
+        out.append(rows.select(F.lit(a).alias("cond1"), F.lit(b).alias("cond2"), "event_id", "dpsi", "p"))
+    if not out:
+        raise ValueError("two conditions at least")
+    return reduce(DataFrame.unionByName, out)
+
+
 def _erfc(x: Column) -> Column:
     """Complementary error function for x >= 0 (Abramowitz and Stegun 7.1.26, error below 2e-7)."""
     t = 1 / (1 + 0.3275911 * x)

@@ -138,6 +138,25 @@ def test_insert_lengths_without_pairs_and_junctions_of_several_files(spark):
     assert sorted(tuple(r) for r in R.overlaid_junctions(junctions, [], "median").collect()) == [(1, 5, 4), (1, 9, 2), (3, 9, 2)]
 
 
+def test_differential_splicing_in_one_call(spark):
+    rows = [(f"g{e // 2};e{e}", f"{c}{i}", c, None if e == 5 and c == "b" and i == 1 else ((e * 7 + i * 3 + "abc".index(c) * 11) % 20) / 20) for e in range(6) for c in "abc" for i in range(3)]
+    psi = spark.createDataFrame(rows, "event_id string, sample string, cond string, psi double")
+    events = spark.createDataFrame([(f"g{e // 2};e{e}", [f"t{e}"]) for e in range(6)], "event_id string, total array<string>")
+    tpm = spark.createDataFrame([(f"t{e}", f"{c}{i}", 5.0 + e + i) for e in range(6) for c in "abc" for i in range(3)], "tx string, sample string, tpm double")
+    found = {(r.cond1, r.cond2, r.event_id): (r.dpsi, r.p) for r in S.diff_splice(psi, ["a", "b", "c"], events, tpm, area=10).collect()}
+    assert len(found) == 12 and {k[:2] for k in found} == {("a", "b"), ("b", "c")}
+    assert found["a", "b", "g2;e5"] == found["b", "c", "g2;e5"] == (None, 1.0)
+    ab = S.event_abundance(events, tpm, psi.where("cond <> 'c'").select("sample", "cond").distinct())
+    part = psi.where("cond <> 'c'")
+    alone = S.empirical_p(S.delta_psi(part, "a", "b").where("dpsi is not null").join(ab, "event_id"), S.replicate_deltas(part, ab), 10)
+    assert {r.event_id: r.p for r in alone.collect()} == {k[2]: v[1] for k, v in found.items() if k[:2] == ("a", "b") and v[0] is not None}
+    pairs = S.diff_splice(psi, ["a", "b", "c"], method="classical", paired=True, by_gene=True, every_pair=True)
+    assert pairs.count() == 18 and pairs.where("p is null or p > 1 or p <= 0").count() == 0
+    for wrong in (["a"], ["a", "b"]):
+        with pytest.raises(ValueError):
+            S.diff_splice(psi, wrong, method="classical" if len(wrong) == 1 else "empirical")
+
+
 def test_principal_components(spark):
     rows = [(f"f{i}", s, float(v)) for i in range(20) for s, v in (("a", i), ("b", i + 1), ("c", i + 10 + i % 3))]
     out = M.principal_components(spark.createDataFrame(rows, "feature string, sample string, value double"), 2).collect()
