@@ -210,7 +210,7 @@ def mann_whitney(spark, d):
     return S.mann_whitney(_psi(spark, d).withColumn("psi", F.round("psi", 9)).join(F.broadcast(_cond(spark)), "sample")).withColumn("p", F.round("p", 9))
 
 
-@query("diff_splice", f"WITH mw AS ({SQL['mann_whitney']}), dp AS ({SQL['delta_psi']}), " + """r AS (SELECT event_id, dpsi, p, split_part(event_id, ';', 1) AS gene FROM dp JOIN mw USING (event_id) WHERE dpsi IS NOT NULL),
+@query("diff_splice", f"WITH mw AS ({SQL['mann_whitney']}), dp AS ({_PW}SELECT event_id, round(dpsi, 6) AS dpsi FROM ({_DPSI.replace('avg(psi)', 'avg(round(psi, 9))')})), " + """r AS (SELECT event_id, dpsi, p, split_part(event_id, ';', 1) AS gene FROM dp JOIN mw USING (event_id) WHERE dpsi IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY p, event_id) AS i, count(*) OVER (PARTITION BY gene) AS m FROM r)
 SELECT 'c1' AS cond1, 'c2' AS cond2, event_id, dpsi, round(least(min(p * m / i) OVER (PARTITION BY gene ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) AS p FROM k
 UNION ALL SELECT 'c1', 'c2', event_id, NULL, 1.0 FROM dp WHERE dpsi IS NULL""")
