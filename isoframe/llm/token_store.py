@@ -42,11 +42,15 @@ from isoframe.llm.tokenize import encoder
 DIGEST_BYTES = 16
 #: Ids that the rolling hash sees, and chunk sizes in ids: least, mean (a power of two) and largest.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 1024
+#: Bytes of text encoded at a time: each distinct word of them is looked up once.
+ENCODE_BYTES = 8 << 20
 #: Rows of a small table that a join may broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Hashes of the ids of small vocabularies, looked up instead of computed.
 _HASHED = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 _WEIGHTS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
+#: Bits of the rolling hash that are all 0 where a chunk may end.
+_CUT_BITS = np.uint64((MEAN - 1) << 40)
 
 
 def chunk_ends(ids: np.ndarray) -> list[int]:
@@ -55,10 +59,11 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n] if n else []
     hashed = _HASHED[ids] if ids.dtype.itemsize == 2 else mix(ids.astype(np.uint64) + np.uint64(1))
-    rolling = np.zeros(n - WINDOW + 1, np.uint64)
-    for k in range(WINDOW):
-        rolling += hashed[k : n - WINDOW + 1 + k] * _WEIGHTS[k]
-    places = np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(MEAN) == 0) + WINDOW
+    rolling = hashed[: n - WINDOW + 1] * _WEIGHTS[0]
+    weighed = np.empty_like(rolling)
+    for k in range(1, WINDOW):
+        rolling += np.multiply(hashed[k : n - WINDOW + 1 + k], _WEIGHTS[k], out=weighed)
+    places = np.flatnonzero(rolling & _CUT_BITS == 0) + WINDOW
     ends, at, i = [], 0, 0
     places = places.tolist()
     while n - at > LEAST:
@@ -93,7 +98,7 @@ def _encode_and_cut(path: str, end_id: int):
         tail = np.array([end_id], enc.dtype).tobytes()
         width = enc.dtype.itemsize
         seen: set[bytes] = set()  # of this task: a digest of each chunk of its own input
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             sizes, roots, digests, cuts = [], [], [], [0]
             fresh, fresh_sizes, fresh_ids, fresh_cuts = [], [], [], [0]
             for raw in enc.encode(batch.column(1).to_pylist()):

@@ -1,4 +1,4 @@
-"""Tokenizer encoding with a bounded memo of space-separated units, for use inside tasks."""
+"""Tokenizer encoding with a bounded memo of units between spaces or of words, for use inside tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units kept per worker, and half as many words of theirs (some 230 bytes each); once full, further ones are encoded each time they occur.
 MEMO_UNITS = 800_000
@@ -17,6 +19,11 @@ _SIMPLE = re.compile("[ \n!-~À-ÖØ-öø-ÿ]+")
 _LETTER, _DIGIT = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
 _BYTE_LEVEL_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+"
 _WORD_END_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+"
+#: The characters of ``_SIMPLE`` in Latin-1, and which of them are marks (neither space, letter nor digit).
+_SIMPLE_BYTES = bytes(b for b in range(256) if _SIMPLE.fullmatch(chr(b)))
+_MARKS = bytes(0x23 if 0x20 < b < 0x7F and not chr(b).isalnum() else 0x20 for b in range(256))
+#: Letters of the longest part between white space that is remembered in the vocabulary with word ends.
+LONGEST_PART = 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -62,6 +69,10 @@ class UnitEncoder:
     remembered.  Texts where that cut isn't safe (a space before other white space, or the
     string of an added token, which the library takes as that token) are encoded whole, and
     so is a very long text without spaces.
+
+    The vocabulary with word ends drops all white space and case, so there plain Latin texts
+    are lower-cased and cut at any white space, and at points and commas where no two marks
+    meet; each distinct part of the given texts is looked up once.
     """
 
     def __init__(self, path: str, memo_units: int = MEMO_UNITS):
@@ -77,47 +88,100 @@ class UnitEncoder:
         # the vocabulary with word ends lower-cases and drops white space; the other one keeps both
         self.lower = self.model.end_of_word_suffix is not None
         self.split = re.compile(_WORD_END_SPLIT if self.lower else _BYTE_LEVEL_SPLIT).findall
-        self.memo = _Memo(lambda unit: self._encode_unit(" " + unit), memo_units)
-        self.words: dict[str, bytes] = {}
-        self.memo_words = memo_units // 2
+        # without white space and case, a word and a unit of it alone have the same ids: one memo holds both
+        room = memo_units + memo_units // 2 if self.lower else memo_units
+        self.memo = _Memo(lambda unit: self._encode_unit(" " + unit), room)
+        self.words: dict[str, bytes] = self.memo if self.lower else {}
+        self.memo_words = room if self.lower else memo_units // 2
 
     def _encode_unit(self, unit: str) -> bytes:
         """One unit; plain Latin ones go to the BPE model by pre-token, all others through the whole tokenizer."""
         if not (unit.isascii() and unit.isprintable() or _SIMPLE.fullmatch(unit)):
             return self.whole(unit)
+        return self._encode_plain(unit.lower() if self.lower else unit)
+
+    def _encode_plain(self, unit: str) -> bytes:
         words = self.words
         out = []
-        for word in self.split(unit.lower() if self.lower else unit):
+        for word in self.split(unit):
             ids = words.get(word)
             if ids is None:
-                ids = array(self.code, [t.id for t in self.model.tokenize(word.translate(_BYTE_CHARS))]).tobytes()
+                ids = self._encode_word(word)
                 if len(words) < self.memo_words:
                     words[word] = ids
             out.append(ids)
         return b"".join(out)
 
+    def _encode_word(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word.translate(_BYTE_CHARS))]).tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def _by_units(self, text: str) -> bytes:
+        first, *units = text.split(" ")
+        try:
+            return self._encode_unit(first) + b"".join(map(self.memo.__getitem__, units))
+        except _UnsafeCut:
+            return self.whole(text)
+
+    def _by_parts(self, texts: pa.Array) -> list[bytes]:
+        """Of lower-case plain Latin texts, from their parts between white space."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.values.dictionary_encode()
+        parts = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        words, room = self.words, self.memo_words
+        found = list(map(words.get, parts))
+        for i, ids in enumerate(found):
+            if ids is None:
+                part = parts[i]
+                found[i] = ids = self._encode_word(part) if part.isalpha() else self._encode_plain(part)
+                if len(words) < room and 0 < len(part) <= LONGEST_PART:
+                    words[part] = ids
+        # the ids of all distinct parts one after another, then those of every part in the order of the texts
+        width = self.dtype.itemsize
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        at = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], sizes[at])
+        place += np.arange(len(place))
+        raw = flat[place].tobytes()
+        cuts = (ends[lists.offsets.to_numpy()] * width).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian id bytes (``self.dtype``) of each text; null gives none."""
-        out: list[bytes] = []
-        ids_of = self.memo.__getitem__
-        for text in texts:
+        out = [b""] * len(texts)
+        parted: dict[bool, list[int]] = {True: [], False: []}  # by whether points and commas stand alone
+        for i, text in enumerate(texts):
             if not text:
-                out.append(b"")
                 continue
             if any(t in text for t in self.added):
-                out.append(self.whole(text))
-                continue
-            first, *units = text.split(" ")
-            try:
-                out.append(self._encode_unit(first) + b"".join(map(ids_of, units)))
-            except _UnsafeCut:
-                out.append(self.whole(text))
+                out[i] = self.whole(text)
+            elif self.lower and (raw := _latin(text)):
+                parted[b"##" not in raw.translate(_MARKS)].append(i)
+            else:
+                out[i] = self._by_units(text)
+        for alone, rows in parted.items():
+            if rows:
+                lower = pc.utf8_lower(pa.array([texts[i] for i in rows], pa.large_string()))
+                for mark in ".," if alone else "":
+                    lower = pc.replace_substring(lower, mark, f" {mark} ")
+                for i, ids in zip(rows, self._by_parts(lower), strict=True):
+                    out[i] = ids
         return out
 
 
+def _latin(text: str) -> bytes | None:
+    """The text in Latin-1 if it has characters of ``_SIMPLE`` only."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if raw.translate(None, _SIMPLE_BYTES) else raw
+
+
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 

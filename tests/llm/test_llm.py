@@ -40,6 +40,29 @@ def test_unit_encoder_equals_the_tokenizer(path):
         assert np.frombuffer(ids, enc.dtype).tolist() == (plain.encode(text, add_special_tokens=False).ids if text else []), repr(text)
 
 
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_unit_encoder_equals_the_tokenizer_on_plain_latin_texts(path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    marks = [" ", " ", " ", "  ", "\n", ".\n", ". ", ", ", ".", ",", ".,", "...", "'", "'s", "'S", "'.", "don't.", "Ànd", "ÿß", "É", "word", "WORD", "1", "42", "3.14", "-", "#", "(a)", "x" * 70]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 40))) for _ in range(4000)] + [None, "", "\n", " ", ".", "٣ word", "a\tb."]
+    enc = tokenize.UnitEncoder(path, memo_units=50)
+    for _ in range(2):  # the second time with what is remembered
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(ids, enc.dtype).tolist() == (plain.encode(text, add_special_tokens=False).ids if text else []), repr(text)
+
+
+def test_word_encoder_computes_each_word_once():
+    rng = random.Random(4)
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    text = lambda: "".join(rng.choice((str.title, str.upper, str.lower))(rng.choice(words)) + rng.choice([" ", "\n", ". ", ", ", ".\n", ",\n"]) for _ in range(300))
+    enc = tokenize.UnitEncoder(WORD_BPE)
+    enc.encode([text() for _ in range(100)])
+    assert len({*enc.memo, *enc.words}) <= len(words) + 2  # words, point and comma, not each case and line end with its neighbours
+
+
 def test_token_store_round_trip(spark):
     from tokenizers import Tokenizer
 
