@@ -15,6 +15,8 @@ from isoframe.llm import jaccard, mixing, packing, quality, scratch, toxicity
 
 #: Probability of good quality from which on a document stays: only clear rejects go.
 KEEP_AT = 0.2
+#: Text units whose ids a Python worker remembers while packing; memory of the executors is short after four other stages.
+MEMO_UNITS = 300_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences of 1024 tokens within windows of the mix; a null or empty text is its end id."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, keep_order=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, keep_order=True, memo_units=MEMO_UNITS)
 
 
 STAGES = [

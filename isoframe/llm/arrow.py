@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -29,6 +30,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
             at = to
 
 
+def release() -> None:
+    """Give memory back that is free but that the allocators of Arrow and C keep for the worker's later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Batches cut or put together so that each holds about ``max_bytes`` of ``column``; a longer row stands alone."""
     held, size = [], 0

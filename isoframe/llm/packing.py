@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.llm import scratch
-from isoframe.llm.arrow import slices
-from isoframe.llm.tokenize import encoder
+from isoframe.llm.arrow import release, slices
+from isoframe.llm.tokenize import MEMO_UNITS, encoder
 
 CAPACITY = 1024
 #: Pieces a block, islands a block, rounds between migrations, generations a round, solutions an island.
 BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 3, 3, 12, 6
 #: Bins filled less than this go to the next level, and a block's emptiest in any case.
 LOOSE = 0.98
+#: Rows of text that go to a Python worker at a time: about 2 MB of texts of the usual length.
+BATCH_ROWS = 500
 
 _PIECES = "uid long, doc_id long, piece int, start long, length int, crc long"
 
@@ -51,9 +53,10 @@ def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out + [(at, capacity) for at in range(rest, n, capacity)]
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, memo_units: int = MEMO_UNITS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        release()
+        enc = encoder(path, memo_units)
         tail = np.array([end_id], enc.dtype).tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
@@ -279,10 +282,13 @@ def _place(spread: bool, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", keep_order: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", keep_order: bool = False, memo_units: int = MEMO_UNITS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``.
+
+    ``memo_units``: text units whose ids each Python worker remembers, which costs memory and saves time only.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = scratch.stage(texts.mapInArrow(_pieces(tokenizer_path, end_id, capacity), _PIECES), "pieces")
+    pieces = scratch.stage(texts.mapInArrow(_pieces(tokenizer_path, end_id, capacity, memo_units), _PIECES), "pieces", batch_rows=BATCH_ROWS)
     out = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", F.col("length").cast("long"), F.col("crc").alias("ids_crc32"), F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     level = pieces.where(F.col("length") < capacity).withColumn("bin", F.lit(None).cast("long"))
     n = level.count()

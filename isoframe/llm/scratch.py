@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -25,20 +26,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/isoframe/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once and read it back, which cuts its lineage and survives lost executors.
 
-    Shuffle files of the writing job are dropped as soon as it has ended.
+    Shuffle files of the writing job are dropped as soon as it has ended.  ``batch_rows``: rows
+    of the Arrow batches that go to Python and back, where Spark's usual 10,000 hold long texts.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    held = {_CLEANUP: "true"} | ({_BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._isoframe_path = path
     return out

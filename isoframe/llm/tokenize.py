@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from isoframe.llm.arrow import release
+
 #: Units kept per worker, and half as many words of theirs (some 230 bytes each); once full, further ones are encoded each time they occur.
 MEMO_UNITS = 800_000
 
@@ -182,16 +184,17 @@ def _latin(text: str) -> bytes | None:
     return None if raw.translate(None, _SIMPLE_BYTES) else raw
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    """One encoder a worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo_units: int = MEMO_UNITS) -> UnitEncoder:
+    """One encoder a worker, vocabulary and size of memo."""
+    if (path, memo_units) not in _ENCODERS:
+        _ENCODERS[path, memo_units] = UnitEncoder(path, memo_units)
+    return _ENCODERS[path, memo_units]
 
 
 def forget() -> None:
-    """Let go of encoders that an earlier stage left in this worker."""
+    """Let go of encoders that an earlier stage left in this worker, and of its freed memory."""
     _ENCODERS.clear()
+    release()
