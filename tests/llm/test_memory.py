@@ -33,7 +33,7 @@ print(full - held())
 
 def test_forget_gives_freed_memory_back():
     out = subprocess.run([sys.executable, "-c", _FREED], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
-    assert float(out.stdout) > 60
+    assert float(out.stdout) > 70  # 60 come back without it, 80 with it
 
 
 def test_stage_bounds_arrow_batches(spark):
