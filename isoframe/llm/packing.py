@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.llm import scratch
-from isoframe.llm.arrow import release, slices
+from isoframe.llm.arrow import gathered, release
 from isoframe.llm.tokenize import MEMO_UNITS, encoder
 
 CAPACITY = 1024
@@ -42,6 +42,8 @@ BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 3, 3, 12, 6
 LOOSE = 0.98
 #: Rows of text that go to a Python worker at a time: about 2 MB of texts of the usual length.
 BATCH_ROWS = 500
+#: Bytes of text encoded at a time: each distinct part of them is looked up once.
+ENCODE_BYTES = 4 << 20
 
 _PIECES = "uid long, doc_id long, piece int, start long, length int, crc long"
 
@@ -59,7 +61,7 @@ def _pieces(path: str, end_id: int, capacity: int, memo_units: int = MEMO_UNITS)
         enc = encoder(path, memo_units)
         tail = np.array([end_id], enc.dtype).tobytes()
         uid = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
+        for batch in gathered(batches, "text", ENCODE_BYTES):
             rows = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 wide = np.frombuffer(raw + tail, enc.dtype).astype("<u4").tobytes()

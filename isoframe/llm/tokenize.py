@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from array import array
@@ -24,7 +25,9 @@ _WORD_END_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTE
 #: The characters of ``_SIMPLE`` in Latin-1, and which of them are marks (neither space, letter nor digit).
 _SIMPLE_BYTES = bytes(b for b in range(256) if _SIMPLE.fullmatch(chr(b)))
 _MARKS = bytes(0x23 if 0x20 < b < 0x7F and not chr(b).isalnum() else 0x20 for b in range(256))
-#: Letters of the longest part between white space that is remembered in the vocabulary with word ends.
+#: Classes of the characters of ``_SIMPLE`` in Latin-1: white space 0, letters 1, digits 2, marks 3; and 4 for the byte between texts.
+_CLASSES = bytes(4 if b == 0 else 0 if b in b" \n" else 2 if chr(b) in "0123456789" else 1 if chr(b).isalpha() else 3 for b in range(256))
+#: Letters of the longest part that is remembered when texts are looked up by distinct parts.
 LONGEST_PART = 64
 
 
@@ -35,12 +38,7 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in keep else next(spare)) for b in range(256)}
 
 
-def _byte_chars() -> dict[int, str]:
-    by_byte = byte_alphabet()
-    return {c: "".join(by_byte[b] for b in chr(c).encode()) for c in [*range(0x80), *range(0xC0, 0x100)]}
-
-
-_BYTE_CHARS = _byte_chars()
+_BYTE_CHARS = "".join(byte_alphabet()[b] for b in range(256))
 
 
 class _UnsafeCut(Exception):
@@ -72,9 +70,10 @@ class UnitEncoder:
     string of an added token, which the library takes as that token) are encoded whole, and
     so is a very long text without spaces.
 
-    The vocabulary with word ends drops all white space and case, so there plain Latin texts
-    are lower-cased and cut at any white space, and at points and commas where no two marks
-    meet; each distinct part of the given texts is looked up once.
+    Plain Latin texts are cut further, and each distinct part of the given texts is looked up
+    once.  The vocabulary with word ends drops all white space and case, so there they are
+    lower-cased and cut at any white space, and at points and commas where no two marks meet.
+    For the other one they are cut into its pre-tokens.
     """
 
     def __init__(self, path: str, memo_units: int = MEMO_UNITS):
@@ -91,10 +90,10 @@ class UnitEncoder:
         self.lower = self.model.end_of_word_suffix is not None
         self.split = re.compile(_WORD_END_SPLIT if self.lower else _BYTE_LEVEL_SPLIT).findall
         # without white space and case, a word and a unit of it alone have the same ids: one memo holds both
-        room = memo_units + memo_units // 2 if self.lower else memo_units
-        self.memo = _Memo(lambda unit: self._encode_unit(" " + unit), room)
+        self.room = memo_units + memo_units // 2
+        self.memo = _Memo(lambda unit: self._encode_unit(" " + unit), self.room if self.lower else memo_units)
         self.words: dict[str, bytes] = self.memo if self.lower else {}
-        self.memo_words = room if self.lower else memo_units // 2
+        self.memo_words = self.room if self.lower else memo_units // 2
 
     def _encode_unit(self, unit: str) -> bytes:
         """One unit; plain Latin ones go to the BPE model by pre-token, all others through the whole tokenizer."""
@@ -115,7 +114,7 @@ class UnitEncoder:
         return b"".join(out)
 
     def _encode_word(self, word: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(word.translate(_BYTE_CHARS))]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(codecs.charmap_decode(word.encode(), "strict", _BYTE_CHARS)[0])]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -132,39 +131,67 @@ class UnitEncoder:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.values.dictionary_encode()
         parts = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
-        words, room = self.words, self.memo_words
+        return self._joined(self._look_up(parts), coded.indices.to_numpy(), lists.offsets.to_numpy())
+
+    def _by_pre_tokens(self, raws: list[bytes]) -> list[bytes]:
+        """Of plain Latin texts, given in Latin-1, from their pre-tokens."""
+        joined = b"\0" + b"\0".join(raws) + b"\0"  # the byte between texts is a part of its own, without ids
+        starts = pre_token_starts(joined)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(joined)]).dictionary_encode()
+        at = coded.indices.to_numpy()
+        ends = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
+        distinct = coded.dictionary.buffers()[2].to_pybytes().decode("latin-1")
+        found = self._look_up([distinct[a:b] for a, b in zip(ends[1:], ends[2:], strict=False)])
+        return self._joined([b"", *found], at, np.flatnonzero(at == 0))
+
+    def _look_up(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of the distinct parts."""
+        words = self.words
+        room = self.memo_words
+        if not self.lower:  # parts may have room of units, but half of it
+            room = min(2 * room, self.room - len(self.memo))
         found = list(map(words.get, parts))
         for i, ids in enumerate(found):
             if ids is None:
                 part = parts[i]
-                found[i] = ids = self._encode_word(part) if part.isalpha() else self._encode_plain(part)
+                found[i] = ids = self._encode_word(part) if not self.lower or part.isalpha() else self._encode_plain(part)
                 if len(words) < room and 0 < len(part) <= LONGEST_PART:
                     words[part] = ids
-        # the ids of all distinct parts one after another, then those of every part in the order of the texts
+        if not self.lower:
+            self.memo.room = min(self.memo.room, self.room - len(words))
+        return found
+
+    def _joined(self, found: list[bytes], at: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Ids of each text, whose parts are those between two bounds: ids of all distinct parts, and the number of each part in the order of the texts."""
         width = self.dtype.itemsize
         flat = np.frombuffer(b"".join(found), self.dtype)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
-        at = coded.indices.to_numpy()
         ends = np.concatenate([[0], np.cumsum(sizes[at])])
         place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], sizes[at])
         place += np.arange(len(place))
         raw = flat[place].tobytes()
-        cuts = (ends[lists.offsets.to_numpy()] * width).tolist()
+        cuts = (ends[bounds] * width).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian id bytes (``self.dtype``) of each text; null gives none."""
         out = [b""] * len(texts)
         parted: dict[bool, list[int]] = {True: [], False: []}  # by whether points and commas stand alone
+        plain: dict[int, bytes] = {}
         for i, text in enumerate(texts):
             if not text:
                 continue
             if any(t in text for t in self.added):
                 out[i] = self.whole(text)
-            elif self.lower and (raw := _latin(text)):
+            elif not (raw := _latin(text)):
+                out[i] = self._by_units(text)
+            elif self.lower:
                 parted[b"##" not in raw.translate(_MARKS)].append(i)
             else:
-                out[i] = self._by_units(text)
+                plain[i] = raw
+        if plain:
+            for i, ids in zip(plain, self._by_pre_tokens(list(plain.values())), strict=True):
+                out[i] = ids
         for alone, rows in parted.items():
             if rows:
                 lower = pc.utf8_lower(pa.array([texts[i] for i in rows], pa.large_string()))
@@ -175,6 +202,28 @@ class UnitEncoder:
         return out
 
 
+def pre_token_starts(joined: bytes) -> np.ndarray:
+    """Where the parts that ``_BYTE_LEVEL_SPLIT`` finds begin, in plain Latin texts with a zero byte (a part too) around each; the end is the last."""
+    data = np.frombuffer(joined, np.uint8)
+    kind = np.frombuffer(joined.translate(_CLASSES), np.uint8)
+    blank = kind == 0
+    start = np.ones(len(data) + 1, bool)
+    inner = start[1:-1]  # of every byte but the first
+    np.not_equal(kind[1:], kind[:-1], out=inner)
+    # a single space goes with what follows it, white space before other white space or the end stays together
+    inner &= blank[1:] | (data[:-1] != 0x20) | (kind[1:] == 4)
+    inner[:-1] |= blank[1:-1] & ~blank[2:] & (kind[2:] != 4)
+    at = np.flatnonzero((data[:-1] == 0x27) & start[:-2])
+    if len(at):  # 's, 't, 'm, 'd, 're, 've and 'll are parts; a zero byte ends the last text
+        one, two = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = np.isin(one.astype(np.uint16) << 8 | two, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])
+        start[at[short | long] + 1] = False
+        start[at[short] + 2] = True
+        start[at[long] + 3] = True
+    return np.flatnonzero(start)
+
+
 def _latin(text: str) -> bytes | None:
     """The text in Latin-1 if it has characters of ``_SIMPLE`` only."""
     try:

@@ -63,6 +63,32 @@ def test_word_encoder_computes_each_word_once():
     assert len({*enc.memo, *enc.words}) <= len(words) + 2  # words, point and comma, not each case and line end with its neighbours
 
 
+def test_byte_level_encoder_looks_each_part_of_plain_latin_texts_up_once():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BYTE_BPE)
+    rng = random.Random(5)
+    words = [a + b + c for a in "bdfgkÉ" for b in "aeiouü" for c in "lmnrs"]
+    ends = [" ", " ", "  ", "\n", "\n\n", " \n ", ". ", ", ", ".\n", "'s ", "'llx", "'re'd", " 't", "''m", "'S", "7", "42 ", "#"]
+    texts = ["".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randrange(1, 200))) for _ in range(300)]
+    enc = tokenize.UnitEncoder(BYTE_BPE)
+    computed, compute = collections.Counter(), enc._encode_word
+    enc._encode_word = lambda word: computed.update([word]) or compute(word)
+    for _ in range(2):
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(ids, enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert computed == dict.fromkeys((w for t in texts for w in enc.split(t)), 1)
+    assert not enc.memo  # no words with the line ends and marks between them
+
+
+def test_parts_and_units_share_one_room():
+    enc = tokenize.UnitEncoder(BYTE_BPE, memo_units=40)
+    for text in (" ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"), " ".join(f"—{i}" for i in range(100)), " ".join(f"z{a}" for a in "abcdefgh")):
+        want = enc.whole(text)
+        assert enc.encode([text]) == [want]
+        assert len(enc.memo) + len(enc.words) <= 60
+
+
 def test_token_store_round_trip(spark):
     from tokenizers import Tokenizer
 
