@@ -16,8 +16,8 @@ nothing better keeps them.  A level that saves less than one bin a block sends o
 emptiest quarter of each block, so that levels shrink until one block is left.
 
 Null and empty texts hold the end id alone; repeated rows are packed as often as they
-occur; a very long text is encoded by itself, in about 30 bytes of memory a byte; an empty
-table gives no rows; other columns are ignored.
+occur; a very long text is encoded by itself, in up to 50 bytes of memory a byte (where each
+letter is a part of its own); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
