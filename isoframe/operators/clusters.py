@@ -8,6 +8,7 @@ coordinate (null or NaN) belongs to no cluster.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ from isoframe.operators.ordering import fixed, indexed
 
 #: Dimensions that the grid of a neighbour join uses: it meets 3 cells in each.
 GRID_DIMS = 3
-#: Points of a block of pair sums.
-BLOCK = 1024
+#: Points of a block of pair sums, and pairs of blocks that go to Python at once.
+BLOCK, BATCH_BLOCKS = 1024, 16
+#: Partitions of blocks, as many on either side of their product, up to which each has one block, and blocks in each of more.
+SIDE_PARTS, SIDE_BLOCKS = 24, 64
 #: Rows of a heatmap that are brought into order, as a figure can hold.
 MOST_ROWS = 1000
 
@@ -128,18 +131,24 @@ def _by_row(x: np.ndarray, y: np.ndarray, of: Callable[[np.ndarray], np.ndarray]
     return np.stack([of(y - row) for row in x]) if len(x) else np.zeros((0, len(y)))
 
 
+def _parts(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """id, cluster, weight and vectors of each block in a list of structs."""
+    at, x = lists.offsets.to_pylist(), lists.values
+    ids, of, weights = (x.field(c).to_numpy(zero_copy_only=False) for c in ("id", "cluster", "weight"))
+    v = x.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    for i, j in pairwise(at):
+        yield ids[i:j], of[i:j], weights[i:j], v[i:j]
+
+
 def _pair_sums(metric: str):
-    """id, cluster, other, total, n: distances of the left block's points to each cluster in the right block."""
+    """id, cluster, other, total, n: distances of the left block's points to each cluster in the right block, by the right points' weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                x, y = (np.array([p["v"] for p in r[side]], float) for side in ("left", "right"))
-                names, of = np.unique([p["cluster"] for p in r["right"]], return_inverse=True)
-                sums = DISTANCES[metric](x, y) @ np.eye(len(names))[of]
-                sizes = np.bincount(of)
-                ids, own = [p["id"] for p in r["left"]], [p["cluster"] for p in r["left"]]
-                k = len(names)
+            for (ids, own, _, x), (_, right, weights, y) in zip(_parts(batch.column("left")), _parts(batch.column("right")), strict=True):
+                names, of = np.unique(right, return_inverse=True)
+                by_cluster = np.eye(len(names))[of] * weights[:, None]
+                sums, sizes, k = DISTANCES[metric](x, y) @ by_cluster, by_cluster.sum(0).astype(np.int64), len(names)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids, k), pa.int64()), pa.array(np.repeat(own, k), pa.int64()), pa.array(np.tile(names, len(ids)), pa.int64()), pa.array(sums.ravel()), pa.array(np.tile(sizes, len(ids)), pa.int64())],
                     ["id", "cluster", "other", "total", "n"],
@@ -152,19 +161,26 @@ def silhouettes(points: DataFrame, dims: Sequence[str], metric: str = "euclidean
     """id, cluster, silhouette of clustered points (id and cluster long, dims): (b - a) / max(a, b), 0 for a point alone in its cluster, null where there is one cluster only.
 
     a is the mean distance to the others of the point's cluster, b the least mean distance
-    to another one.  Distances are summed in blocks of points in order of clusters, so what
-    leaves a task is a row for a point and a cluster of the block met, not one for a pair;
-    the work in tasks is a distance for each pair, as the score needs.
+    to another one.  Copies of a vector in a cluster are one weighted point.  Distances are
+    summed in pairs of blocks of points in order of clusters; the product of the blocks is
+    taken partition by partition, with no copy of either side in a shuffle or a broadcast.
+    What leaves a task is a row for a point and a cluster of the block met, not one for a
+    pair; the work in tasks is a distance for each pair of distinct points, as the score needs.
     """
-    rows = indexed(points.where("cluster is not null").select("cluster", "id", F.array(*[F.col(d).cast("double") for d in dims]).alias("v")), ["cluster", "id"])
-    held = fixed(rows.groupBy(F.floor(F.col("_i") / block).alias("_b")).agg(F.collect_list(F.struct("id", "cluster", "v")).alias("left")))
-    n_blocks = held.count()
-    met = held.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0))))).join(held.select(F.col("_b").alias("_o"), F.col("left").alias("right")), "_o")
-    sums = met.select("left", "right").mapInArrow(_pair_sums(metric), "id long, cluster long, other long, total double, n long").groupBy("id", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rows = points.where("cluster is not null").select("cluster", "id", F.array(*[F.col(d).cast("double") for d in dims]).alias("v"))
+    vectors = indexed(rows.groupBy("cluster", "v").agg(F.count("*").alias("weight")), ["cluster", "v"]).withColumnRenamed("_i", "id")
+    vectors = fixed(vectors.select("id", "cluster", "weight", "v"))
+    held = vectors.groupBy(F.floor(F.col("id") / block).alias("_b")).agg(F.collect_list(F.struct("id", "cluster", "weight", "v")).alias("left"))
+    n_blocks = vectors.agg(F.max("id")).first()[0]
+    n_blocks = 0 if n_blocks is None else n_blocks // block + 1
+    held = fixed(held.repartition(min(max(n_blocks, 1), max(SIDE_PARTS, n_blocks // SIDE_BLOCKS)), "_b"))
+    met = held.select("left").hint("shuffle_replicate_nl").crossJoin(held.select(F.col("left").alias("right")))
+    sums = fixed(met.mapInArrow(_pair_sums(metric), "id long, cluster long, other long, total double, n long").groupBy("id", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), BATCH_BLOCKS)
     own = F.col("cluster") == F.col("other")
-    both = sums.groupBy("id", "cluster").agg(F.max(F.when(own, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    both = sums.groupBy("id").agg(F.max(F.when(own, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     score = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return both.select("id", "cluster", score.alias("silhouette"))
+    named = vectors.join(both.select("id", score.alias("silhouette")), "id").select("cluster", "v", "silhouette")
+    return rows.join(named, ["cluster", "v"]).select("id", "cluster", "silhouette")
 
 
 def cluster_events(points: DataFrame, eps: float, min_points: int, dims: Sequence[str], metric: str = "euclidean") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a small table (of partitions or groups) is broadcast; beyond it the join is a shuffle.
 BROADCAST_ROWS = 100_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def with_groups(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -20,8 +21,11 @@ def with_groups(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataF
     return rows.join(side, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, so that sampled range bounds stay the same for every use."""
+def fixed(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """``df`` checkpointed in the shared folder, so that sampled range bounds stay the same for every use.
+
+    ``batch_rows``: rows of the Arrow batches that go to Python and back, where Spark's usual number is too many.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +34,14 @@ def fixed(df: DataFrame) -> DataFrame:
         if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    if not batch_rows:
+        return df.checkpoint()
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(batch_rows))
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
 
 
 def parted(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -69,6 +69,36 @@ def test_silhouettes_equal_all_pairs(spark, metric):
     assert {r.silhouette for r in K.silhouettes(one, ["x", "y"]).collect()} == {None}
 
 
+def test_silhouettes_take_copies_once(spark, monkeypatch):
+    points = spark.range(3000).selectExpr("id", "id % 3 as cluster", "id % 30 / 30 as x", "id % 7 / 7 as y")  # 210 vectors, 14 or 15 copies of each
+    met, plain = spark.sparkContext.accumulator(0), K._pair_sums
+
+    def counted(metric):
+        sums = plain(metric)
+
+        def run(batches):
+            def each():
+                for batch in batches:
+                    met.add(batch.num_rows)
+                    yield batch
+
+            return sums(each())
+
+        return run
+
+    monkeypatch.setattr(K, "_pair_sums", counted)
+    got = {r.id: r.silhouette for r in K.silhouettes(points, ["x", "y"], block=32).collect()}
+    assert met.value == 7 * 7  # pairs of blocks; of all points 94 * 94
+    rows = points.collect()
+    at, of = np.array([(r.x, r.y) for r in rows]), np.array([r.cluster for r in rows])
+    for i in range(0, 3000, 271):
+        away = np.sqrt(((at - at[i]) ** 2).sum(1))
+        a = away[of == of[i]].sum() / ((of == of[i]).sum() - 1)
+        b = min(away[of == c].mean() for c in range(3) if c != of[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b))
+    assert len(got) == 3000
+
+
 def test_cluster_events_as_one_call(spark):
     rows = [(i, 0.01 * (i % 5), 0.0) for i in range(10)] + [(20 + i, 1.0, 0.01 * i) for i in range(5)] + [(99, 5.0, 5.0)]
     named, scores, summary = K.cluster_events(spark.createDataFrame(rows, "id long, x double, y double"), 0.021, 3, ["x", "y"])
