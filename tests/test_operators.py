@@ -190,3 +190,19 @@ def test_isoform_fits(spark):
     assert {tuple(r.fits): r.n for r in R.read_classes(out).collect()} == {(1, 0): 1, (0, 1): 1, (1, 1): 1, (0, 0): 1}
     seg = spark.createDataFrame([("g", 0, 10, True), ("g", 10, 110, False), ("g", 110, 120, True)], "gene string, start long, end long, exonic boolean")
     assert [r.x for r in R.plot_scale(seg, ["gene"], 1.0, 10.0).orderBy("start").collect()] == [0.0, 10.0, 20.0]
+
+
+def test_manifest_shuffles_no_lists(spark):
+    events = spark.createDataFrame([("e1", "SE", "x"), ("e2", "RI", "y")], "event_uid string, event_type string, gene_symbol string")
+    targets = events.selectExpr("event_uid", "'A' as comparison", "'g1' as experiment", "if(event_uid = 'e1', 'g2', 'g9') as control")
+    bams = spark.createDataFrame([(f"g{i % 3}", f"s{i:03d}.bam") for i in range(300)], "group string, bam string")
+    lists = {f"g{k}": ",".join(f"s{i:03d}.bam" for i in range(k, 300, 3)) for k in range(3)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = P.manifest(events, targets, bams)
+        rows = {r.event_uid: (r.experiment_bams, r.control_bams) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {"e1": (lists["g1"], lists["g2"]), "e2": (lists["g1"], None)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("BroadcastHashJoin") == 2  # one a side; events and targets meet in a shuffle, without lists
