@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoframe.operators.ordering import indexed, least_after, neighbours, parted, with_groups
+from isoframe.operators.ordering import fixed, indexed, least_after, neighbours, parted, with_groups
 
 _GENE = ["gene", "chr", "strand"]
+#: Samples whose sums are the columns of one row.
+SAMPLES = 16
 
 
 def _tx(c: str = "tx") -> Column:
@@ -155,11 +157,53 @@ def constitutive_exons(exons: DataFrame) -> DataFrame:
     return exons.groupBy("gene", "start", "end").agg(F.count_distinct("tx").alias("has")).join(n, "gene").where("has = n").select("gene", "start", "end")
 
 
-def event_psi(events: DataFrame, expression: DataFrame, min_total: float = 0.0) -> DataFrame:
-    """event_id, sample, psi: sum over alternative by sum over total transcripts; null if a transcript isn't expressed anywhere, or the total is 0 or below ``min_total``."""
+def event_sums(events: DataFrame, expression: DataFrame) -> DataFrame:
+    """event_id, sample, a, t: sums of expression over the alternative and over all transcripts of listed events; a transcript without expression gives its event a row without a sample."""
     parts = events.select("event_id", "alternative", F.explode("total").alias("tx")).withColumn("alt", F.array_contains("alternative", F.col("tx"))).drop("alternative")
     by_tx = expression.groupBy("tx").agg(F.collect_list(F.struct("sample", "tpm")).alias("xs"))  # a row a transcript: its samples
-    sums = parts.join(by_tx, "tx", "left").select("event_id", "alt", F.explode_outer("xs").alias("x")).groupBy("event_id", F.col("x.sample").alias("sample")).agg(F.sum(F.when(F.col("alt"), F.col("x.tpm"))).alias("a"), F.sum("x.tpm").alias("t"))
+    return parts.join(by_tx, "tx", "left").select("event_id", "alt", F.explode_outer("xs").alias("x")).groupBy("event_id", F.col("x.sample").alias("sample")).agg(F.sum(F.when(F.col("alt"), F.col("x.tpm"))).alias("a"), F.sum("x.tpm").alias("t"))
+
+
+def skipped_exon_sums(exons: DataFrame, expression: DataFrame) -> DataFrame:
+    """The same for all skipped exons, without lists of transcripts.
+
+    A junction lies around many skipped exons, and each of them would list the junction's
+    transcripts anew.  So expression is summed by chain and by junction first, and an event
+    adds the sums of its chain and its outer junction; transcripts that have both count
+    once.  Sums of SAMPLES samples are the columns of one row.
+    """
+    names = [r["sample"] for r in expression.select("sample").where("sample is not null").distinct().orderBy("sample").collect()]  # a row a sample
+    width = max(1, min(SAMPLES, len(names)))
+    known = F.array(*[F.lit(n) for n in names]) if names else F.array(F.lit(""))
+    x = expression.select("tx", "tpm", (F.array_position(known, F.col("sample")) - 1).alias("_k")).withColumn("_j", F.col("_k") % width)
+    by_tx = x.groupBy("tx", F.floor(F.col("_k") / width).alias("block")).agg(*[F.sum(F.when(F.col("_j") == j, F.col("tpm"))).alias(f"x{j}") for j in range(width)], F.bit_or(F.expr("shiftleft(1, cast(_j as int))")).alias("has"))
+    tx = exons.where("tx is not null").select(*_GENE, "tx", F.struct("start", "end").alias("x")).repartition("tx").groupBy(*_GENE, "tx").agg(F.sort_array(F.collect_set("x")).alias("ex")).where(F.size("ex") > 1)
+    none = F.lit(None).cast("long")
+    at = lambda i: F.get("ex", i)
+    span = lambda e1, s2, e2, s3: F.struct(e1.cast("long").alias("e1"), s2.cast("long").alias("s2"), e2.cast("long").alias("e2"), s3.cast("long").alias("s3"))
+    junctions = F.array_distinct(F.transform(F.slice("ex", 1, F.size("ex") - 1), lambda e, i: span(e["end"], none, none, at(i + 1)["start"])))
+    chain = F.transform(F.slice("ex", 1, F.greatest(F.size("ex") - 2, F.lit(0))), lambda e, i: span(e["end"], at(i + 1)["start"], at(i + 1)["end"], at(i + 2)["start"]))
+    # a chain's transcript may have the outer junction, too
+    marked = lambda c, both: F.struct(*[c[n].alias(n) for n in ("e1", "s2", "e2", "s3")], both.alias("both"))
+    cs = F.transform("cs", lambda c: marked(c, F.array_contains("js", span(c["e1"], none, none, c["s3"]))))
+    spans = tx.select(*_GENE, "tx", junctions.alias("js"), chain.alias("cs")).select(*_GENE, "tx", F.concat(F.transform("js", lambda c: marked(c, F.lit(True))), cs).alias("cs"))
+    parts = spans.join(by_tx, "tx", "left").select(*_GENE, "block", "has", *[f"x{j}" for j in range(width)], F.explode("cs").alias("c"))
+    where = [*_GENE, "e1", "s2", "e2", "s3"]
+    cells = [f"x{j}" for j in range(width)]
+    sums = fixed(parts.select("*", "c.*").groupBy(*where, "block").agg(*[F.sum(c).alias(f"a{c}") for c in cells], *[F.sum(F.when(~F.col("both"), F.col(c))).alias(f"t{c}") for c in cells], F.bit_or("has").alias("has")))
+    outer = sums.where("s2 is null").select(*_GENE, "e1", "s3", "block", "has", *[F.col(f"a{c}").alias(f"t{c}") for c in cells])
+    chained = sums.where("s2 is not null")
+    events = chained.select(*where).distinct()
+    ours = chained.join(outer.select(*_GENE, "e1", "s3").distinct(), [*_GENE, "e1", "s3"], "left_semi").unionByName(events.join(outer, [*_GENE, "e1", "s3"]), allowMissingColumns=True)
+    event_id = F.concat(F.col("gene"), F.lit(";SE:"), F.col("chr"), F.lit(":"), F.concat_ws(":", _span("e1", "s2"), _span("e2", "s3")), F.lit(":"), F.col("strand"))
+    whole = ours.groupBy(event_id.alias("event_id"), "block").agg(*[F.sum(f"{k}{c}").alias(f"{k}{c}") for k in "at" for c in cells], F.bit_or("has").alias("has"))
+    one = [F.struct(F.get(known, (F.col("block") * width + j).cast("int")).alias("sample"), F.col(f"ax{j}").alias("a"), F.col(f"tx{j}").alias("t"), F.coalesce(F.getbit("has", F.lit(j)) == 1, F.lit(False)).alias("has")) for j in range(width)]
+    rows = F.when(F.col("block").isNull(), F.array(F.struct(F.lit(None).cast("string").alias("sample"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("t"), F.lit(True).alias("has")))).otherwise(F.filter(F.array(*one), lambda r: r["has"]))
+    return fixed(whole.select("event_id", F.explode(rows).alias("r")).select("event_id", "r.sample", "r.a", "r.t"))
+
+
+def inclusion(sums: DataFrame, min_total: float = 0.0) -> DataFrame:
+    """event_id, sample, psi of sums (event_id, sample, a, t): a by t; null if a transcript isn't expressed anywhere, or the total is 0 or below ``min_total``."""
     # a transcript without expression gives its event a row without a sample
     events = sums.groupBy("event_id").agg(F.collect_list(F.struct("sample", "a", "t")).alias("xs"), F.bool_and(F.col("sample").isNotNull()).alias("whole"))
     flat = events.select("event_id", "whole", F.explode("xs").alias("x")).where("x.sample is not null").select("event_id", "whole", "x.*")
@@ -167,6 +211,11 @@ def event_psi(events: DataFrame, expression: DataFrame, min_total: float = 0.0)
     return flat.select("event_id", "sample", F.when(ok, F.coalesce("a", F.lit(0.0)) / F.col("t")).alias("psi"))
 
 
+def event_psi(events: DataFrame, expression: DataFrame, min_total: float = 0.0) -> DataFrame:
+    """event_id, sample, psi: sum over alternative by sum over total transcripts; null if a transcript isn't expressed anywhere, or the total is 0 or below ``min_total``."""
+    return inclusion(event_sums(events, expression), min_total)
+
+
 def isoform_psi(expression: DataFrame) -> DataFrame:
     """gene, tx, sample, psi: share of the gene's expression; null where the gene has none."""
     total = F.sum("tpm").over(Window.partitionBy("gene", "sample"))
@@ -187,8 +236,12 @@ def delta_psi(psi: DataFrame, a: str, b: str, missing: float = 0.0, use_median:
 def event_abundance(events: DataFrame, expression: DataFrame, samples: DataFrame, least_tpm: float = 0.0) -> DataFrame:
     """event_id, abundance: log10 of the summed expression of each replicate, mean in each condition, mean of both; 0 and what is below the limit are left out."""
     parts = events.select("event_id", F.explode("total").alias("tx"))
-    sums = parts.join(expression, "tx").groupBy("event_id", "sample").agg(F.sum("tpm").alias("t")).join(samples, "sample")
-    by_cond = sums.groupBy("event_id", "cond").agg(F.avg(F.when(F.col("t") > 0, F.log10("t"))).alias("m"))
+    return abundance(parts.join(expression, "tx").groupBy("event_id", "sample").agg(F.sum("tpm").alias("t")), samples, least_tpm)
+
+
+def abundance(sums: DataFrame, samples: DataFrame, least_tpm: float = 0.0) -> DataFrame:
+    """The same of sums (event_id, sample, t)."""
+    by_cond = sums.join(samples, "sample").groupBy("event_id", "cond").agg(F.avg(F.when(F.col("t") > 0, F.log10("t"))).alias("m"))
     return by_cond.groupBy("event_id").agg(F.avg("m").alias("abundance"), F.count("m").alias("n")).where((F.col("n") == 2) & (F.col("abundance") != 0) & (F.col("abundance") >= (F.log10(F.lit(least_tpm)) if least_tpm > 0 else F.lit(float("-inf"))))).drop("n")
 
 

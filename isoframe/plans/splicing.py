@@ -126,9 +126,12 @@ _PSI = dict(
 _PW = with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI)
 
 
+def _sums(spark, d):
+    return S.skipped_exon_sums(X.exons(spark, d), X.tpm(spark, d).select("tx", "sample", "tpm"))
+
+
 def _psi(spark, d):
-    t = X.tpm(spark, d)
-    return S.event_psi(S.skipped_exons(X.exons(spark, d)), t.select("tx", "sample", "tpm"))
+    return S.inclusion(_sums(spark, d))
 
 
 @query("psi_event", _PW + "SELECT event_id, sample, round(psi, 9) AS psi FROM psi")
@@ -156,14 +159,9 @@ def delta_psi(spark, d):
 _AB = dict(rs="SELECT event_id, sample, cond, sum(tpm) AS t FROM ex JOIN tpm USING (tx) GROUP BY ALL", bc="SELECT event_id, cond, avg(CASE WHEN t > 0 THEN log10(t) END) AS m FROM rs GROUP BY ALL", ab="SELECT event_id, avg(m) AS abundance FROM bc GROUP BY 1 HAVING count(m) = 2 AND avg(m) <> 0")
 
 
-def _abundance(spark, d):
-    t = X.tpm(spark, d)
-    return S.event_abundance(S.skipped_exons(X.exons(spark, d)), t.select("tx", "sample", "tpm"), _cond(spark))
-
-
 @query("event_abundance", with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI, **_AB) + "SELECT event_id, round(abundance, 6) AS abundance FROM ab")
 def event_abundance(spark, d):
-    return _abundance(spark, d).withColumn("abundance", F.round("abundance", 6))
+    return S.abundance(_sums(spark, d), _cond(spark)).withColumn("abundance", F.round("abundance", 6))
 
 
 _REP = "SELECT a.event_id, a.cond, a.sample AS s1, b.sample AS s2, abs(a.psi - b.psi) AS delta, abundance FROM psi a JOIN psi b ON a.event_id = b.event_id AND a.cond = b.cond AND a.sample < b.sample JOIN ab ON ab.event_id = a.event_id WHERE a.psi IS NOT NULL AND b.psi IS NOT NULL"
@@ -171,7 +169,8 @@ _REP = "SELECT a.event_id, a.cond, a.sample AS s1, b.sample AS s2, abs(a.psi - b
 
 @query("replicate_pairs", with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI, **_AB) + f"SELECT event_id, cond, round(delta, 6) AS delta, round(abundance, 6) AS abundance FROM ({_REP})")
 def replicate_pairs(spark, d):
-    r = S.replicate_deltas(_psi(spark, d).join(F.broadcast(_cond(spark)), "sample"), _abundance(spark, d))
+    sums, cond = _sums(spark, d), _cond(spark)
+    r = S.replicate_deltas(S.inclusion(sums).join(F.broadcast(cond), "sample"), S.abundance(sums, cond))
     return r.select("event_id", "cond", F.round("delta", 6).alias("delta"), F.round("abundance", 6).alias("abundance"))
 
 
@@ -186,8 +185,9 @@ _EMP = dict(
 
 @query("empirical_p", with_("exons", "tpm", **_CH, se=_SE_LISTS, **_PSI, **_AB, **_EMP) + "SELECT fi.event_id, round((1 - count(*) FILTER (WHERE delta <= abs(dpsi))::DOUBLE / count(*)) * 0.5, 9) AS p FROM fi JOIN r1 ON r1.i >= a AND r1.i < a + least(200, (SELECT count(*) FROM r1)) GROUP BY fi.event_id, dpsi")
 def empirical_p(spark, d):
-    psi = _psi(spark, d).join(F.broadcast(_cond(spark)), "sample")
-    ab = _abundance(spark, d).withColumn("abundance", F.round("abundance", 6))
+    sums, cond = _sums(spark, d), _cond(spark)
+    psi = S.inclusion(sums).join(F.broadcast(cond), "sample")
+    ab = S.abundance(sums, cond).withColumn("abundance", F.round("abundance", 6))
     events = S.delta_psi(psi, "c1", "c2").where("dpsi is not null").join(ab, "event_id").withColumn("dpsi", F.round("dpsi", 9))
     return S.empirical_p(events, S.replicate_deltas(psi, ab).withColumn("delta", F.round("delta", 9)), 200).withColumn("p", F.round("p", 9))
 

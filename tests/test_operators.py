@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,21 @@ def test_manifest_shuffles_no_lists(spark):
     assert rows == {"e1": (lists["g1"], lists["g2"]), "e2": (lists["g1"], None)}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("BroadcastHashJoin") == 2  # one a side; events and targets meet in a shuffle, without lists
+
+
+def test_skipped_exon_sums_equal_those_of_lists(spark):
+    rng = random.Random(11)
+    exons = [("g1", "c", "+", f"t{t}", s * 100 + rng.choice([0, 10]), s * 100 + rng.choice([50, 60])) for t in range(40) for s in range(5) if rng.random() < 0.7]
+    # both: t90 has the chain and the junction around it, as its exons overlap; t91 has no expression
+    exons += [("g2", "c", "-", "t90", a, b) for a, b in ((0, 250), (50, 250), (400, 500))] + [("g2", "c", "-", "t92", a, b) for a, b in ((0, 250), (400, 450))]
+    exons += [("g3", "c", "+", t, a, b) for t in ("t91", "t93") for a, b in ((0, 10), (20, 30), (40, 50))] + [("g3", "c", "+", "t94", a, b) for a, b in ((0, 10), (40, 50))]
+    df = spark.createDataFrame(exons, "gene string, chr string, strand string, tx string, start long, end long")
+    names = [f"s{i:02d}" for i in range(20)]  # more than the columns of a row
+    tpm = [(f"t{t}", n, float(rng.choice([0, 1, 3, 8]))) for t in [*range(40), 90, 92, 93, 94] for n in names if t != 94 or n == "s01"] + [("t90", "s19", None)]
+    expression = spark.createDataFrame(tpm, "tx string, sample string, tpm double")
+    got, want = S.skipped_exon_sums(df, expression), S.event_sums(S.skipped_exons(df), expression)
+    rows = lambda x: sorted(map(tuple, x.select("event_id", "sample", F.coalesce("a", F.lit(0.0)), "t").collect()), key=str)
+    assert rows(got) == rows(want) and {r.sample for r in got.collect()} == {*names, None}
+    assert any(r.event_id.startswith("g2") for r in got.collect())
+    levels = lambda x: sorted(map(tuple, x.collect()), key=str)
+    assert levels(S.inclusion(got)) == levels(S.event_psi(S.skipped_exons(df), expression))
