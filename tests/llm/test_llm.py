@@ -195,6 +195,31 @@ def test_jaccard_equals_brute_force(spark):
     assert got == jaccard_by_force(texts)
 
 
+def test_jaccard_writes_copies_once(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.choice([3, 12, 30]))) for _ in range(20)]
+    texts = [*base, "", None, *base, *base, base[2] + " x"]
+    met, plain = spark.sparkContext.accumulator(0), jaccard._prefixes
+
+    def counted(*args):
+        prefixes = plain(*args)
+
+        def run(batches):
+            def each():
+                for batch in batches:
+                    met.add(batch.num_rows)
+                    yield batch
+
+            return prefixes(each())
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_prefixes", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(documents(spark, texts)).collect())
+    assert got == jaccard_by_force(texts)
+    assert met.value == len({*base, base[2] + " x"})  # of 63 rows
+
+
 def test_jaccard_of_sets_that_share_names(spark):
     """First names of 4 bits, which dozens of sets share: the second name tells them apart."""
     rng = random.Random(8)
